@@ -118,7 +118,7 @@ def auc_of_points(spark, sf):
     return rounded(curves.auc_of_points(curves.roc_curve(_line_scores(spark, sf))), ["auc"])
 
 
-def _operating(by: str | None = None) -> str:
+def operating_point_sql(by: str | None = None) -> str:
     key = f"{by}, " if by else ""
     group = f"group by {by}" if by else ""
     return f"""
@@ -127,12 +127,12 @@ def _operating(by: str | None = None) -> str:
            from pts where 1 - fpr >= 0.99 {group})"""
 
 
-@query("threshold_at_specificity", f"{BINARY_CURVE}, {_operating()} select * from op")
+@query("threshold_at_specificity", f"{BINARY_CURVE}, {operating_point_sql()} select * from op")
 def threshold_at_specificity(spark, sf):
     return rounded(curves.threshold_at_specificity(curves.roc_curve(binary_cohort(spark, sf))), ["sensitivity", "specificity"])
 
 
-@query("threshold_at_specificity_by_fold", f"{FOLD_CURVE}, {_operating('fold')} select fold::int as fold, threshold, sensitivity, specificity from op")
+@query("threshold_at_specificity_by_fold", f"{FOLD_CURVE}, {operating_point_sql('fold')} select fold::int as fold, threshold, sensitivity, specificity from op")
 def threshold_at_specificity_by_fold(spark, sf):
     points = curves.roc_curve(binary_oof(spark, sf), by=["fold"])
     return rounded(curves.threshold_at_specificity(points, ["fold"]), ["sensitivity", "specificity"])
@@ -148,7 +148,7 @@ def nearest_threshold(spark, sf):
 
 @query(
     "apply_threshold_pooled",
-    f"{BINARY_CURVE}, {_operating()} select row_id, score, (score >= (select threshold from op))::int as called from oof",
+    f"{BINARY_CURVE}, {operating_point_sql()} select row_id, score, (score >= (select threshold from op))::int as called from oof",
 )
 def apply_threshold_pooled(spark, sf):
     cohort = binary_cohort(spark, sf)
@@ -158,7 +158,7 @@ def apply_threshold_pooled(spark, sf):
 
 @query(
     "apply_threshold_by_fold",
-    f"{FOLD_CURVE}, {_operating('fold')} select row_id, fold::int as fold, (score >= threshold)::int as called from oof join op using (fold)",
+    f"{FOLD_CURVE}, {operating_point_sql('fold')} select row_id, fold::int as fold, (score >= threshold)::int as called from oof join op using (fold)",
 )
 def apply_threshold_by_fold(spark, sf):
     oof = binary_oof(spark, sf)
@@ -166,7 +166,7 @@ def apply_threshold_by_fold(spark, sf):
     return curves.apply_threshold(oof, per_fold, ["fold"]).select("row_id", "fold", "called")
 
 
-def _sensitivity(group: str, called: str, z: str) -> str:
+def sensitivity_sql(group: str, called: str, z: str) -> str:
     return f"""
     s as (select {group}, count(*) filter (where {called} = 1) as detected, count(*) as total
           from called where label = 1 and {group} is not null group by {group}),
@@ -176,9 +176,9 @@ def _sensitivity(group: str, called: str, z: str) -> str:
 
 @query(
     "sensitivity_by_class_fold_threshold",
-    f"""{FOLD_CURVE}, {_operating('fold')},
+    f"""{FOLD_CURVE}, {operating_point_sql('fold')},
         called as (select oof.*, (score >= threshold)::int as hit from oof join op using (fold)),
-        {_sensitivity('"Condition"', 'hit', '1.96')}""",
+        {sensitivity_sql('"Condition"', 'hit', '1.96')}""",
 )
 def sensitivity_by_class_fold_threshold(spark, sf):
     oof = binary_oof(spark, sf)
@@ -187,13 +187,13 @@ def sensitivity_by_class_fold_threshold(spark, sf):
     return rounded(evaluate.sensitivity_by(hits, "Condition", z=evaluate.NINETY_FIVE_PERCENT), ["sensitivity", "error"])
 
 
-STAGED_CURVE = f"with {STAGED_OOF_SQL}, {roc_sql('oof')}, {_operating()}"
+STAGED_CURVE = f"with {STAGED_OOF_SQL}, {roc_sql('oof')}, {operating_point_sql()}"
 
 
 @query(
     "sensitivity_by_stage_pooled_threshold",
     f"""{STAGED_CURVE}, called as (select oof.*, (score >= (select threshold from op))::int as hit from oof),
-        {_sensitivity('"Stage"', 'hit', '1.0')}""",
+        {sensitivity_sql('"Stage"', 'hit', '1.0')}""",
 )
 def sensitivity_by_stage_pooled_threshold(spark, sf):
     oof = staged_oof(spark, sf)
@@ -204,7 +204,7 @@ def sensitivity_by_stage_pooled_threshold(spark, sf):
 
 @query(
     "sensitivity_by_stage_prediction",
-    f"with {STAGED_OOF_SQL}, called as (select * from oof), {_sensitivity(chr(34) + 'Stage' + chr(34), 'prediction', '1.0')}",
+    f"with {STAGED_OOF_SQL}, called as (select * from oof), {sensitivity_sql(chr(34) + 'Stage' + chr(34), 'prediction', '1.0')}",
 )
 def sensitivity_by_stage_prediction(spark, sf):
     return rounded(evaluate.sensitivity_by(staged_oof(spark, sf), "Stage", called="prediction"), ["sensitivity", "error"])
