@@ -69,7 +69,7 @@ def joint_loss(spark, sf):
 # For a linear score the attribution of a feature is weight * (value - background mean),
 # whatever the feature orders, so SQL can state the answer.
 
-WEIGHTS = {"l_quantity": 2.0, "l_discount": -30.0, "l_tax": 10.0, "o_totalprice": 1.0 / 7000}
+WEIGHTS = {"l_quantity": 2.0, "l_discount": -30.0, "l_tax": 10.0, "o_totalprice": 0.00137913}
 
 SAMPLE_SQL = """
 lines as (
@@ -84,9 +84,9 @@ long as (
   union all
   select row_id, 'l_tax', l_tax, 10.0::double * (l_tax - (select avg(l_tax) from background)) from explained
   union all
-  select row_id, 'o_totalprice', o_totalprice, (1::double / 7000) * (o_totalprice - (select avg(o_totalprice) from background)) from explained),
+  select row_id, 'o_totalprice', o_totalprice, 0.00137913::double * (o_totalprice - (select avg(o_totalprice) from background)) from explained),
 base as (
-  select avg(2 * l_quantity - 30 * l_discount + 10 * l_tax + (1::double / 7000) * o_totalprice) as base from background),
+  select avg(2 * l_quantity - 30 * l_discount + 10 * l_tax + 0.00137913::double * o_totalprice) as base from background),
 phis as (
   select row_id, c as class, feature, value, case when c = 0 then phi else -phi end as phi,
          case when c = 0 then base else 1 - base end as base

@@ -129,8 +129,7 @@ def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assay_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A raw sample table: text assays with marks, a class with normals, a stage, an age."""
     vectors_table = table(spark, sf_dir, "embeddings")
-    value = [F.exp(4.0 * F.col("embedding")[i].cast("double")).cast("string") for i in range(len(ASSAY_COLUMNS) + 1)]
-    marked = [F.when(F.col("vec_id") % 13 == i % 13, F.concat(F.lit("*"), v)).otherwise(v) for i, v in enumerate(value)]
+    marked = [F.expr(f"concat(if(vec_id % 13 = {i % 13}, '*', ''), cast(exp(4.0D * embedding[{i}]) as string))") for i in range(len(ASSAY_COLUMNS) + 1)]
     return vectors_table.select(
         F.col("vec_id").alias("row_id"),
         F.concat(F.lit("P"), F.col("vec_id").cast("string")).alias("PatientID"),

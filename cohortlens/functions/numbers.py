@@ -1,4 +1,8 @@
-"""Number rules shared by every operator: one meaning of "missing", safe ratios."""
+"""Number rules shared by every operator: one meaning of "missing", safe ratios.
+
+Per-column rules over wide tables are SQL text: one expression per column is parsed in the
+JVM, where building it from Python calls would cost more than the small jobs themselves.
+"""
 
 from __future__ import annotations
 
@@ -18,21 +22,28 @@ def col(name: str) -> Column:
     return F.col(quoted(name))
 
 
-def text_to_double(text: Column) -> Column:
-    """Number behind a marked text value; NULL when it is not a number.
+def number_in_text_sql(name: str) -> str:
+    """Number behind a marked text column; NULL when it is not a number.
+
+    The pattern refuses what the JVM alone would accept (``1.5d``, ``NaN``), and a finite
+    text that overflows to infinity is missing too.
+    """
+    bare = f"replace({quoted(name)}, '*', '')"
+    value = f"if({bare} rlike r'{NUMBER_PATTERN}', try_cast({bare} as double), null)"
+    overflow = f"abs({value}) = double('infinity') and not contains(lower({bare}), 'inf')"
+    return f"if({overflow}, null, {value})"
+
+
+def present_sql(name: str) -> str:
+    """Column as double with NaN turned into NULL.
 
-    The pattern refuses what the JVM alone would accept (``1.5d``, ``NaN``), and a
-    finite text that overflows to infinity is missing too.
+    Spark ranks NaN above every number in min, max and median, so only NULL may mean missing.
     """
-    bare = F.replace(text, F.lit("*"), F.lit(""))
-    value = F.when(bare.rlike(NUMBER_PATTERN), bare.try_cast("double"))
-    overflow = (F.abs(value) == float("inf")) & ~F.lower(bare).contains("inf")
-    return F.when(~overflow, value)
+    return f"nanvl(cast({quoted(name)} as double), cast(null as double))"
 
 
-def nan_as_null(value: Column) -> Column:
-    """Spark ranks NaN above every number in min/max/median, so only NULL may mean missing."""
-    return F.when(~F.isnan(value), value)
+def present(name: str) -> Column:
+    return F.expr(present_sql(name))
 
 
 def ratio(part: Column, whole: Column) -> Column:

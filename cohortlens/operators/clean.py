@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlens.functions.numbers import col, nan_as_null, quoted, text_to_double
+from cohortlens.functions.numbers import col, number_in_text_sql, present_sql, quoted
 from cohortlens.sources.schema import ASSAY_COLUMNS, ID_COLUMNS
 
 
@@ -21,15 +21,15 @@ def clean_numeric(df: DataFrame, columns: Sequence[str] | None = None, passthrou
     but NaN becomes NULL.
     """
     wanted = set(df.columns if columns is None else columns) - set(passthrough)
-    return df.select(*[_cleaned(f).alias(f.name) if f.name in wanted else col(f.name) for f in df.schema.fields])
+    return df.selectExpr(*[f"{_cleaned(f)} AS {quoted(f.name)}" if f.name in wanted else quoted(f.name) for f in df.schema])
 
 
-def _cleaned(field: T.StructField) -> Column:
+def _cleaned(field: T.StructField) -> str:
     if isinstance(field.dataType, T.StringType):
-        return text_to_double(col(field.name))
+        return number_in_text_sql(field.name)
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        return nan_as_null(col(field.name))
-    return col(field.name)
+        return present_sql(field.name)
+    return quoted(field.name)
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:

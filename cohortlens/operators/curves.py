@@ -16,7 +16,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numbers import col, nan_as_null, ratio
+from cohortlens.functions.numbers import col, present, ratio
 from cohortlens.operators.lookup import lookup_join
 
 # Operating point and the width of the band shown around an area.
@@ -30,7 +30,7 @@ def score_edges(df: DataFrame, score: str = "score", ranges: int | None = None)
     """Cut points of the score axis: one narrow scan of the score column."""
     if ranges is None:
         ranges = min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
-    scores = df.select(nan_as_null(col(score).cast("double")).alias("score"))
+    scores = df.select(present(score).alias("score"))
     cuts = scores.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
     return sorted({c for c in cuts if math.isfinite(c)})
 
@@ -58,7 +58,7 @@ def score_ladder(
     by = list(by)
     usable = df.select(
         *[col(c) for c in by],
-        nan_as_null(col(score).cast("double")).alias("score"),
+        present(score).alias("score"),
         col(label).cast("int").alias("_y"),
     ).filter(F.col("score").isNotNull() & F.col("_y").isNotNull())
     merged = usable.groupBy(*by, "score").agg(

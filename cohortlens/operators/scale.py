@@ -7,30 +7,33 @@ returns one number per column; each apply is a single projection.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Hashable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numbers import col, nan_as_null
+from cohortlens.functions.numbers import present_sql, quoted
 
 # A median is finished by an exact sort once at most this many candidate values are left.
 MEDIAN_VALUES_IN_MEMORY = 20_000
 
 
-def _one_row(df: DataFrame, aggregates: Mapping[str, Column]) -> dict:
-    names = list(aggregates)
-    row = df.agg(*[aggregates[n].alias(f"a{i}") for i, n in enumerate(names)]).first()
-    return dict(zip(names, row))
+def _one_row(df: DataFrame, aggregates: Mapping[Hashable, str]) -> dict:
+    """Values of several SQL aggregates over one scan."""
+    keys = list(aggregates)
+    row = df.agg(*[F.expr(aggregates[k]).alias(f"a{i}") for i, k in enumerate(keys)]).first()
+    return dict(zip(keys, row))
 
 
-def _present(name: str) -> Column:
-    return nan_as_null(col(name).cast("double"))
+def _replace(df: DataFrame, new: Mapping[str, str]) -> DataFrame:
+    return df.selectExpr(*[f"{new[c]} AS {quoted(c)}" if c in new else quoted(c) for c in df.columns])
 
 
-def _replace(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
-    return df.select(*[new[c].alias(c) if c in new else col(c) for c in df.columns])
+def _literal(value: float) -> str:
+    return f"double('{float(value)!r}')"
 
 
 # --- log2 -------------------------------------------------------------------
@@ -41,12 +44,12 @@ def fit_log2(df: DataFrame, columns: Sequence[str], exclude: Sequence[str] = ())
     wanted = [c for c in columns if c not in exclude]
     if not wanted:
         return {}
-    lowest = _one_row(df, {c: F.min(_present(c)) for c in wanted})
+    lowest = _one_row(df, {c: f"min({present_sql(c)})" for c in wanted})
     return {c: 0.0 if m is None or m > 0 else abs(m) + 1.0 for c, m in lowest.items()}
 
 
 def apply_log2(df: DataFrame, offsets: Mapping[str, float]) -> DataFrame:
-    return _replace(df, {c: F.log2(_present(c) + F.lit(float(o))) for c, o in offsets.items()})
+    return _replace(df, {c: f"log2({present_sql(c)} + {_literal(o)})" for c, o in offsets.items()})
 
 
 def log2_normalize(df: DataFrame, columns: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
@@ -63,32 +66,33 @@ class Scaling:
 
 
 def fit_standardize(df: DataFrame, columns: Sequence[str]) -> Scaling:
-    """Mean and population standard deviation; infinite input is an error."""
-    stats = {}
-    for c in columns:
-        value = _present(c)
-        stats[c] = F.struct(
-            F.avg(value).alias("mean"),
-            F.stddev_pop(value).alias("std"),
-            F.bool_or(F.abs(value) == float("inf")).alias("infinite"),
-        )
-    row = _one_row(df, stats)
-    bad = [c for c in columns if row[c]["infinite"]]
+    """Mean and population standard deviation of complete rows; infinite input is an error.
+
+    All columns are summarised as one vector: a single aggregation buffer, where separate
+    aggregates over forty columns would be too wide for generated code.
+    """
+    names = list(columns)
+    vector = VectorAssembler(inputCols=names, outputCol="_v", handleInvalid="error").transform(df)
+    summary = vector.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("_v")).alias("s")).first()["s"]
+    n = summary["count"]
+    if n == 0:
+        return Scaling(dict.fromkeys(names), dict.fromkeys(names))
+    means = [float(m) for m in summary["mean"]]
+    bad = [c for c, m in zip(names, means) if not math.isfinite(m)]
     if bad:
         raise ValueError(f"infinite values in {bad}")
-    return Scaling({c: row[c]["mean"] for c in columns}, {c: row[c]["std"] for c in columns})
+    stds = [math.sqrt(max(float(v), 0.0) * (n - 1) / n) for v in summary["variance"]]
+    return Scaling(dict(zip(names, means)), dict(zip(names, stds)))
 
 
 def apply_standardize(df: DataFrame, scaling: Scaling) -> DataFrame:
     """``(x - mean) / std``; a constant column becomes 0."""
-    return _replace(
-        df,
-        {
-            c: (_present(c) - F.lit(m)) / F.lit(scaling.stds[c] or 1.0)
-            for c, m in scaling.means.items()
-            if m is not None
-        },
-    )
+    scaled = {
+        c: f"({present_sql(c)} - {_literal(m)}) / {_literal(scaling.stds[c] or 1.0)}"
+        for c, m in scaling.means.items()
+        if m is not None
+    }
+    return _replace(df, scaled)
 
 
 def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -100,7 +104,7 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 @dataclass
 class _Search:
-    """Where the value of one rank of one column can still lie: an open interval."""
+    """Open value interval of a column that is known to hold the value of some rank."""
 
     column: str
     rank: int
@@ -109,14 +113,15 @@ class _Search:
     low: float | None = None
     high: float | None = None
 
-    def candidates(self) -> Column:
-        value = _present(self.column)
-        keep = value.isNotNull()
-        if self.low is not None:
-            keep &= value > self.low
-        if self.high is not None:
-            keep &= value < self.high
-        return F.when(keep, value)
+    @property
+    def interval(self) -> tuple:
+        return self.column, self.low, self.high
+
+    def candidates(self) -> str:
+        value = present_sql(self.column)
+        limits = [f"{value} > {_literal(self.low)}"] if self.low is not None else []
+        limits += [f"{value} < {_literal(self.high)}"] if self.high is not None else []
+        return f"if({' and '.join(limits)}, {value}, null)" if limits else value
 
 
 def fit_medians(
@@ -130,7 +135,7 @@ def fit_medians(
     left they are sorted exactly. Passes scan but never shuffle rows, and their number
     grows with the logarithm of the row count.
     """
-    counts = _one_row(df, {c: F.count(_present(c)) for c in columns})
+    counts = _one_row(df, {c: f"count({present_sql(c)})" for c in columns})
     searches = [
         _Search(c, rank, below=0, inside=n)
         for c, n in counts.items()
@@ -139,59 +144,78 @@ def fit_medians(
     ]
     found: dict[str, list[float]] = {c: [] for c in columns}
     while searches:
-        ready = [s for s in searches if s.inside <= in_memory]
-        if ready:
-            values = _one_row(
-                df,
-                {
-                    i: F.element_at(F.sort_array(F.collect_list(s.candidates())), s.rank - s.below + 1)
-                    for i, s in enumerate(ready)
-                },
-            )
-            for i, s in enumerate(ready):
-                found[s.column].append(values[i])
-        searches = _narrow(df, [s for s in searches if s.inside > in_memory], found)
+        _pick([s for s in searches if s.inside <= in_memory], df, found)
+        searches = _narrow([s for s in searches if s.inside > in_memory], df, found)
     return {c: sum(v) / len(v) if v else None for c, v in found.items()}
 
 
-def _narrow(df: DataFrame, searches: list[_Search], found: dict[str, list[float]]) -> list[_Search]:
-    """Tighten every interval; a rank that falls on a cut value itself is finished."""
+def _pick(searches: list[_Search], df: DataFrame, found: dict[str, list[float]]) -> None:
+    """Read the wanted ranks from the few sorted values of each interval."""
+    if not searches:
+        return
+    positions: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        positions.setdefault(s.interval, []).append(s)
+    picked = _one_row(
+        df,
+        {
+            key: f"transform(array({', '.join(str(s.rank - s.below) for s in group)}), "
+            f"i -> get(sort_array(collect_list({group[0].candidates()})), i))"
+            for key, group in positions.items()
+        },
+    )
+    for key, values in picked.items():
+        found[key[0]].extend(values)
+
+
+def _narrow(searches: list[_Search], df: DataFrame, found: dict[str, list[float]]) -> list[_Search]:
+    """Tighten every interval; a rank that falls on a cut value itself is finished.
+
+    Cut values come from inside the open interval and are left out of the next one, so
+    every pass makes progress whatever the values are.
+    """
     if not searches:
         return []
-    cuts = _one_row(df, {i: _cuts(s) for i, s in enumerate(searches)})
-    edges = {(s.column, e) for i, s in enumerate(searches) for e in cuts[i]}
+    cuts = _one_row(df, {s.interval: _cuts(s) for s in searches})
+    edges = {(s.column, e) for s in searches for e in cuts[s.interval]}
     seen = _one_row(
         df,
         {
-            (c, e): F.struct(F.count_if(_present(c) < e).alias("lt"), F.count_if(_present(c) <= e).alias("le"))
+            (c, e): f"struct(count_if({present_sql(c)} < {_literal(e)}) AS lt, count_if({present_sql(c)} <= {_literal(e)}) AS le)"
             for c, e in edges
         },
     )
-    open_searches = []
-    for i, s in enumerate(searches):
-        for edge in sorted(set(cuts[i])):
+    still_open = []
+    for s in searches:
+        total = s.below + s.inside
+        on_edge = False
+        for edge in sorted(set(cuts[s.interval])):
             at = seen[s.column, edge]
             if at["le"] <= s.rank:
                 s.low, s.below = edge, at["le"]
             elif at["lt"] <= s.rank:
                 found[s.column].append(edge)
+                on_edge = True
                 break
             else:
-                s.high, s.inside = edge, at["lt"] - s.below
-                open_searches.append(s)
+                s.high, total = edge, at["lt"]
                 break
-    return open_searches
+        if not on_edge:
+            s.inside = total - s.below
+            still_open.append(s)
+    return still_open
 
 
-def _cuts(search: _Search) -> Column:
-    """Smallest, largest and near-target values inside; the ends make every pass progress."""
+def _cuts(search: _Search) -> str:
+    """Values a little below and above the wanted rank, inside the interval."""
     target = (search.rank - search.below + 0.5) / search.inside
-    probs = sorted({0.0, max(target - 0.005, 0.0), target, min(target + 0.005, 1.0), 1.0})
-    return F.percentile_approx(search.candidates(), probs, 1000)
+    probs = f"array({max(target - 0.005, 0.0)!r}D, {min(target + 0.005, 1.0)!r}D)"
+    return f"percentile_approx({search.candidates()}, {probs}, 1000)"
 
 
 def fill_missing(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:
-    return _replace(df, {c: F.coalesce(_present(c), F.lit(v)) for c, v in values.items() if v is not None})
+    filled = {c: f"coalesce({present_sql(c)}, {_literal(v)})" for c, v in values.items() if v is not None}
+    return _replace(df, filled)
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -200,5 +224,5 @@ def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def median_of_cells(df: DataFrame, columns: Sequence[str]) -> float | None:
     """Median over every value of every listed column together."""
-    cells = df.select(F.explode(F.array(*[_present(c) for c in columns])).alias("cell"))
+    cells = df.selectExpr(f"explode(array({', '.join(present_sql(c) for c in columns)})) AS cell")
     return fit_medians(cells, ["cell"])["cell"]
