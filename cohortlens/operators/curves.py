@@ -37,9 +37,10 @@ def score_edges(df: DataFrame, score: str = "score", ranges: int | None = None)
 
 def _with_range(df: DataFrame, edges: Sequence[float]) -> DataFrame:
     if not edges:
-        return df.withColumn("_range", F.lit(0.0))
+        return df.withColumn("_range", F.lit(0))
     splits = [-math.inf, *edges, math.inf]
-    return Bucketizer(splits=splits, inputCol="score", outputCol="_range").transform(df)
+    cut = Bucketizer(splits=splits, inputCol="score", outputCol="_range").transform(df)
+    return cut.withColumn("_range", F.col("_range").cast("int"))
 
 
 def score_ladder(
@@ -53,7 +54,7 @@ def score_ladder(
 
     Columns: ``by``, ``score``, ``tp``/``fp`` (rows at this score), ``tps``/``fps`` (rows at
     this score or above), ``positives``/``negatives`` (totals), ``next_tp``/``next_fp`` (rows
-    at the next lower score, NULL at the end). Rows without score or label are left out.
+    at the next lower score, NULL at the end). Rows without score, label or group are left out.
     """
     by = list(by)
     usable = df.select(
@@ -124,19 +125,15 @@ def curve_points(ladder: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     is_first = (F.col("tps") == F.col("tp")) & (F.col("fps") == F.col("fp"))
     is_last = F.col("next_tp").isNull()
     bends = (F.col("next_tp") != F.col("tp")) | (F.col("next_fp") != F.col("fp"))
-    kept = ladder.filter(is_first | is_last | bends)
-    points = kept.select(
-        *by,
+    point = F.struct(
         F.col("score").alias("threshold"),
         ratio(F.col("fps"), F.col("negatives")).alias("fpr"),
         ratio(F.col("tps"), F.col("positives")).alias("tpr"),
     )
-    start = [F.lit(math.inf).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")]
-    if by:
-        origin = ladder.filter(is_last).select(*by, *start)
-    else:
-        origin = ladder.sparkSession.range(1).select(*start)
-    return origin.unionByName(points)
+    start = F.struct(F.lit(math.inf).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    # Every group has one last score; it also emits the start, so no second pass is needed.
+    points = F.when(is_last, F.array(point, start)).otherwise(F.array(point))
+    return ladder.filter(is_first | is_last | bends).select(*by, F.inline(points))
 
 
 def roc_curve(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:

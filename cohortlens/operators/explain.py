@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.numbers import col
 from cohortlens.operators.folds import SEED
-from cohortlens.operators.lookup import lookup_join
+from cohortlens.operators.lookup import BROADCAST_ROWS, bounded_rows, lookup_join
 from cohortlens.operators.ranking import WATERFALL_FEATURES
 
 # Attribution budget and number of features shown one by one.
@@ -41,8 +41,7 @@ def shapley_attributions(
     base``; per row and class ``base + sum(phi)`` is the score of the row.
     """
     d = len(features)
-    numbered = _number_background(background, features, key)
-    n_background = numbered.count()
+    numbered, n_background = _number_background(background, features, key)
     rows = df.select(col(key).alias("row_id"), F.array(*[col(f).cast("double") for f in features]).alias("row_x"))
     drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(rounds * n_background - 1))))
     paired = lookup_join(drawn.withColumn("b", F.col("draw") % n_background), numbered, ["b"], "inner")
@@ -87,13 +86,18 @@ def shapley_attributions(
     )
 
 
-def _number_background(background: DataFrame, features: Sequence[str], key: str) -> DataFrame:
-    """Background rows as ``(b, background_x)`` with b = 0, 1, ...: a sample, so a small table."""
-    order = Window.partitionBy(F.lit(0)).orderBy(col(key))
-    return background.select(
-        (F.row_number().over(order) - 1).alias("b"),
-        F.array(*[col(f).cast("double") for f in features]).alias("background_x"),
-    )
+def _number_background(background: DataFrame, features: Sequence[str], key: str) -> tuple[DataFrame, int]:
+    """Background rows as ``(b, background_x)`` with b = 0, 1, ..., and how many they are.
+
+    Every explained row meets every one of them, so a background has to be a sample; one
+    that is too large for that is refused rather than cut.
+    """
+    values = F.array(*[col(f).cast("double") for f in features]).alias("background_x")
+    sample = bounded_rows(background.select(col(key).alias("_key"), values))
+    if sample is None:
+        raise ValueError(f"the background has more than {BROADCAST_ROWS} rows: sample it first")
+    order = Window.partitionBy(F.lit(0)).orderBy("_key")
+    return sample.select((F.row_number().over(order) - 1).alias("b"), "background_x"), sample.count()
 
 
 def shap_ranking(attributions: DataFrame) -> DataFrame:

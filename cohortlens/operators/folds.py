@@ -25,13 +25,13 @@ def stratified_folds(
     ranked inside (class, hash prefix) and the prefix starts come from a running sum over
     the counts. Prefixes split any class evenly because ``key`` is unique.
     """
-    # A text class key is never NULL, so the join below matches the window's partitioning
-    # and the wide rows are shuffled once.
+    # Join keys that are never NULL: the join then matches the window's partitioning, so the
+    # wide rows are shuffled once, and no null filter repeats the hash in the scan.
     class_key = F.coalesce(F.concat(F.lit("="), col(label).cast("string")), F.lit(""))
     hashed = (
         df.withColumn("_class", class_key)
         .withColumn("_hash", keyed_hash(key, seed))
-        .withColumn("_prefix", F.substring("_hash", 1, hash_digits))
+        .withColumn("_prefix", F.coalesce(F.substring("_hash", 1, hash_digits), F.lit("")))
     )
     in_prefix = Window.partitionBy("_class", "_prefix").orderBy("_hash", col(key))
     ranked = hashed.withColumn("_rank", F.row_number().over(in_prefix) - 1)
@@ -43,10 +43,10 @@ def stratified_folds(
 
 def _prefix_starts(hashed: DataFrame, label: str) -> DataFrame:
     """Global start position of every (class, prefix): at most 16^digits rows per class."""
-    counts = hashed.groupBy("_class", "_prefix").agg(F.count(F.lit(1)).alias("_n"), F.min(col(label)).alias("_label"))
+    counts = hashed.groupBy("_class", col(label).alias("_label"), "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_class").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     in_class = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    per_class = counts.groupBy("_class").agg(F.sum("_n").alias("_total"), F.min("_label").alias("_label"))
+    per_class = counts.groupBy("_class", "_label").agg(F.sum("_n").alias("_total"))
     # One row per class, so the single-task window is over a handful of rows.
     smaller = (
         Window.partitionBy(F.lit(0))

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortlens.functions.numbers import quoted
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder the cluster names in ``spark.checkpoint.dir``.
@@ -44,10 +46,11 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     costs a re-read instead of the whole history.
     """
     path = scratch_path(df.sparkSession, name)
-    writer = df.write.mode("errorifexists")
     if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+        # Rows of one partition value are brought together in files of the advisory size;
+        # otherwise every task would write a small file per value.
+        df.hint("rebalance", partition_by).write.partitionBy(partition_by).parquet(path)
+    else:
+        df.write.parquet(path)
     schema = df.schema
-    staged = df.sparkSession.read.schema(schema).parquet(path)
-    return staged.select(*[f"`{f.name}`" for f in schema.fields])
+    return df.sparkSession.read.schema(schema).parquet(path).selectExpr(*[quoted(f.name) for f in schema])
