@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.bindings.registry import query, rounded, table
-from cohortlens.bindings.views import BINARY_OOF_SQL, STAGED_OOF_SQL, binary_cohort, binary_oof, staged_oof
+from cohortlens.bindings.views import BINARY_OOF_SQL, STAGED_OOF_SQL, binary_cohort, staged_binary_oof, staged_oof
 from cohortlens.operators import curves, evaluate
 
 
@@ -56,7 +56,7 @@ def roc_curve(spark, sf):
 
 @query("roc_curve_by_fold", f"{FOLD_CURVE} select fold::int as fold, thr as threshold, {ROUNDED_POINTS} from pts")
 def roc_curve_by_fold(spark, sf):
-    return rounded(curves.roc_curve(binary_oof(spark, sf), by=["fold"]), ["fpr", "tpr"])
+    return rounded(curves.roc_curve(staged_binary_oof(spark, sf), by=["fold"]), ["fpr", "tpr"])
 
 
 LINE_CURVE = f"""
@@ -110,7 +110,7 @@ def auc(spark, sf):
 
 @query("auc_by_fold", f"{FOLD_CURVE}, {auc_sql('pts', 'fold')} select fold::int as fold, {AUC_COLUMNS} from areas where auc is not null")
 def auc_by_fold(spark, sf):
-    return rounded(curves.auc(binary_oof(spark, sf), by=["fold"]), AUC_NAMES)
+    return rounded(curves.auc(staged_binary_oof(spark, sf), by=["fold"]), AUC_NAMES)
 
 
 @query("auc_of_points", f"{LINE_CURVE}, {auc_sql('pts')} select round(auc, 6) as auc from areas")
@@ -134,7 +134,7 @@ def threshold_at_specificity(spark, sf):
 
 @query("threshold_at_specificity_by_fold", f"{FOLD_CURVE}, {operating_point_sql('fold')} select fold::int as fold, threshold, sensitivity, specificity from op")
 def threshold_at_specificity_by_fold(spark, sf):
-    points = curves.roc_curve(binary_oof(spark, sf), by=["fold"])
+    points = curves.roc_curve(staged_binary_oof(spark, sf), by=["fold"])
     return rounded(curves.threshold_at_specificity(points, ["fold"]), ["sensitivity", "specificity"])
 
 
@@ -161,7 +161,7 @@ def apply_threshold_pooled(spark, sf):
     f"{FOLD_CURVE}, {operating_point_sql('fold')} select row_id, fold::int as fold, (score >= threshold)::int as called from oof join op using (fold)",
 )
 def apply_threshold_by_fold(spark, sf):
-    oof = binary_oof(spark, sf)
+    oof = staged_binary_oof(spark, sf)
     per_fold = curves.threshold_at_specificity(curves.roc_curve(oof, by=["fold"]), ["fold"])
     return curves.apply_threshold(oof, per_fold, ["fold"]).select("row_id", "fold", "called")
 
@@ -181,7 +181,7 @@ def sensitivity_sql(group: str, called: str, z: str) -> str:
         {sensitivity_sql('"Condition"', 'hit', '1.96')}""",
 )
 def sensitivity_by_class_fold_threshold(spark, sf):
-    oof = binary_oof(spark, sf)
+    oof = staged_binary_oof(spark, sf)
     per_fold = curves.threshold_at_specificity(curves.roc_curve(oof, by=["fold"]), ["fold"])
     hits = curves.apply_threshold(oof, per_fold, ["fold"])
     return rounded(evaluate.sensitivity_by(hits, "Condition", z=evaluate.NINETY_FIVE_PERCENT), ["sensitivity", "error"])

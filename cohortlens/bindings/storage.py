@@ -12,7 +12,7 @@ from cohortlens.operators import clean, curves, evaluate, folds, report, scale
 from cohortlens.sources import sinks
 from cohortlens.sources.samples import read_samples
 from cohortlens.sources.schema import find_label_column, sample_schema
-from cohortlens.sources.staging import scratch_path
+from cohortlens.sources.staging import scratch_path, stage
 
 
 def _raw_customers(spark, sf):
@@ -158,7 +158,7 @@ def binary_score_report(spark, sf):
     )
     labelled = clean.binary_label(customers, normal="BUILDING", out="label")
     scaled = rounded(scale.standardize(scale.log2_normalize(labelled, ["score"]), ["score"]), ["score"])
-    oof = folds.stratified_folds(scaled, "label", "row_id")
+    oof = stage(folds.stratified_folds(scaled, "label", "row_id"), "score-report")
     per_fold = curves.threshold_at_specificity(curves.roc_curve(oof, by=["fold"]), ["fold"])
     hits = curves.apply_threshold(oof, per_fold, ["fold"])
     by_class = evaluate.sensitivity_by(hits, "Condition", z=evaluate.NINETY_FIVE_PERCENT)

@@ -14,6 +14,7 @@ from cohortlens.bindings.registry import table
 from cohortlens.functions import vectors
 from cohortlens.operators import clean, folds
 from cohortlens.sources.schema import ASSAY_COLUMNS
+from cohortlens.sources.staging import stage
 
 NORMAL_SEGMENT = "BUILDING"
 N_CLASSES = 10
@@ -47,6 +48,11 @@ def binary_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.withColumn("prediction", (F.col("score") >= 4500).cast("int"))
 
 
+def staged_binary_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored cohort as a study leaves it: written once, then read by every report."""
+    return stage(binary_oof(spark, sf_dir), "binary-oof")
+
+
 # --- staged cohort ----------------------------------------------------------
 
 STAGED_OOF_SQL = """

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import vectors
-from cohortlens.operators import evaluate, explain, folds, latent, models, profile, ranking
+from cohortlens.operators import clean, evaluate, explain, folds, latent, models, profile, ranking
 from cohortlens.plans.binary import binary_summary, binary_tables, sensitivity_tables
 from cohortlens.plans.common import Cohort, Study, prepare_cohort, validate
-from cohortlens.plans.types import cancers_only, type_summary, type_tables
+from cohortlens.plans.types import type_summary, type_tables
 from cohortlens.sources.bundle import ModelBundle
 from cohortlens.sources.staging import stage
 
@@ -66,7 +66,7 @@ def run_latent(
     explained_rows: int = explain.EXPLAINED_ROWS,
 ) -> Study:
     """Cross-validate embedding and class head, report, explain the best fold, refit."""
-    source = samples if task == "binary" else cancers_only(samples)
+    source = samples if task == "binary" else clean.exclude_class(samples)
     cohort = prepare_cohort(source, task, k, fit_scope=fit_scope)
     n_features, n_classes = len(cohort.features), len(cohort.classes)
 

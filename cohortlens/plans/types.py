@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numbers import col
 from cohortlens.operators import clean, evaluate, folds, models, profile
 from cohortlens.operators.report import metrics_table, section
 from cohortlens.plans.common import Cohort, Study, accuracy_tables, cohort_facts, prepare_cohort, validate
@@ -42,11 +41,6 @@ def type_summary(cohort: Cohort, tables: dict[str, DataFrame], **settings: float
     )
 
 
-def cancers_only(samples: DataFrame) -> DataFrame:
-    """Rows with a known cancer type: type models have no normal class and no missing label."""
-    return clean.exclude_class(samples).filter(col("Condition").isNotNull())
-
-
 def run_type(
     samples: DataFrame,
     weighted: bool = False,
@@ -55,9 +49,12 @@ def run_type(
     fit_scope: str = "all",
     parallelism: int = 2,
 ) -> Study:
-    """Cross-validate the type model, report top-1 and top-2 accuracy, refit on all rows."""
+    """Cross-validate the type model, report top-1 and top-2 accuracy, refit on all rows.
+
+    Normal samples are left out; a sample without a type is an error, as it has no code.
+    """
     spark = samples.sparkSession
-    cancers = cancers_only(samples)
+    cancers = clean.exclude_class(samples)
     cohort = prepare_cohort(cancers, "type", k, fit_scope=fit_scope)
 
     def fit(train: DataFrame):
