@@ -44,6 +44,9 @@ def shapley_attributions(
     numbered, n_background = _number_background(background, features, key)
     rows = df.select(col(key).alias("row_id"), F.array(*[col(f).cast("double") for f in features]).alias("row_x"))
     drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(rounds * n_background - 1))))
+    # A sample arrives in one small partition; scoring its many switched copies must not stay there.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = drawn.repartition(tasks, "row_id", "draw")
     paired = lookup_join(drawn.withColumn("b", F.col("draw") % n_background), numbered, ["b"], "inner")
 
     hashed = F.transform(

@@ -13,10 +13,10 @@ from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.functions import vectors
@@ -144,26 +144,35 @@ def fit_latent(
 
 # --- scores -----------------------------------------------------------------
 
-_MODEL_COLUMNS = ("features", "weight", "rawPrediction", "probability", "prediction", "embedding")
 
-
-def _keep(scored: DataFrame, *outputs) -> DataFrame:
-    kept = [col(c) for c in scored.columns if c not in _MODEL_COLUMNS]
-    return scored.select(*kept, *outputs)
+def _carried(df: DataFrame) -> list[Column]:
+    """Input columns that go along with the scores: all but the model's own inputs."""
+    return [col(c) for c in df.columns if c not in ("features", "weight")]
 
 
 def score_binary(model: Transformer, df: DataFrame) -> DataFrame:
     """``score`` = probability of class 1 and ``prediction`` = 0/1."""
     scored = model.transform(df)
     probs = vector_to_array(F.col("probability"))
-    return _keep(scored, F.col("prediction").cast("int").alias("prediction"), vectors.element(probs, 1).alias("score"))
+    return scored.select(
+        *_carried(df), F.col("prediction").cast("int").alias("prediction"), vectors.element(probs, 1).alias("score")
+    )
 
 
-def score_boosted_multi(model: Transformer, df: DataFrame) -> DataFrame:
-    """``probs`` from the one-vs-rest margins and ``prediction`` = most probable class."""
-    scored = model.transform(df)
-    probs = vectors.one_vs_rest_probabilities(vector_to_array(F.col("rawPrediction")))
-    ready = _keep(scored, probs.alias("probs"))
+def score_boosted_multi(model: OneVsRestModel, df: DataFrame) -> DataFrame:
+    """``probs`` from the one-vs-rest margins and ``prediction`` = most probable class.
+
+    The class models are applied one after the other without caching in between, so a
+    streaming frame can be scored too.
+    """
+    scored, margins = df, []
+    for i, class_model in enumerate(model.models):
+        out = f"_margin{i}"
+        only_margin = {class_model.rawPredictionCol: out, class_model.probabilityCol: "", class_model.predictionCol: ""}
+        scored = class_model.copy(only_margin).transform(scored)
+        margins.append(vector_to_array(F.col(out))[1])
+    probs = vectors.one_vs_rest_probabilities(F.array(*margins))
+    ready = scored.select(*_carried(df), probs.alias("probs"))
     return ready.withColumn("prediction", vectors.argmax(F.col("probs")))
 
 
@@ -172,8 +181,8 @@ def score_latent(model: Transformer, df: DataFrame) -> DataFrame:
     scored = model.transform(df)
     probs = vector_to_array(F.col("probability"))
     z = vectors.nan_to_zero(vector_to_array(F.col("embedding")))
-    return _keep(
-        scored,
+    return scored.select(
+        *_carried(df),
         F.col("prediction").cast("int").alias("prediction"),
         probs.alias("probs"),
         vectors.element(probs, 1).alias("score"),

@@ -209,8 +209,8 @@ def _narrow(searches: list[_Search], df: DataFrame, found: dict[str, list[float]
 def _cuts(search: _Search) -> str:
     """Values a little below and above the wanted rank, inside the interval."""
     target = (search.rank - search.below + 0.5) / search.inside
-    probs = f"array({max(target - 0.005, 0.0)!r}D, {min(target + 0.005, 1.0)!r}D)"
-    return f"percentile_approx({search.candidates()}, {probs}, 1000)"
+    probs = f"array({max(target - 0.0005, 0.0)!r}D, {min(target + 0.0005, 1.0)!r}D)"
+    return f"percentile_approx({search.candidates()}, {probs}, 10000)"
 
 
 def fill_missing(df: DataFrame, values: Mapping[str, float | None]) -> DataFrame:

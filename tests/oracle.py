@@ -37,23 +37,29 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
-def kind(type_name: str) -> str:
-    return type_name.lower()
+SQL_NAMES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "boolean": "BOOLEAN",
+    "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP",
+}
+
+
+def sql_type(spark_type: str) -> str:
+    if spark_type.startswith("array<"):
+        return sql_type(spark_type[6:-1]) + "[]"
+    return SQL_NAMES.get(spark_type, spark_type)
 
 
 def compare(spark, con, fn, sql, sf_dir: str) -> str | None:
-    """None when equal, else a short description of the first difference."""
+    """None when names, types and rows are equal, else a short description."""
     df = fn(spark, sf_dir)
-    left_columns, left = rows_of(df.columns, [tuple(r) for r in df.collect()])
     result = con.execute(sql)
+    left_types = sorted((n, sql_type(t)) for n, t in df.dtypes)
+    right_types = sorted((d[0], str(d[1])) for d in result.description)
+    if left_types != right_types:
+        return f"schemas differ: {sorted(set(left_types) ^ set(right_types))}"
     names = [d[0] for d in result.description]
-    types = {d[0]: str(d[1]) for d in result.description}
-    right_columns, right = rows_of(names, result.fetchall())
-    if left_columns != right_columns:
-        return f"columns {left_columns} != {right_columns}"
-    wide = [n for n, t in types.items() if t.startswith(("HUGEINT", "DECIMAL"))]
-    if wide:
-        return f"oracle columns of a type Spark has not: {wide}"
+    _, right = rows_of(names, result.fetchall())
+    _, left = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if len(left) != len(right):
         return f"{len(left)} rows != {len(right)}"
     bad = [(a, b) for a, b in zip(left, right) if a != b]

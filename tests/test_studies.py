@@ -98,7 +98,7 @@ def test_missing_feature_is_refused(binary_study, samples):
         scoring.score_risk(samples.drop("AFP (pg/ml)"), binary_study.bundle)
 
 
-def test_type_study_with_weights(samples):
+def test_type_study_with_weights(spark, samples, tmp_path):
     study = run_type(samples, weighted=True, k=2, rounds=2)
     n = samples.filter("Condition <> 'Normal'").count()
     tables = study.tables
@@ -109,6 +109,11 @@ def test_type_study_with_weights(samples):
     named = {r["class"] for r in tables["classification_report"].collect()}
     assert {"Breast", "Lung", "Ovary", "accuracy", "macro avg", "weighted avg"} == named
     top = scoring.score_types(samples, study.bundle).first()
+    folder, columns = str(tmp_path / "in"), samples.columns
+    samples.coalesce(1).write.option("header", True).csv(folder)
+    scored = score_stream(read_sample_stream(spark, folder, sample_schema(columns)), study.bundle)
+    write_score_stream(scored, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == samples.count()
     assert len(top["top_labels"]) == 2 and top["top_probabilities"][0] >= top["top_probabilities"][1]
 
 
