@@ -166,6 +166,38 @@ def mean_importance(spark, sf):
     return models.mean_importance([models.feature_importance(spark, m, names) for m in fitted])
 
 
+# What must hold for the fitted tables above, whatever the model.
+
+
+@query(
+    "loss_curve_improves",
+    "select fold, true as improved from (select distinct (vec_id % 2)::int as fold from embeddings)",
+)
+def loss_curve_improves(spark, sf):
+    """The last loss of a fold's head is below its first."""
+    losses = loss_curve(spark, sf).groupBy("fold").agg(
+        F.min_by("loss", "iteration").alias("first"), F.max_by("loss", "iteration").alias("last")
+    )
+    return losses.select("fold", (F.col("last") < F.col("first")).alias("improved"))
+
+
+@query("project_2d_axes", "select count(*) as n, true as uncorrelated, true as ordered from embeddings")
+def project_2d_axes(spark, sf):
+    """The two axes of the map are uncorrelated and the first carries more variance."""
+    return project_2d(spark, sf).agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.abs(F.corr("x", "y")) < 1e-6).alias("uncorrelated"),
+        (F.var_pop("x") >= F.var_pop("y")).alias("ordered"),
+    )
+
+
+@query("feature_importance_share", "select max(len(embedding)) as n_features, true as sums_to_one from embeddings")
+def feature_importance_share(spark, sf):
+    return feature_importance(spark, sf).agg(
+        F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("importance") - 1.0) < 1e-9).alias("sums_to_one")
+    )
+
+
 # --- bundles and scoring ----------------------------------------------------
 
 
@@ -265,6 +297,32 @@ def run_binary_summary(spark, sf):
     return run_binary(assay_cohort(spark, sf), k=2, rounds=ROUNDS).tables["summary"]
 
 
+STUDY_SQL = """
+with samples as (
+  select vec_id as row_id, case when label < 4 then 'Normal' when label < 6 then 'Lung' when label < 8 then 'Ovary' else 'Breast' end as "Condition"
+  from embeddings {where}),
+coded as (select *, {code} as label from samples)
+select row_id, "Condition", label::int as label,
+       ((row_number() over (order by label, md5(concat('42|', cast(row_id as varchar))), row_id) - 1) % 2)::int as fold, true as sound
+from coded
+"""
+
+
+@query("run_binary_oof", STUDY_SQL.format(where="", code="""case when "Condition" = 'Normal' then 0 else 1 end"""))
+def run_binary_oof(spark, sf):
+    """Every sample of the study is scored once, in its own fold, under its own label."""
+    oof = run_binary(assay_cohort(spark, sf), k=2, rounds=ROUNDS).tables["oof"]
+    return oof.select("row_id", "Condition", "label", "fold", F.col("score").between(0, 1).alias("sound"))
+
+
+@query("run_type_weighted_oof", STUDY_SQL.format(where="where label >= 4", code="""dense_rank() over (order by "Condition") - 1"""))
+def run_type_weighted_oof(spark, sf):
+    """As above for the type study: normal samples are out, labels are sorted codes."""
+    oof = run_type(assay_cohort(spark, sf), weighted=True, k=2, rounds=ROUNDS).tables["oof"]
+    sound = (F.abs(vectors.total(F.col("probs")) - 1.0) < 1e-9) & (F.size("probs") == 3)
+    return oof.select("row_id", "Condition", "label", "fold", sound.alias("sound"))
+
+
 @query("run_type_summary")
 def run_type_summary(spark, sf):
     return run_type(assay_cohort(spark, sf), k=2, rounds=ROUNDS).tables["summary"]
