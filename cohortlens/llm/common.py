@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+import cohortlens
 from cohortlens.sources.staging import scratch_path
 
-__all__ = ["drop_path", "renamed_aside", "staged", "staged_path", "table", "texts_of"]
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, as ``--py-files`` does, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(cohortlens.__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="cohortlens-code-"), "cohortlens.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.dirname(os.path.abspath(cohortlens.__file__))):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), root))
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -30,14 +49,3 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a staged table through the file system it lies on."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def renamed_aside(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` without its own columns called like the result columns ``columns``."""
-    return df.drop(*columns)
-
-
-def texts_of(batch, name: str) -> Iterator[str]:
-    """Texts of an Arrow batch one by one; a null is the empty text."""
-    for value in batch.column(name):
-        yield value.as_py() or ""

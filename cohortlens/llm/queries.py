@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import simhash, token_counts
+from cohortlens.llm import decontaminate, line_dedup, mixing, simhash, token_counts, toxicity
 from cohortlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,31 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), words=3, distance=2)
     return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.remove_repeats(table(spark, sf_dir, "documents"), min_words=5)
+    spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return cut.select("doc_id", "text", "n_removed", "removed_chars", F.concat_ws(",", spans).alias("removed"))
+
+
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.7)
+
+
+@query
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The place of a row depends on its key and source only, so the texts are not read.
+    return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source"), block_rows=64, parts=200, temperature=0.5)
+
+
+ORACLES["op8_substring_dedup"] = line_dedup.ORACLE_SQL
+ORACLES["op10_source_mixing"] = mixing.ORACLE_SQL
