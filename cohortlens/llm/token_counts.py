@@ -35,13 +35,12 @@ REPORTED, HELD = 16_384, 400_000
 LONGEST_KEY = 64
 
 
-class PieceLengths(dict):
-    """Token length of a pre-token; look-ups that miss are encoded and remembered."""
+class PieceLengths:
+    """Token lengths of pre-tokens; those not known yet are encoded and remembered."""
 
     def __init__(self, path: str):
         import sentencepiece
 
-        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         plain = [p for i, p in enumerate(pieces) if not self.model.is_byte(i)]
@@ -49,11 +48,15 @@ class PieceLengths(dict):
         separable = [len(x) for x in self.model.encode(["a  b", "a", " b"], num_threads=1)]
         self.by_words = separable[0] == separable[1] + separable[2] and not any(re.search("[^▁]▁", p) for p in plain)
         self.by_lines = self.by_words and not any("\n" in p for p in plain)
+        # A plain dict: differences between a set and a subclass of dict walk through all of the dict.
+        self.known: dict[str, int] = {}
         self.first: dict[str, int] = {}
 
     def learn(self, frequent: dict[str, int]) -> None:
-        self.first = frequent
-        self.update(frequent)
+        """Start from the broadcast table; what a worker remembers from the same table stays."""
+        if self.first is not frequent:
+            self.first = frequent
+            self.known = dict(frequent)
 
     def split(self, text: str) -> list[str]:
         """Pre-tokens whose lengths add up to the length of ``text``.
@@ -81,14 +84,13 @@ class PieceLengths(dict):
         if not self.by_words:
             return len(self.model.encode(text, num_threads=1))
         words = self.split(text)
-        missing = list(set(words).difference(self))
+        missing = list(set(words).difference(self.known))
         if missing:
-            if len(self) > HELD:
-                self.clear()
-                self.update(self.first)
-                missing = list(set(words).difference(self))
-            self.update(zip(missing, self.encoded(missing)))
-        return sum(map(self.__getitem__, words))
+            if len(self.known) > HELD:
+                self.known = dict(self.first)
+                missing = list(set(words).difference(self.known))
+            self.known.update(zip(missing, self.encoded(missing)))
+        return sum(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -163,7 +165,6 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
 
         def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             lengths = piece_lengths(path)
-            lengths.clear()
             lengths.learn(frequent.value)
             for batch in batches:
                 yield pa.array([lengths.count(v.as_py() or "") for v in batch], pa.int64())
