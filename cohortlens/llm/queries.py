@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, decontaminate, embedding_dedup, line_dedup, mixing, simhash, token_counts, toxicity, url_filter
+from cohortlens.llm import chat, decontaminate, embedding_dedup, html_extract, line_dedup, mixing, simhash, token_counts, toxicity, url_filter
 from cohortlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ ORACLES["op7_url_filters"] = url_filter.ORACLE_SQL
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"), threshold=0.98, tables=48, bits=16)
     return groups.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+@query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
