@@ -47,6 +47,8 @@ class PieceLengths:
         # "a b" and "a" + "b": the model adds one word mark before a text and keeps all blanks.
         separable = [len(x) for x in self.model.encode(["a  b", "a", " b"], num_threads=1)]
         self.by_words = separable[0] == separable[1] + separable[2] and not any(re.search("[^▁]▁", p) for p in plain)
+        # A single blank at the end of a text is a pre-token of its own, and no text by itself gives it.
+        self.last_blank = len(self.model.encode("a ", num_threads=1)) - len(self.model.encode("a", num_threads=1))
         self.by_lines = self.by_words and not any("\n" in p for p in plain)
         # A plain dict: differences between a set and a subclass of dict walk through all of the dict.
         self.known: dict[str, int] = {}
@@ -76,7 +78,7 @@ class PieceLengths:
         # "▁" + " word" holds its own blanks; of these the model adds the first itself.
         texts = [k[2:] if k[0] == "▁" else k for k in keys]
         counts = [len(x) for x in self.model.encode(texts, num_threads=1)]
-        return [n - (k[0] == "\n") for k, n in zip(keys, counts)]
+        return [self.last_blank if k == "▁ " else n - (k[0] == "\n") for k, n in zip(keys, counts)]
 
     def count(self, text: str) -> int:
         if not text:
