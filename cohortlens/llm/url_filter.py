@@ -52,13 +52,17 @@ def stated_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tup
     return rule, verdict
 
 
+def _prefixed(kind: str):
+    return lambda v: F.concat(F.lit(kind), v)
+
+
 def tokens(url: Column) -> Column:
     """Distinct tokens of an address, sorted."""
     host, path = host_and_path(url)
     query = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^?#]*\?([^#]*)", 1)
     fragment = F.regexp_extract(F.coalesce(url, F.lit("")), "#(.*)$", 1)
     parts = [("h:", F.split(host, r"\.")), ("p:", F.split(path, "/")), ("q:", F.split(query, "&")), ("f:", F.array(fragment))]
-    named = [F.transform(F.filter(values, lambda v: v != ""), lambda v, k=kind: F.concat(F.lit(k), v)) for kind, values in parts]
+    named = [F.transform(F.filter(values, lambda v: v != ""), _prefixed(kind)) for kind, values in parts]
     found = F.array_sort(F.array_distinct(F.concat(*named)))
     return F.when(F.instr(url, "://") > 0, found).otherwise(F.expr("cast(array() as array<string>)"))
 
