@@ -31,9 +31,9 @@ def _small_star(links: DataFrame, paths: list[str]) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node``, ``root`` (smallest node reachable) for every node of ``links`` (columns ``a``, ``b``, longs).
+    """``node``, ``root`` (smallest node reachable) for every node of ``links`` (columns ``a``, ``b``, longs) but the roots.
 
-    Loops and repeated links are ignored; nodes without a link to another node are not returned.
+    Loops and repeated links are ignored; nodes without a link to another node are not returned either.
     """
     spark = links.sparkSession
     ordered = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
