@@ -22,15 +22,22 @@ from cohortlens.operators.lookup import lookup_join
 # Operating point and the width of the band shown around an area.
 SPECIFICITY = 0.99
 AUC_BAND = 0.01
+# Fixed value: threshold of a group with a single class, where no specificity is defined.
+FALLBACK_THRESHOLD = 0.5
 
-MAX_RANGES = 8192
+# Rows of a range of the score axis, on average.
+RANGE_ROWS = 1_000_000
 
 
 def score_edges(df: DataFrame, score: str = "score", ranges: int | None = None) -> list[float]:
-    """Cut points of the score axis: one narrow scan of the score column."""
-    if ranges is None:
-        ranges = min(4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), MAX_RANGES)
+    """Cut points of the score axis; their number follows the number of rows.
+
+    Narrow scans of the score column: one, and one to count where ``ranges`` is not given.
+    """
     scores = df.select(present(score).alias("score"))
+    if ranges is None:
+        least = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(least, math.ceil(scores.count() / RANGE_ROWS))
     cuts = scores.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
     return sorted({c for c in cuts if math.isfinite(c)})
 
@@ -40,7 +47,9 @@ def _with_range(df: DataFrame, edges: Sequence[float]) -> DataFrame:
         return df.withColumn("_range", F.lit(0))
     splits = [-math.inf, *edges, math.inf]
     cut = Bucketizer(splits=splits, inputCol="score", outputCol="_range").transform(df)
-    return cut.withColumn("_range", F.col("_range").cast("int"))
+    # Never NULL, for the optimizer to know: a filter for it in one branch of a join would keep the
+    # branches from sharing their shuffle.
+    return cut.withColumn("_range", F.coalesce(F.col("_range").cast("int"), F.lit(0)))
 
 
 def score_ladder(
@@ -61,7 +70,7 @@ def score_ladder(
         *[col(c) for c in by],
         present(score).alias("score"),
         col(label).cast("int").alias("_y"),
-    ).filter(F.col("score").isNotNull() & F.col("_y").isNotNull())
+    ).dropna()
     merged = usable.groupBy(*by, "score").agg(
         F.count_if(F.col("_y") == 1).alias("tp"), F.count_if(F.col("_y") != 1).alias("fp")
     )
@@ -116,6 +125,27 @@ def score_ladder(
     )
 
 
+def auc_of_ladder(ladder: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Area under the curve with its display band; groups with a single class are left out.
+
+    Every score adds a trapezoid of width ``fp`` between the running heights, so the area
+    is a plain sum over the ladder.
+    """
+    slab = F.col("fp") * (F.col("tps") - F.col("tp") / 2.0)
+    box = F.first("positives").cast("double") * F.first("negatives").cast("double")
+    return (
+        ladder.filter((F.col("positives") > 0) & (F.col("negatives") > 0))
+        .groupBy(*by)
+        .agg((F.sum(slab) / box).alias("auc"))
+        .select(
+            *by,
+            "auc",
+            (F.col("auc") - AUC_BAND).alias("auc_low"),
+            (F.col("auc") + AUC_BAND).alias("auc_high"),
+        )
+    )
+
+
 def curve_points(ladder: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """``(by, threshold, fpr, tpr)`` without the points a straight line passes through.
 
@@ -141,52 +171,50 @@ def roc_curve(df: DataFrame, score: str = "score", label: str = "label", by: Seq
 
 
 def auc(df: DataFrame, score: str = "score", label: str = "label", by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
-    """Area under the curve with its display band; groups with a single class are left out.
+    """``auc_of_ladder`` of scored rows."""
+    return auc_of_ladder(score_ladder(df, score, label, by, ranges), by)
 
-    Every score adds a trapezoid of width ``fp`` between the running heights, so the area
-    is a plain sum over the ladder.
-    """
-    ladder = score_ladder(df, score, label, by, ranges)
-    slab = F.col("fp") * (F.col("tps") - F.col("tp") / 2.0)
-    box = F.first("positives").cast("double") * F.first("negatives").cast("double")
-    return (
-        ladder.filter((F.col("positives") > 0) & (F.col("negatives") > 0))
-        .groupBy(*by)
-        .agg((F.sum(slab) / box).alias("auc"))
-        .select(
-            *by,
-            "auc",
-            (F.col("auc") - AUC_BAND).alias("auc_low"),
-            (F.col("auc") + AUC_BAND).alias("auc_high"),
-        )
-    )
 
+def auc_of_points(points: DataFrame, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """Trapezoid area of a table of curve points.
 
-def auc_of_points(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Trapezoid area of a table of curve points that is already small (a finished report)."""
+    Points are put in order range by range of the threshold; where two ranges meet, the last point
+    of one and the first of the next give the slab between them.
+    """
+    by = list(by)
+    edges = score_edges(points.filter(F.col("threshold") < math.inf), "threshold", ranges)
+    cut = _with_range(points.withColumn("score", F.col("threshold")), edges)
+    order = Window.partitionBy(*by, "_range").orderBy("fpr", "tpr")
+    here, before = F.struct("fpr", "tpr"), F.lag(F.struct("fpr", "tpr")).over(order)
+    inside = cut.select(*by, "_range", here.alias("_p"), _slab(before, here).alias("_slab"))
+    per_range = inside.groupBy(*by, "_range").agg(F.sum("_slab").alias("_slab"), F.min("_p").alias("_first"), F.max("_p").alias("_last"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    order = group.orderBy("fpr", "tpr")
-    slab = (F.col("fpr") - F.lag("fpr").over(order)) * (F.col("tpr") + F.lag("tpr").over(order)) / 2.0
-    return points.withColumn("_slab", slab).groupBy(*by).agg(F.sum("_slab").alias("auc"))
+    joints = _slab(F.lag("_last").over(group.orderBy(F.desc("_range"))), F.col("_first"))
+    areas = per_range.withColumn("_joint", joints).groupBy(*by)
+    return areas.agg((F.sum(F.coalesce("_slab", F.lit(0.0)) + F.coalesce("_joint", F.lit(0.0)))).alias("auc"))
+
+
+def _slab(left: Column, right: Column) -> Column:
+    return (right["fpr"] - left["fpr"]) * (right["tpr"] + left["tpr"]) / 2.0
 
 
 def threshold_at_specificity(points: DataFrame, by: Sequence[str] = (), specificity: float = SPECIFICITY) -> DataFrame:
     """Lowest curve threshold whose specificity is still high enough, with its two rates.
 
-    The ``(inf, 0, 0)`` point always qualifies, so there is always an answer; ``inf`` means
-    nothing may be called positive.
+    The ``(inf, 0, 0)`` point always qualifies; ``inf`` means nothing may be called positive. In a
+    group with a single class the rates mean nothing: it takes the threshold 0.5, its rates are NULL
+    and ``apply_threshold`` takes the plain prediction.
     """
-    lowest = F.min_by(F.struct("threshold", "tpr", "fpr"), "threshold")
-    return (
-        points.filter(1.0 - F.col("fpr") >= specificity)
-        .groupBy(*by)
-        .agg(lowest.alias("_p"))
-        .select(
-            *by,
-            F.col("_p.threshold").alias("threshold"),
-            F.col("_p.tpr").alias("sensitivity"),
-            (1.0 - F.col("_p.fpr")).alias("specificity"),
-        )
+    enough = 1.0 - F.col("fpr") >= specificity
+    best = F.min_by(F.when(enough, F.struct("threshold", "tpr", "fpr")), F.when(enough, F.col("threshold")))
+    scored = F.col("threshold") < math.inf
+    both = F.max(F.when(scored, F.col("fpr"))).isNotNull() & F.max(F.when(scored, F.col("tpr"))).isNotNull()
+    found = points.groupBy(*by).agg(best.alias("_p"), both.alias("_both"))
+    return found.select(
+        *by,
+        F.when(F.col("_both"), F.col("_p.threshold")).otherwise(FALLBACK_THRESHOLD).alias("threshold"),
+        F.when(F.col("_both"), F.col("_p.tpr")).alias("sensitivity"),
+        F.when(F.col("_both"), 1.0 - F.col("_p.fpr")).alias("specificity"),
     )
 
 
@@ -207,8 +235,14 @@ def apply_threshold(
 ) -> DataFrame:
     """1 where the score reaches the threshold of its group (or the single pooled one)."""
     if by:
-        table = thresholds.select(*by, F.col("threshold").alias("_threshold"))
+        # A group with a single class has no rates; its rows keep their plain prediction.
+        plain = "specificity" in thresholds.columns and "prediction" in oof.columns
+        single = F.col("specificity").isNull() if plain else F.lit(False)
+        table = thresholds.select(*by, F.col("threshold").alias("_threshold"), single.alias("_single"))
         matched = lookup_join(oof, table, list(by), "left")
-        return matched.withColumn(out, called(col(score), F.col("_threshold"))).drop("_threshold")
+        hit = called(col(score), F.col("_threshold"))
+        if plain:
+            hit = F.when(F.col("_single"), F.col("prediction").cast("int")).otherwise(hit)
+        return matched.withColumn(out, hit).drop("_threshold", "_single")
     pooled = thresholds.select("threshold").scalar()
     return oof.withColumn(out, called(col(score), pooled))

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.functions.numbers import col
-from cohortlens.operators.folds import SEED
-from cohortlens.operators.lookup import BROADCAST_ROWS, bounded_rows, lookup_join
+from cohortlens.operators.folds import SEED, number_rows
+from cohortlens.operators.lookup import lookup_join
 from cohortlens.operators.ranking import WATERFALL_FEATURES
+from cohortlens.sources.staging import stage
 
 # Attribution budget and number of features shown one by one.
 BACKGROUND_ROWS = 100
 EXPLAINED_ROWS = 200
 TOP_SHOWN = 5
 
+# Switched copies scored by one task, on average.
+COPIES_PER_TASK = 1_000_000
+
 
 def shapley_attributions(
     df: DataFrame,
@@ -38,52 +43,54 @@ def shapley_attributions(
 
     ``score`` maps a frame with an ``x array<double>`` column to one that adds
     ``scores array<double>`` (one per class). Output: ``row_id, class, feature, value, phi,
-    base``; per row and class ``base + sum(phi)`` is the score of the row.
+    base``; per row and class ``base + sum(phi)`` is the score of the row. Neither the rows nor
+    the background have a largest size; the work is their product.
     """
-    d = len(features)
+    d, tasks = len(features), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbered, n_background = _number_background(background, features, key)
-    rows = df.select(col(key).alias("row_id"), F.array(*[col(f).cast("double") for f in features]).alias("row_x"))
-    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(rounds * n_background - 1))))
+    values = F.array(*[col(f).cast("double") for f in features])
+    rows = df.select(col(key).alias("row_id"), values.alias("row_x"))
+    n_orders = rounds * n_background
+    if n_orders == 0:
+        raise ValueError("the background has no rows")
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_orders - 1))))
     # A sample arrives in one small partition; scoring its many switched copies must not stay there.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    drawn = drawn.repartition(tasks, "row_id", "draw")
+    copies = df.count() * n_orders * (d + 1)
+    drawn = drawn.repartition(max(tasks, math.ceil(copies / COPIES_PER_TASK)), "row_id", "draw")
     paired = lookup_join(drawn.withColumn("b", F.col("draw") % n_background), numbered, ["b"], "inner")
 
-    hashed = F.transform(
-        F.sequence(F.lit(0), F.lit(d - 1)),
-        lambda j: F.struct(F.xxhash64(F.lit(seed), F.col("row_id"), F.col("draw"), j).alias("h"), j.alias("j")),
-    )
-    shuffled = F.array_sort(hashed)
-    ordered = paired.withColumn("order", F.transform(shuffled, lambda s: s["j"]))
-    steps = ordered.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
-    switched = F.zip_with(
-        F.zip_with("row_x", "background_x", lambda r, b: F.struct(r.alias("r"), b.alias("b"))),
-        F.sequence(F.lit(0), F.lit(d - 1)),
-        lambda pair, j: F.when(F.array_position("order", j) <= F.col("step"), pair["r"]).otherwise(pair["b"]),
-    )
-    scored = score(steps.withColumn("x", switched))
-
-    # Step t has t features switched on: it credits the t-th and is the base of the next.
-    gained = F.struct(F.get("order", F.col("step") - 1).alias("j"), F.lit(1.0).alias("sign"))
-    spent = F.struct(F.get("order", F.col("step")).alias("j"), F.lit(-1.0).alias("sign"))
-    signed = scored.select("row_id", "row_x", "step", "scores", F.explode(F.array(gained, spent)).alias("s"))
-    per_class = signed.select("row_id", "row_x", "step", "s.*", F.posexplode("scores").alias("class", "f"))
-    # The end points have no feature on one side; the one at step 0 is the base score.
-    summed = per_class.groupBy("row_id", "class", F.coalesce("j", F.lit(-1)).alias("j")).agg(
-        F.first("row_x").alias("row_x"),
-        F.sum(F.col("sign") * F.col("f")).alias("total"),
-        F.sum(F.when(F.col("j").isNull() & (F.col("step") == 0), F.col("f"))).alias("base_total"),
-    )
-    n_orders = rounds * n_background
-    with_base = summed.withColumn(
-        "base", F.max("base_total").over(Window.partitionBy("row_id", "class")) / n_orders
+    positions = F.sequence(F.lit(0), F.lit(d - 1))
+    hashed = F.transform(positions, lambda j: F.struct(F.xxhash64(F.lit(seed), F.col("row_id"), F.col("draw"), j).alias("h"), j.alias("j")))
+    ordered = paired.withColumn("order", F.transform(F.array_sort(hashed), lambda s: s["j"]))
+    # The step at which each feature switches, once per pair: the inverse of the order.
+    switches = F.array_sort(F.transform("order", lambda j, i: F.struct(j.alias("j"), (i + 1).alias("at"))))
+    placed = ordered.withColumn("place", F.transform(switches, lambda s: s["at"]))
+    steps = placed.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(d))))
+    switched = F.transform(
+        positions,
+        lambda j: F.when(F.get("place", j) <= F.col("step"), F.get("row_x", j)).otherwise(F.get("background_x", j)),
     )
+    # Step t has t features switched on: it credits the t-th and is the base of the next. Only these
+    # two go along with a copy, not the rows and orders it was made from.
+    on, off = F.get("order", F.col("step") - 1), F.get("order", F.col("step"))
+    slim = steps.select(
+        "row_id", switched.alias("x"),
+        on.alias("on"), F.get("row_x", on).alias("on_value"), off.alias("off"), F.get("row_x", off).alias("off_value"),
+    )
+    gained = F.struct(F.col("on").alias("j"), F.col("on_value").alias("value"), F.lit(1.0).alias("sign"))
+    spent = F.struct(F.col("off").alias("j"), F.col("off_value").alias("value"), F.lit(-1.0).alias("sign"))
+    signed = score(slim).select("row_id", "scores", F.inline(F.filter(F.array(gained, spent), lambda s: s["j"].isNotNull())))
+    per_class = signed.select("row_id", "j", "value", "sign", F.posexplode("scores").alias("class", "f"))
+    summed = per_class.groupBy("row_id", "class", "j").agg(F.first("value").alias("value"), F.sum(F.col("sign") * F.col("f")).alias("total"))
+    # The base is the mean score of the background: one row per class.
+    start = score(numbered.select(F.col("background_x").alias("x")))
+    base = start.select(F.posexplode("scores").alias("class", "f")).groupBy("class").agg(F.avg("f").alias("base"))
     names = F.array(*[F.lit(f) for f in features])
-    return with_base.filter(F.col("j") >= 0).select(
+    return lookup_join(summed, base, ["class"], "inner").select(
         "row_id",
         "class",
         F.get(names, F.col("j")).alias("feature"),
-        F.get("row_x", F.col("j")).alias("value"),
+        "value",
         (F.col("total") / n_orders).alias("phi"),
         "base",
     )
@@ -92,15 +99,13 @@ def shapley_attributions(
 def _number_background(background: DataFrame, features: Sequence[str], key: str) -> tuple[DataFrame, int]:
     """Background rows as ``(b, background_x)`` with b = 0, 1, ..., and how many they are.
 
-    Every explained row meets every one of them, so a background has to be a sample; one
-    that is too large for that is refused rather than cut.
+    Rows are numbered in the order of a hash of their key, as folds are: ranks inside hash prefixes
+    plus prefix starts, so no task holds them all.
     """
     values = F.array(*[col(f).cast("double") for f in features]).alias("background_x")
-    sample = bounded_rows(background.select(col(key).alias("_key"), values))
-    if sample is None:
-        raise ValueError(f"the background has more than {BROADCAST_ROWS} rows: sample it first")
-    order = Window.partitionBy(F.lit(0)).orderBy("_key")
-    return sample.select((F.row_number().over(order) - 1).alias("b"), "background_x"), sample.count()
+    rows = stage(background.select(col(key).alias("_key"), values), "background")
+    n = rows.count()
+    return number_rows(rows, "_key", n).select(F.col("number").alias("b"), "background_x"), n
 
 
 def shap_ranking(attributions: DataFrame) -> DataFrame:

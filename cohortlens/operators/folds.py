@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,31 +16,51 @@ BINARY_FOLDS = 10
 TYPE_TREE_FOLDS = 5
 SEED = 42
 
+PREFIX_ROWS = 10_000
+
 
 def stratified_folds(
-    df: DataFrame, label: str, key: str, k: int = BINARY_FOLDS, seed: int = SEED, hash_digits: int = 4
+    df: DataFrame, label: str, key: str, k: int = BINARY_FOLDS, seed: int = SEED, hash_digits: int | None = None, rows: int | None = None
 ) -> DataFrame:
     """Add ``fold``: a shuffled split whose sizes differ by at most one, overall and per class.
 
     Fold = (rows of earlier classes + rank within the class in keyed-hash order) mod k.
     Ranking a class in one window would put a dominant class in one task, so rows are
     ranked inside (class, hash prefix) and the prefix starts come from a running sum over
-    the counts. Prefixes split any class evenly because ``key`` is unique.
+    the counts. Prefixes split any class evenly because ``key`` is unique. Their length follows the
+    number of ``rows`` (counted here if not given); the split does not depend on it.
     """
+    if hash_digits is None:
+        hash_digits = digits_for(df.select(col(key)).count() if rows is None else rows)
     # Join keys that are never NULL: the join then matches the window's partitioning, so the
     # wide rows are shuffled once, and no null filter repeats the hash in the scan.
     class_key = F.coalesce(F.concat(F.lit("="), col(label).cast("string")), F.lit(""))
-    hashed = (
-        df.withColumn("_class", class_key)
-        .withColumn("_hash", keyed_hash(key, seed))
-        .withColumn("_prefix", F.coalesce(F.substring("_hash", 1, hash_digits), F.lit("")))
-    )
+    hashed = _with_prefix(df.withColumn("_class", class_key), key, seed, hash_digits)
+    place = _numbered(hashed, _prefix_starts(hashed, label), key)
+    return place.select(*[col(c) for c in df.columns if c != "fold"], (F.col("_place") % k).cast("int").alias("fold"))
+
+
+def number_rows(df: DataFrame, key: str, rows: int, seed: int = SEED) -> DataFrame:
+    """Add ``number``: 0, 1, ... in the order of a hash of the unique ``key``; ``rows`` is their count."""
+    hashed = _with_prefix(df.withColumn("_class", F.lit("")).withColumn("_all", F.lit(0)), key, seed, digits_for(rows))
+    place = _numbered(hashed, _prefix_starts(hashed, "_all"), key)
+    return place.select(*[col(c) for c in df.columns], F.col("_place").alias("number"))
+
+
+def _with_prefix(df: DataFrame, key: str, seed: int, digits: int) -> DataFrame:
+    hashed = df.withColumn("_hash", keyed_hash(key, seed))
+    return hashed.withColumn("_prefix", F.coalesce(F.substring("_hash", 1, digits), F.lit("")))
+
+
+def _numbered(hashed: DataFrame, starts: DataFrame, key: str) -> DataFrame:
     in_prefix = Window.partitionBy("_class", "_prefix").orderBy("_hash", col(key))
     ranked = hashed.withColumn("_rank", F.row_number().over(in_prefix) - 1)
-    fold = ((F.col("_start") + F.col("_rank")) % k).cast("int")
-    return ranked.join(_prefix_starts(hashed, label), ["_class", "_prefix"]).select(
-        *[col(c) for c in df.columns if c != "fold"], fold.alias("fold")
-    )
+    return ranked.join(starts, ["_class", "_prefix"]).withColumn("_place", F.col("_start") + F.col("_rank"))
+
+
+def digits_for(rows: int) -> int:
+    """Hex digits of the prefixes, so that one holds some ten thousand rows; four at least."""
+    return max(4, math.ceil(math.log(max(rows / PREFIX_ROWS, 1), 16)))
 
 
 def _prefix_starts(hashed: DataFrame, label: str) -> DataFrame:
@@ -88,8 +110,8 @@ def balanced_weights(df: DataFrame, label: str = "label") -> DataFrame:
     return counts.select(col(label), weight.alias("weight"))
 
 
-def attach_weights(df: DataFrame, weights: DataFrame, label: str = "label", **join_options) -> DataFrame:
-    return lookup_join(df, weights, [label], "left", **join_options)
+def attach_weights(df: DataFrame, weights: DataFrame, label: str = "label", salts: int = 1) -> DataFrame:
+    return lookup_join(df, weights, [label], "left", salts)
 
 
 def positive_weight(df: DataFrame, label: str = "label") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joining a small table to a large one when "small" is checked, not assumed."""
+"""Joining a table of one row per key to a large one."""
 
 from __future__ import annotations
 
@@ -9,39 +9,16 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.numbers import col
 
-# A lookup row is a few numbers and a label, so this many stay in the low megabytes.
-BROADCAST_ROWS = 20_000
-SALTS = 64
 
+def lookup_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "left", salts: int = 1) -> DataFrame:
+    """Equi-join a table of one row per key onto ``big``; nothing runs until the result is used.
 
-def bounded_rows(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """``df`` as a local table if it has at most ``max_rows`` rows, else None.
-
-    Never brings more than ``max_rows + 1`` rows to the driver.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    return df.sparkSession.createDataFrame(rows, schema=df.schema)
-
-
-def lookup_join(
-    big: DataFrame,
-    small: DataFrame,
-    on: list[str],
-    how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
-) -> DataFrame:
-    """Equi-join a table of one row per key onto ``big``.
-
-    Up to ``max_rows`` lookup rows are broadcast. Beyond that the lookup is repeated once
-    per salt and the join shuffles on (key, salt), so a key that holds a third of ``big``
-    is spread over ``salts`` tasks.
+    The adaptive planner broadcasts ``small`` when its measured size allows, and splits hot keys
+    otherwise. With ``salts`` above 1 the lookup is repeated once per salt and the join is on
+    (key, salt), for keys that are known to hold much of ``big``.
     """
-    local = bounded_rows(small, max_rows)
-    if local is not None:
-        return _join(big, F.broadcast(local), on, how)
+    if salts == 1:
+        return _join(big, small, on, how)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salt = F.pmod(F.xxhash64(*[col(c) for c in big.columns]), F.lit(salts)).cast("int")
     return _join(big.withColumn("_salt", salt), salted_small, [*on, "_salt"], how).drop("_salt")

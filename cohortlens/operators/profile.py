@@ -80,12 +80,16 @@ def crosstab(df: DataFrame, a: str, b: str, values: Sequence[str] | None = None)
     return long.groupBy(col(a)).pivot(b, list(values) if values else None).agg(F.sum("n")).na.fill(0)
 
 
-def crosstab_pct(df: DataFrame, a: str, b: str, values: Sequence[str] | None = None) -> DataFrame:
-    """Wide cross-tab in percent within each value of ``b`` (each column sums to 100)."""
+def crosstab_share(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Long cross-tab ``(a, b, n, pct)``: percent within each value of ``b``, whatever their number."""
     long = crosstab_counts(df, a, b)
     # The window is over counted pairs, one row per (a, b).
-    within = F.sum("n").over(Window.partitionBy(col(b)))
-    shares = long.withColumn("pct", 100.0 * ratio(F.col("n"), within))
+    return long.withColumn("pct", 100.0 * ratio(F.col("n"), F.sum("n").over(Window.partitionBy(col(b)))))
+
+
+def crosstab_pct(df: DataFrame, a: str, b: str, values: Sequence[str] | None = None) -> DataFrame:
+    """Wide cross-tab in percent within each value of ``b`` (each column sums to 100)."""
+    shares = crosstab_share(df, a, b)
     return shares.groupBy(col(a)).pivot(b, list(values) if values else None).agg(F.sum("pct")).na.fill(0.0)
 
 

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.numbers import present_sql, quoted
 
-# A median is finished by an exact sort once at most this many candidate values are left.
+# A median is finished by an exact sort once at most this many candidate values are left: at most
+# two lists of them per column meet in the final task, 320 kB a column.
 MEDIAN_VALUES_IN_MEMORY = 20_000
 
 
@@ -41,15 +42,31 @@ def _literal(value: float) -> str:
 
 def fit_log2(df: DataFrame, columns: Sequence[str], exclude: Sequence[str] = ()) -> dict[str, float]:
     """Offset per column: 0 when all values are positive, else ``|min| + 1``."""
-    wanted = [c for c in columns if c not in exclude]
-    if not wanted:
-        return {}
-    lowest = _one_row(df, {c: f"min({present_sql(c)})" for c in wanted})
+    return offsets_of(fit_lowest(df, [c for c in columns if c not in exclude]))
+
+
+def fit_lowest(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    return _one_row(df, {c: f"min({present_sql(c)})" for c in columns}) if columns else {}
+
+
+def offsets_of(lowest: Mapping[str, float | None]) -> dict[str, float]:
     return {c: 0.0 if m is None or m > 0 else abs(m) + 1.0 for c, m in lowest.items()}
 
 
-def apply_log2(df: DataFrame, offsets: Mapping[str, float]) -> DataFrame:
-    return _replace(df, {c: f"log2({present_sql(c)} + {_literal(o)})" for c, o in offsets.items()})
+def apply_log2(df: DataFrame, offsets: Mapping[str, float], lowest: Mapping[str, float] | None = None) -> DataFrame:
+    """Log2 of each shifted column; values below ``lowest`` (where given) count as the lowest."""
+    return _replace(df, {c: f"log2({_clamped(c, (lowest or {}).get(c))} + {_literal(o)})" for c, o in offsets.items()})
+
+
+def _clamped(column: str, low: float | None) -> str:
+    value = present_sql(column)
+    return value if low is None else f"if({value} < {_literal(low)}, {_literal(low)}, {value})"
+
+
+def count_below(df: DataFrame, lowest: Mapping[str, float | None], out: str) -> DataFrame:
+    """``out``: how many values of each row lie below the lowest fitted value of their column."""
+    below = [f"cast(coalesce({present_sql(c)} < {_literal(low)}, false) as int)" for c, low in lowest.items() if low is not None]
+    return df.withColumn(out, F.expr(" + ".join(below) or "0"))
 
 
 def log2_normalize(df: DataFrame, columns: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:

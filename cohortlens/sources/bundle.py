@@ -22,14 +22,14 @@ class ModelBundle:
     class_weights: dict[str, float] = field(default_factory=dict)
 
 
-_FEATURE_SCHEMA = "position int, feature string, log2_offset double, median double, mean double, std double"
+_FEATURE_SCHEMA = "position int, feature string, log2_offset double, median double, mean double, std double, lowest double"
 _CLASS_SCHEMA = "code int, class string, weight double"
 
 
 def save_bundle(bundle: ModelBundle, path: str, spark: SparkSession) -> None:
     prep = bundle.preprocessing
     features = [
-        (i, c, prep.offsets.get(c), prep.medians.get(c), prep.scaling.means[c], prep.scaling.stds[c])
+        (i, c, prep.offsets.get(c), prep.medians.get(c), prep.scaling.means[c], prep.scaling.stds[c], prep.lowest.get(c))
         for i, c in enumerate(prep.features)
     ]
     classes = [(i, c, bundle.class_weights.get(c)) for i, c in enumerate(bundle.classes)]
@@ -50,6 +50,7 @@ def load_bundle(path: str, spark: SparkSession) -> ModelBundle:
         {r.feature: r.log2_offset for r in features if r.log2_offset is not None},
         {r.feature: r.median for r in features},
         Scaling({r.feature: r["mean"] for r in features}, {r.feature: r["std"] for r in features}),
+        {r.feature: r.lowest for r in features if r.log2_offset is not None},
     )
     return ModelBundle(
         spark.read.parquet(f"{path}/kind").first()["kind"],

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,27 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_COLLECTORS: list[list[str]] = []
+
+
+@contextmanager
+def staged_paths() -> Iterator[list[str]]:
+    """The folders that ``stage`` writes inside the block, for ``release``."""
+    paths: list[str] = []
+    _COLLECTORS.append(paths)
+    try:
+        yield paths
+    finally:
+        _COLLECTORS.remove(paths)
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged folders through the file system they lie on; ``paths`` is empty afterwards."""
+    while paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet and read it back.
 
@@ -46,6 +69,8 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     costs a re-read instead of the whole history.
     """
     path = scratch_path(df.sparkSession, name)
+    for paths in _COLLECTORS:
+        paths.append(path)
     if partition_by:
         # Rows of one partition value are brought together in files of the advisory size;
         # otherwise every task would write a small file per value.
