@@ -77,6 +77,11 @@ def fit_label_codes(df: DataFrame, column: str) -> StringIndexerModel:
     ).fit(df)
 
 
+def label_codes(labels: Sequence[str], column: str) -> StringIndexerModel:
+    """As ``fit_label_codes`` for labels that are known already."""
+    return StringIndexerModel.from_labels(sorted(labels), inputCol=column, outputCol="label", handleInvalid="error")
+
+
 def encode_labels(df: DataFrame, codes: StringIndexerModel, out: str = "label") -> DataFrame:
     coded = codes.copy({codes.outputCol: "_code"}).transform(df)
     return coded.withColumn(out, F.col("_code").cast("int")).drop("_code")

@@ -111,6 +111,21 @@ def missing_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counted.select(F.inline(pairs))
 
 
+def class_summary(df: DataFrame, columns: Sequence[str], by: str = "Condition") -> DataFrame:
+    """Per class, in one scan: rows, rows without a missing value, and per column the smallest value
+    and the number of missing ones (arrays in the order of ``columns``)."""
+    missing = [_is_missing(df, c) for c in columns]
+    complete = F.lit(True)
+    for m in missing:
+        complete = complete & ~m
+    return df.groupBy(col(by)).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(complete).alias("n_complete"),
+        F.array(*[F.min(F.when(~m, col(c))) for c, m in zip(columns, missing)]).alias("lowest"),
+        F.array(*[F.count_if(m) for m in missing]).alias("n_missing"),
+    )
+
+
 def removal_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: rows, rows with any missing value in ``columns``, their share, rows kept."""
     missing = [_is_missing(df, c) for c in columns]

@@ -13,7 +13,7 @@ from cohortlens.plans.binary import binary_summary, binary_tables, sensitivity_t
 from cohortlens.plans.common import Cohort, Study, prepare_cohort, validate
 from cohortlens.plans.types import type_summary, type_tables
 from cohortlens.sources.bundle import ModelBundle
-from cohortlens.sources.staging import stage
+from cohortlens.sources.staging import stage, staged_paths
 
 BACKGROUND_SEED, EXPLAINED_SEED = 42, 43
 
@@ -22,9 +22,12 @@ def explain_model(
     cohort: Cohort,
     model: PipelineModel,
     background_rows: int = explain.BACKGROUND_ROWS,
-    explained_rows: int = explain.EXPLAINED_ROWS,
+    explained_rows: int | None = explain.EXPLAINED_ROWS,
 ) -> dict[str, DataFrame]:
-    """Attribution tables of a latent model's class head on a sample of the cohort."""
+    """Attribution tables of a latent model's class head on a sample of the cohort.
+
+    ``explained_rows=None`` explains every row; the default is the study's budget.
+    """
     head = model.stages[1]
     binary = len(cohort.classes) == 2 and cohort.classes[0] == "Normal"
 
@@ -34,7 +37,7 @@ def explain_model(
         return head.transform(df.withColumn("features", array_to_vector("x"))).withColumn("scores", scores)
 
     background = folds.sample_n(cohort.scaled, background_rows, "row_id", BACKGROUND_SEED)
-    rows = folds.sample_n(cohort.scaled, explained_rows, "row_id", EXPLAINED_SEED)
+    rows = cohort.scaled if explained_rows is None else folds.sample_n(cohort.scaled, explained_rows, "row_id", EXPLAINED_SEED)
     phi = stage(explain.shapley_attributions(rows, cohort.features, score, background), "attributions")
     ranked = explain.shap_ranking(phi)
     shown = [r["feature"] for r in ranked.limit(explain.TOP_SHOWN).collect()]
@@ -63,35 +66,38 @@ def run_latent(
     fit_scope: str = "all",
     parallelism: int = 2,
     background_rows: int = explain.BACKGROUND_ROWS,
-    explained_rows: int = explain.EXPLAINED_ROWS,
+    explained_rows: int | None = explain.EXPLAINED_ROWS,
+    bundle: bool = True,
 ) -> Study:
     """Cross-validate embedding and class head, report, explain the best fold, refit."""
     source = samples if task == "binary" else clean.exclude_class(samples)
-    cohort = prepare_cohort(source, task, k, fit_scope=fit_scope)
-    n_features, n_classes = len(cohort.features), len(cohort.classes)
+    with staged_paths() as staged:
+        cohort = prepare_cohort(source, task, k, fit_scope=fit_scope, with_medians=bundle)
+        n_features, n_classes = len(cohort.features), len(cohort.classes)
+        dimension = min(models.LATENT_DIM, n_features)
 
-    def fit(train: DataFrame):
-        return models.fit_latent(
-            train, n_features, n_classes, min(models.LATENT_DIM, n_features), iterations=iterations
-        )
+        def fit(train: DataFrame):
+            return models.fit_latent(train, n_features, n_classes, dimension, iterations=iterations)
 
-    cv = validate(cohort, fit, models.score_latent, ["row_id", "PatientID", "Condition", "Stage"], parallelism)
-    fold_models = [m if fit_scope == "all" else m[1] for m in cv.models]
-    final = fit(cohort.rows)
-    tables = {"oof": cv.oof, "preprocessed": cohort.scaled}
-    if task == "binary":
-        tables |= binary_tables(cv.oof, "pooled")
-        tables |= {f"{n}_argmax": t for n, t in sensitivity_tables(cv.oof, "argmax").items()}
-    else:
-        tables |= type_tables(cv.oof, cohort.classes)
+        cv = validate(cohort, fit, models.score_latent, ["row_id", "PatientID", "Condition", "Stage"], parallelism)
+        fold_models = [m if fit_scope == "all" else m[1] for m in cv.models]
+        final = fit(cohort.rows)
+        tables = {"oof": cv.oof, **cohort.quality_tables()}
         tables["class_distribution"] = profile.value_percentages(source, "Condition", "rows")
-        tables["fold_class_distribution"] = folds.fold_class_distribution(cohort.table, k=k)
-    tables["latent_map"] = models.project_2d(cv.oof.select("row_id", "label", "z"))
-    tables["loss_curve"] = models.loss_curve(samples.sparkSession, [m.stages[1] for m in fold_models])
-    best = evaluate.best_fold(tables["accuracy_by_fold"])
-    tables["best_fold"] = best
-    tables |= explain_model(cohort, fold_models[best.first()["fold"]], background_rows, explained_rows)
-    settings = {"latent dimension": models.LATENT_DIM, "beta": latent.BETA, "lambda": latent.LAMBDA_CLASS}
-    summarise = binary_summary if task == "binary" else type_summary
-    tables["summary"] = summarise(cohort, tables, folds=k, **settings)
-    return Study(tables, ModelBundle("latent", final, cohort.preprocessing, cohort.classes), cv.models)
+        if task == "binary":
+            tables["preprocessed"] = cohort.scaled.withColumn("binary_condition", F.col("label"))
+            tables |= binary_tables(cv.oof, "pooled")
+            tables |= {f"{n}_argmax": t for n, t in sensitivity_tables(cv.oof, "argmax").items()}
+        else:
+            tables["preprocessed"] = cohort.scaled
+            tables |= type_tables(cv.oof, cohort.classes)
+            tables["fold_class_distribution"] = folds.fold_class_distribution(cohort.table, k=k)
+        tables["latent_map"] = models.project_2d(cv.oof.select("row_id", "label", "z"))
+        tables["loss_curve"] = models.loss_curve(samples.sparkSession, [m.stages[1] for m in fold_models])
+        best = evaluate.best_fold(tables["accuracy_by_fold"])
+        tables["best_fold"] = best
+        tables |= explain_model(cohort, fold_models[best.first()["fold"]], background_rows, explained_rows)
+        settings = {"latent dimension": dimension, "beta": latent.BETA, "lambda": latent.LAMBDA_CLASS}
+        summarise = binary_summary if task == "binary" else type_summary
+        tables["summary"] = summarise(cohort, tables, folds=k, **settings)
+    return Study(tables, ModelBundle("latent", final, cohort.preprocessing, cohort.classes), cv.models, staged)

@@ -9,6 +9,7 @@ from cohortlens.operators import clean, evaluate, folds, models, profile
 from cohortlens.operators.report import metrics_table, section
 from cohortlens.plans.common import Cohort, Study, accuracy_tables, cohort_facts, prepare_cohort, validate
 from cohortlens.sources.bundle import ModelBundle
+from cohortlens.sources.staging import staged_paths
 
 
 def type_tables(oof: DataFrame, classes: list[str]) -> dict[str, DataFrame]:
@@ -48,31 +49,33 @@ def run_type(
     rounds: int = models.BOOST_ROUNDS,
     fit_scope: str = "all",
     parallelism: int = 2,
+    bundle: bool = True,
 ) -> Study:
     """Cross-validate the type model, report top-1 and top-2 accuracy, refit on all rows.
 
     Normal samples are left out; a sample without a type is an error, as it has no code.
     """
-    spark = samples.sparkSession
     cancers = clean.exclude_class(samples)
-    cohort = prepare_cohort(cancers, "type", k, fit_scope=fit_scope)
+    with staged_paths() as staged:
+        cohort = prepare_cohort(cancers, "type", k, fit_scope=fit_scope, with_medians=bundle)
 
-    def fit(train: DataFrame):
-        return models.fit_boosted_multi(train, weighted, rounds)
+        def fit(train: DataFrame):
+            return models.fit_boosted_multi(train, weighted, rounds)
 
-    cv = validate(cohort, fit, models.score_boosted_multi, ["row_id", "PatientID", "Condition"], parallelism)
-    final = fit(cohort.rows)
-    weights = folds.balanced_weights(cohort.table) if weighted else None
-    tables = {
-        "oof": cv.oof,
-        **type_tables(cv.oof, cohort.classes),
-        "class_distribution": profile.value_percentages(cancers, "Condition", "rows"),
-        "fold_class_distribution": folds.fold_class_distribution(cohort.table, k=k),
-        "preprocessed": cohort.scaled,
-    }
-    named = {}
-    if weights is not None:
-        tables["class_weights"] = weights
-        named = {cohort.classes[int(r["label"])]: r["weight"] for r in weights.collect()}
-    tables["summary"] = type_summary(cohort, tables, folds=k, rounds=rounds)
-    return Study(tables, ModelBundle("type", final, cohort.preprocessing, cohort.classes, named), cv.models)
+        cv = validate(cohort, fit, models.score_boosted_multi, ["row_id", "PatientID", "Condition"], parallelism)
+        final = fit(cohort.rows)
+        weights = folds.balanced_weights(cohort.table) if weighted else None
+        tables = {
+            "oof": cv.oof,
+            **type_tables(cv.oof, cohort.classes),
+            **cohort.quality_tables(),
+            "class_distribution": profile.value_percentages(cancers, "Condition", "rows"),
+            "fold_class_distribution": folds.fold_class_distribution(cohort.table, k=k),
+            "preprocessed": cohort.scaled,
+        }
+        named = {}
+        if weights is not None:
+            tables["class_weights"] = weights
+            named = {cohort.classes[int(r["label"])]: r["weight"] for r in weights.collect()}
+        tables["summary"] = type_summary(cohort, tables, folds=k, rounds=rounds)
+    return Study(tables, ModelBundle("type", final, cohort.preprocessing, cohort.classes, named), cv.models, staged)

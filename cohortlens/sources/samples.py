@@ -14,15 +14,17 @@ from cohortlens.sources.schema import require_columns
 
 def read_samples(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     schema: T.StructType | None = None,
     fmt: str = "parquet",
     required: Sequence[str] = ("Condition",),
-    fallback: str | None = None,
+    fallback: str | Sequence[str] | None = None,
     exclude: str = "Normal",
 ) -> DataFrame:
     """The sample table, or ``fallback`` without its ``exclude`` class if ``path`` is absent.
 
+    Both may be one path or several that are read as one table.
+
     CSV needs an explicit schema (assay values as text), so no pass is spent on inference.
     """
     if fmt == "csv" and schema is None:
@@ -37,10 +39,10 @@ def read_samples(
     return samples
 
 
-def _open(spark: SparkSession, path: str, schema: T.StructType | None, fmt: str) -> DataFrame:
+def _open(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None, fmt: str) -> DataFrame:
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
-    return reader.load(path)
+    return reader.load(path if isinstance(path, str) else list(path))

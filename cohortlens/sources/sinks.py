@@ -11,10 +11,12 @@ from cohortlens.functions.numbers import col
 from cohortlens.operators.ranking import TOP_FEATURES, top_n_features
 
 
-def write_preprocessed(df: DataFrame, path: str, features: Sequence[str], fmt: str = "csv") -> None:
-    """Scaled features with the class, and the binary label or the patient id if present."""
-    extra = [c for c in ("Condition", "binary_condition", "PatientID") if c in df.columns]
-    writer = df.select(*[col(c) for c in [*features, *extra]]).write.mode("overwrite")
+def write_preprocessed(
+    df: DataFrame, path: str, features: Sequence[str], fmt: str = "csv", extra: Sequence[str] = ("Condition", "binary_condition", "PatientID")
+) -> None:
+    """Scaled features with those of the ``extra`` columns that are present."""
+    kept = [c for c in extra if c in df.columns]
+    writer = df.select(*[col(c) for c in [*features, *kept]]).write.mode("overwrite")
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 

@@ -52,7 +52,7 @@ def staged_paths() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _COLLECTORS.remove(paths)
+        _COLLECTORS[:] = [c for c in _COLLECTORS if c is not paths]
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
