@@ -10,15 +10,15 @@ from cohortlens.operators import explain, folds, latent, ranking
 
 BATCH_SQL = """
 batch as (
-  select vec_id as row_id, (label % 5)::int as label,
-         list_transform(embedding[1:16], lambda v: v::double) as x, list_transform(embedding[17:32], lambda v: v::double) as x_recon,
-         list_transform(embedding[33:40], lambda v: v::double) as mu, list_transform(embedding[41:48], lambda v: v::double) as log_var,
-         list_transform(embedding[49:53], lambda v: v::double) as logits
+  select vec_id as row_id, label::int as label,
+         list_transform(embedding[1:18], lambda v: v::double) as x, list_transform(embedding[19:36], lambda v: v::double) as x_recon,
+         list_transform(embedding[37:45], lambda v: v::double) as mu, list_transform(embedding[46:54], lambda v: v::double) as log_var,
+         list_transform(embedding[55:64], lambda v: v::double) as logits
   from embeddings),
 parts as (
   select row_id,
-         list_sum(list_transform(range(1, 17), lambda i: pow(x[i] - x_recon[i], 2))) as recon,
-         -0.5 * list_sum(list_transform(range(1, 9), lambda i: 1 + log_var[i] - pow(mu[i], 2) - exp(log_var[i]))) as kl,
+         list_sum(list_transform(range(1, 19), lambda i: pow(x[i] - x_recon[i], 2))) as recon,
+         -0.5 * list_sum(list_transform(range(1, 10), lambda i: 1 + log_var[i] - pow(mu[i], 2) - exp(log_var[i]))) as kl,
          ln(list_sum(list_transform(logits, lambda v: exp(v)))) - logits[label + 1] as cls
   from batch),
 losses as (select *, recon + 5.0::double * kl + 20.0::double * cls as loss from parts)
@@ -31,12 +31,12 @@ def latent_batch(spark, sf):
 
     return table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("row_id"),
-        (F.col("label") % 5).alias("label"),
-        part(1, 16).alias("x"),
-        part(17, 16).alias("x_recon"),
-        part(33, 8).alias("mu"),
-        part(41, 8).alias("log_var"),
-        part(49, 5).alias("logits"),
+        "label",
+        part(1, 18).alias("x"),
+        part(19, 18).alias("x_recon"),
+        part(37, 9).alias("mu"),
+        part(46, 9).alias("log_var"),
+        part(55, 10).alias("logits"),
     )
 
 
@@ -75,8 +75,8 @@ SAMPLE_SQL = """
 lines as (
   select o_orderkey as row_id, o_totalprice, sum(l_quantity) as l_quantity, sum(l_discount) as l_discount, sum(l_tax) as l_tax
   from orders join lineitem on l_orderkey = o_orderkey group by 1, 2),
-background as (select * from lines order by md5(concat('42|', cast(row_id as varchar))), row_id limit 20),
-explained as (select * from lines order by md5(concat('43|', cast(row_id as varchar))), row_id limit 100),
+background as (select * from lines order by md5(concat('42|', cast(row_id as varchar))), row_id limit 100),
+explained as (select * from lines order by md5(concat('43|', cast(row_id as varchar))), row_id limit 200),
 long as (
   select row_id, 'l_quantity' as feature, l_quantity as value, 2.0::double * (l_quantity - (select avg(l_quantity) from background)) as phi from explained
   union all
@@ -111,8 +111,8 @@ def order_measures(spark, sf):
 
 def attributions(spark, sf):
     rows = order_measures(spark, sf)
-    background = folds.sample_n(rows, 20, "row_id", 42)
-    explained = folds.sample_n(rows, 100, "row_id", 43)
+    background = folds.sample_n(rows, explain.BACKGROUND_ROWS, "row_id", 42)
+    explained = folds.sample_n(rows, explain.EXPLAINED_ROWS, "row_id", 43)
     return explain.shapley_attributions(explained, list(WEIGHTS), linear_score, background)
 
 

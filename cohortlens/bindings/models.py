@@ -1,123 +1,248 @@
-"""Model fits and scoring on the embeddings, with few rounds.
+"""Model fits, scoring and studies at full budget, on tables whose answer SQL knows.
 
-Fitted scores have no SQL form, so their rows are checked for what must hold whatever the
-model: every row scored once in its own fold, probabilities that sum to one, order of the
-top classes.
+Fitted numbers have no SQL form, but a sound model of a separable table must predict every label,
+so the tables hold a feature that gives the label away among features that tell nothing, and SQL
+states the prediction of every row. Fits are kept for the session: several queries read one.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.bindings.registry import query, table
-from cohortlens.bindings.views import assay_cohort
+from cohortlens.bindings.registry import query, rounded, table
+from cohortlens.bindings.views import MARKER, N_SUMS
+from cohortlens.bindings.views import assay_cohort as assay_view
 from cohortlens.functions import vectors
-from cohortlens.operators import clean, folds, latent, models, scoring
+from cohortlens.operators import clean, curves, explain, folds, latent, models, scoring
 from cohortlens.operators.preprocess import fit_preprocessing
 from cohortlens.plans.binary import run_binary
-from cohortlens.plans.latent import run_latent
+from cohortlens.plans.common import prepare_cohort, validate
+from cohortlens.plans.latent import EXPLAINED_SEED, run_latent
 from cohortlens.plans.profiling import profile_cohort
 from cohortlens.plans.types import run_type
+from cohortlens.plans.writing import write_study
 from cohortlens.sources.bundle import ModelBundle, load_bundle, save_bundle
+from cohortlens.sources.schema import ASSAY_COLUMNS
 from cohortlens.sources.staging import scratch_path, stage
 
-N_FEATURES, N_CLASSES, ROUNDS, ITERATIONS = 64, 10, 3, 15
+FITS_AT_ONCE = 4
 
 
-def typed_rows(spark, sf):
-    """Embeddings as a staged training table: row_id, label 0-9, fold, features."""
-    rows = table(spark, sf, "embeddings").select(
-        F.col("vec_id").alias("row_id"),
-        "label",
-        array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features"),
-    )
-    return stage(folds.stratified_folds(rows, "label", "row_id", k=2), "typed", partition_by="fold")
+def once(build):
+    """Keep what ``build(spark, sf)`` returns for the session."""
+
+    @lru_cache(maxsize=None)
+    def kept(_application: str, sf: str):
+        return build(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), sf)
+
+    return lambda spark, sf: kept(spark.sparkContext.applicationId, sf)
+
+
+# The raw sample table as a job finds it: a file, not a chain of expressions.
+assay_cohort = once(lambda spark, sf: stage(assay_view(spark, sf), "samples"))
+
+# --- customers: the nation gives the label away ------------------------------
+
+CUSTOMER_FEATURES = ["c_acctbal", "c_nationkey", "c_custkey % 7"]
+BINARY_LABEL, TYPE_LABEL = "(c_nationkey >= 12)::int", "(c_nationkey // 9)::int"
 
 
+def _customers(spark, sf, label, k):
+    customers = table(spark, sf, "customer").withColumn("c_custkey % 7", F.col("c_custkey") % 7)
+    ready = VectorAssembler(inputCols=CUSTOMER_FEATURES, outputCol="features").transform(customers)
+    rows = ready.select(F.col("c_custkey").alias("row_id"), label.cast("int").alias("label"), "features")
+    return stage(folds.stratified_folds(rows, "label", "row_id", k=k), "customers", partition_by="fold")
+
+
+@once
 def binary_rows(spark, sf):
-    return typed_rows(spark, sf).withColumn("label", (F.col("label") >= 3).cast("int"))
+    return _customers(spark, sf, F.col("c_nationkey") >= 12, folds.BINARY_FOLDS)
 
 
-def _probability_check(scored):
-    """Columns that hold for any model: keys, and whether the probabilities are sound."""
-    total = vectors.total(F.col("probs"))
-    sound = (F.abs(total - 1.0) < 1e-9) & (F.array_min("probs") >= 0) & (F.size("probs") == N_CLASSES)
-    best = F.get("probs", F.col("prediction")) == F.array_max("probs")
-    return scored.select("row_id", "label", sound.alias("sound"), best.alias("best"))
+@once
+def typed_rows(spark, sf):
+    return _customers(spark, sf, F.floor(F.col("c_nationkey") / 9), folds.TYPE_TREE_FOLDS)
 
 
-ALL_TYPED_SQL = "select vec_id as row_id, label, true as sound, true as best from embeddings"
-FOLD_SQL = """
-select vec_id as row_id, {label} as label,
-       ((row_number() over (order by label, md5(concat('42|', cast(vec_id as varchar))), vec_id) - 1) % 2)::int as fold,
-       true as in_range from embeddings
-"""
+def separable_sql(label: str, k: int | None = None) -> str:
+    """Key, label and the prediction any sound model makes; with the fold of the shuffled split."""
+    fold = f""", ((row_number() over (order by {label}, md5(concat('42|', cast(c_custkey as varchar))), c_custkey) - 1) % {k})::int as fold"""
+    return f"select c_custkey as row_id, {label} as label, {label} as prediction{fold if k else ''} from customer"
 
 
-@query("fit_boosted_binary")
-def fit_boosted_binary(spark, sf):
+@once
+def binary_model(spark, sf):
     rows = binary_rows(spark, sf)
-    weight = folds.positive_weight(rows).first()["pos_weight"]
-    return models.score_binary(models.fit_boosted_binary(rows, weight, ROUNDS), rows)
+    return models.fit_boosted_binary(rows, folds.positive_weight(rows).first()["pos_weight"])
 
 
-@query("fit_boosted_multi", ALL_TYPED_SQL)
+@query("fit_boosted_binary", separable_sql(BINARY_LABEL))
+def fit_boosted_binary(spark, sf):
+    return models.score_binary(binary_model(spark, sf), binary_rows(spark, sf)).select("row_id", "label", "prediction")
+
+
+@query("fit_boosted_multi", separable_sql(TYPE_LABEL))
 def fit_boosted_multi(spark, sf):
     rows = typed_rows(spark, sf)
-    return _probability_check(models.score_boosted_multi(models.fit_boosted_multi(rows, rounds=ROUNDS), rows))
+    return models.score_boosted_multi(models.fit_boosted_multi(rows), rows).select("row_id", "label", "prediction")
 
 
-@query("fit_boosted_multi_weighted", ALL_TYPED_SQL)
+@query("fit_boosted_multi_weighted", separable_sql(TYPE_LABEL))
 def fit_boosted_multi_weighted(spark, sf):
     rows = typed_rows(spark, sf)
-    model = models.fit_boosted_multi(rows, weighted=True, rounds=ROUNDS)
-    return _probability_check(models.score_boosted_multi(model, rows))
+    return models.score_boosted_multi(models.fit_boosted_multi(rows, weighted=True), rows).select("row_id", "label", "prediction")
 
 
-def _coverage(oof):
-    return oof.select("row_id", "label", "fold", F.col("score").between(0, 1).alias("in_range"))
+@once
+def boosted_folds(spark, sf):
+    fit = models.fit_boosted_binary
+    return models.cross_validate(binary_rows(spark, sf), fit, models.score_binary, folds.BINARY_FOLDS, FITS_AT_ONCE)
 
 
-@query("cross_validate_boosted", FOLD_SQL.format(label="(label >= 3)::int"))
+@query("cross_validate_boosted", separable_sql(BINARY_LABEL, folds.BINARY_FOLDS))
 def cross_validate_boosted(spark, sf):
-    rows = binary_rows(spark, sf)
-    cv = models.cross_validate(rows, lambda t: models.fit_boosted_binary(t, rounds=ROUNDS), models.score_binary, k=2)
-    return _coverage(cv.oof)
+    return boosted_folds(spark, sf).oof.select("row_id", "label", "prediction", "fold")
 
 
-@query("cross_validate_latent", FOLD_SQL.format(label="label"))
-def cross_validate_latent(spark, sf):
-    rows = typed_rows(spark, sf)
-    cv = models.cross_validate(
-        rows, lambda t: models.fit_latent(t, N_FEATURES, N_CLASSES, iterations=ITERATIONS), models.score_latent, k=2
+@query("fit_final", separable_sql(BINARY_LABEL))
+def fit_final(spark, sf):
+    """The model of all rows keeps the predictions of the folds."""
+    final = models.score_binary(binary_model(spark, sf), binary_rows(spark, sf)).select("row_id", "label", "prediction")
+    return final.join(boosted_folds(spark, sf).oof.select("row_id", "prediction"), ["row_id", "prediction"]).select("row_id", "label", "prediction")
+
+
+IMPORTANCE_SQL = """select * from (values ('c_nationkey', 1.0::double), ('c_acctbal', 0.0::double), ('c_custkey % 7', 0.0::double)) t(feature, importance)"""
+
+
+@query("feature_importance", IMPORTANCE_SQL)
+def feature_importance(spark, sf):
+    """All gain is on the one feature that splits the classes."""
+    return rounded(models.feature_importance(spark, binary_model(spark, sf), CUSTOMER_FEATURES), ["importance"])
+
+
+@query("mean_importance", IMPORTANCE_SQL)
+def mean_importance(spark, sf):
+    fitted = boosted_folds(spark, sf).models
+    return rounded(models.mean_importance([models.feature_importance(spark, m, CUSTOMER_FEATURES) for m in fitted]), ["importance"])
+
+
+@query("feature_importance_share", "select 3::bigint as n_features, 1.0::double as total, 'c_nationkey' as best")
+def feature_importance_share(spark, sf):
+    shares = models.feature_importance(spark, binary_model(spark, sf), CUSTOMER_FEATURES).agg(
+        F.count(F.lit(1)).alias("n_features"), F.sum("importance").alias("total"), F.max_by("feature", "importance").alias("best")
     )
-    return _coverage(cv.oof)
+    return rounded(shares, ["total"])
 
 
-@query("fit_class_head", ALL_TYPED_SQL)
+# --- class head and embedding --------------------------------------------------
+
+
+@once
+def indicator_rows(spark, sf):
+    """Customers with one indicator per class, apart by ten, beside small noise: linearly separable."""
+    label = F.floor(F.col("c_nationkey") / 9).cast("int")
+    indicators = [F.when(label == c, 10.0).otherwise(0.0) for c in range(3)]
+    noise = [F.sin(F.col("c_custkey") * (i + 1)) for i in range(5)]
+    rows = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("row_id"), label.alias("label"), array_to_vector(F.array(*indicators, *noise)).alias("features")
+    )
+    return stage(folds.stratified_folds(rows, "label", "row_id", k=folds.BINARY_FOLDS), "indicators", partition_by="fold")
+
+
+@query("fit_class_head", separable_sql(TYPE_LABEL))
 def fit_class_head(spark, sf):
-    rows = typed_rows(spark, sf)
-    head = models.fit_class_head(rows, N_FEATURES, N_CLASSES, iterations=ITERATIONS)
-    probs = vector_to_array(F.col("probability")).alias("probs")
-    scored = head.transform(rows).select("row_id", "label", F.col("prediction").cast("int").alias("prediction"), probs)
-    return _probability_check(scored)
+    rows = indicator_rows(spark, sf)
+    scored = models.fit_class_head(rows, 8, 3).transform(rows)
+    return scored.select("row_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
-@query("fit_final", "select vec_id as row_id, (label >= 3)::int as label, true as in_range from embeddings")
-def fit_final(spark, sf):
-    rows = binary_rows(spark, sf)
-    final = models.fit_boosted_binary(rows, rounds=ROUNDS)
-    return models.score_binary(final, rows).select("row_id", "label", F.col("score").between(0, 1).alias("in_range"))
+@once
+def latent_folds(spark, sf):
+    return models.cross_validate(
+        indicator_rows(spark, sf), lambda t: models.fit_latent(t, 8, 3), models.score_latent, folds.BINARY_FOLDS, FITS_AT_ONCE
+    )
+
+
+@query("cross_validate_latent", separable_sql(TYPE_LABEL, folds.BINARY_FOLDS))
+def cross_validate_latent(spark, sf):
+    return latent_folds(spark, sf).oof.select("row_id", "label", "prediction", "fold")
+
+
+@query("loss_curve", "select i::int as fold, 0.0::double as last_loss from range(0, 10) r(i)")
+def loss_curve(spark, sf):
+    """On a separable table the loss of every fold's head ends at zero."""
+    losses = models.loss_curve(spark, [m.stages[1] for m in latent_folds(spark, sf).models])
+    return losses.groupBy("fold").agg(F.round(F.max_by("loss", "iteration"), 2).alias("last_loss"))
+
+
+@query("loss_curve_improves", "select i::int as fold, 0::bigint as n_above_first from range(0, 10) r(i)")
+def loss_curve_improves(spark, sf):
+    """No later loss of a fold's head is above its first."""
+    losses = models.loss_curve(spark, [m.stages[1] for m in latent_folds(spark, sf).models])
+    first = losses.groupBy("fold").agg(F.min_by("loss", "iteration").alias("first"))
+    return losses.join(first, "fold").groupBy("fold").agg(F.count_if(F.col("loss") > F.col("first")).alias("n_above_first"))
+
+
+# Of two numbers per vector (sums of its halves) the principal axes have a closed form.
+PLANE_SQL = """
+halves as (select vec_id as row_id, label, list_sum(list_transform(embedding[1:32], lambda v: v::double)) as a,
+                  list_sum(list_transform(embedding[33:64], lambda v: v::double)) as b from embeddings),
+cov as (select var_samp(a) as aa, var_samp(b) as bb, covar_samp(a, b) as ab from halves),
+top as (select *, (aa + bb) / 2 + sqrt(pow((aa - bb) / 2, 2) + ab * ab) as l from cov),
+axis as (select ab / sqrt(ab * ab + pow(l - aa, 2)) as u, (l - aa) / sqrt(ab * ab + pow(l - aa, 2)) as v from top),
+signed as (select sign(u) * u as u, sign(u) * v as v from axis)
+"""
+
+
+def _halves(spark, sf):
+    half = "aggregate(slice(embedding, {first}, 32), 0.0D, (total, v) -> total + cast(v as double))"
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("row_id"), "label", F.expr(half.format(first=1)).alias("a"), F.expr(half.format(first=33)).alias("b")
+    )
 
 
-@query("latent_embed", "select vec_id as row_id, 8 as dimensions, true as finite from embeddings")
+def _upright(df, x, y):
+    """Turn both axes so that they rise with the first number: the sign of an axis is arbitrary."""
+    signs = df.agg(F.signum(F.covar_samp(x, "a")), F.signum(F.covar_samp(y, "a"))).first()
+    return df.withColumns({x: F.col(x) * signs[0], y: F.col(y) * signs[1]})
+
+
+@query(
+    "latent_embed",
+    f"with {PLANE_SQL} select row_id, round(a * u + b * v, 6) as z1, round(sign(v) * (a * v - b * u), 6) as z2 from halves, signed",
+)
 def latent_embed(spark, sf):
-    rows = typed_rows(spark, sf)
+    rows = _halves(spark, sf).withColumn("features", array_to_vector(F.array("a", "b")))
     z = vector_to_array(F.col("embedding"))
-    embedded = models.fit_embedding(rows).transform(rows).select("row_id", z.alias("z"))
-    finite = F.forall("z", lambda v: F.abs(v) < float("inf"))
-    return embedded.select("row_id", F.size("z").alias("dimensions"), finite.alias("finite"))
+    embedded = models.fit_embedding(rows, k=2).transform(rows).select("row_id", "a", z[0].alias("z1"), z[1].alias("z2"))
+    return rounded(_upright(embedded, "z1", "z2").select("row_id", "z1", "z2"), ["z1", "z2"])
+
+
+@query(
+    "project_2d",
+    f"with {PLANE_SQL} select row_id, label, round(a * u + b * v, 6) as x, round(sign(v) * (a * v - b * u), 6) as y from halves, signed",
+)
+def project_2d(spark, sf):
+    rows = _halves(spark, sf).withColumn("z", F.array("a", "b"))
+    return rounded(_upright(models.project_2d(rows), "x", "y").select("row_id", "label", "x", "y"), ["x", "y"])
+
+
+@query(
+    "project_2d_axes",
+    f"with {PLANE_SQL} select (select count(*) from halves) as n, 0.0::double as correlation, round(l, 6) as first, round(aa + bb - l, 6) as second from top",
+)
+def project_2d_axes(spark, sf):
+    """The two axes of the map are uncorrelated and carry the two eigenvalues of the covariance."""
+    plane = models.project_2d(_halves(spark, sf).withColumn("z", F.array("a", "b")))
+    found = plane.agg(
+        F.count(F.lit(1)).alias("n"), F.abs(F.corr("x", "y")).alias("correlation"), F.var_samp("x").alias("first"), F.var_samp("y").alias("second")
+    )
+    return rounded(found, ["correlation", "first", "second"])
 
 
 @query(
@@ -127,7 +252,9 @@ def latent_embed(spark, sf):
 )
 def reconstruct(spark, sf):
     """Reconstructed energy plus the error is the energy of the sample (components are orthonormal)."""
-    rows = typed_rows(spark, sf)
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("row_id"), array_to_vector(F.transform("embedding", lambda v: v.cast("double"))).alias("features")
+    )
     model = models.fit_embedding(rows)
     x = vector_to_array(F.col("features")).alias("x")
     z = vector_to_array(F.col("embedding")).alias("z")
@@ -137,69 +264,70 @@ def reconstruct(spark, sf):
     return scored.select("row_id", F.round(kept + F.col("recon_error"), 6).alias("energy"))
 
 
-@query("loss_curve")
-def loss_curve(spark, sf):
-    rows = typed_rows(spark, sf)
-    heads = [
-        models.fit_class_head(folds.train_split(rows, i), N_FEATURES, N_CLASSES, iterations=ITERATIONS) for i in range(2)
-    ]
-    return models.loss_curve(spark, heads)
-
-
-@query("project_2d")
-def project_2d(spark, sf):
-    rows = typed_rows(spark, sf).select("row_id", "label", vector_to_array("features").alias("z"))
-    return models.project_2d(rows).drop("z")
-
-
-@query("feature_importance")
-def feature_importance(spark, sf):
-    model = models.fit_boosted_binary(binary_rows(spark, sf), rounds=ROUNDS)
-    return models.feature_importance(spark, model, [f"f{i}" for i in range(N_FEATURES)])
-
-
-@query("mean_importance")
-def mean_importance(spark, sf):
-    rows = binary_rows(spark, sf)
-    names = [f"f{i}" for i in range(N_FEATURES)]
-    fitted = [models.fit_boosted_binary(folds.train_split(rows, i), rounds=ROUNDS) for i in range(2)]
-    return models.mean_importance([models.feature_importance(spark, m, names) for m in fitted])
-
+# --- values outside the fitted range -------------------------------------------
 
-# What must hold for the fitted tables above, whatever the model.
-
-
-@query(
-    "loss_curve_improves",
-    "select fold, true as improved from (select distinct (vec_id % 2)::int as fold from embeddings)",
-)
-def loss_curve_improves(spark, sf):
-    """The last loss of a fold's head is below its first."""
-    losses = loss_curve(spark, sf).groupBy("fold").agg(
-        F.min_by("loss", "iteration").alias("first"), F.max_by("loss", "iteration").alias("last")
-    )
-    return losses.select("fold", (F.col("last") < F.col("first")).alias("improved"))
+RANGE_SQL = """
+with raw as (
+  select c_custkey as row_id, c_custkey % 10 = 0 as held,
+         case when c_custkey % 40 = 0 then -99999.0::double when c_custkey % 40 = 10 then null when c_custkey % 40 = 20 then 0.0::double else c_acctbal end as v
+  from customer),
+fitted as (select min(v) as low, median(v) as mid from raw where not held),
+off as (select *, case when low > 0 then 0 else abs(low) + 1 end as o from fitted),
+logged as (select row_id, held, v, low, log2(greatest(coalesce(v, mid), low) + o) as y from raw, off),
+stats as (select avg(y) as m, stddev_pop(y) as s from logged where not held)
+select row_id, round((y - m) / s, 6) as scaled, coalesce(v < low, false)::int as n_clamped from logged, stats where held
+"""
 
 
-@query("project_2d_axes", "select count(*) as n, true as uncorrelated, true as ordered from embeddings")
-def project_2d_axes(spark, sf):
-    """The two axes of the map are uncorrelated and the first carries more variance."""
-    return project_2d(spark, sf).agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.abs(F.corr("x", "y")) < 1e-6).alias("uncorrelated"),
-        (F.var_pop("x") >= F.var_pop("y")).alias("ordered"),
-    )
+@query("preprocess_outside_the_range", RANGE_SQL)
+def preprocess_outside_the_range(spark, sf):
+    """Rows that were not fitted: a value below the range counts as its lowest, a missing one as the median."""
+    key = F.col("c_custkey")
+    text = F.when(key % 40 == 0, "-99999").when(key % 40 == 10, "n/a").when(key % 40 == 20, "*0").otherwise(F.col("c_acctbal").cast("string"))
+    raw = table(spark, sf, "customer").select(key.alias("row_id"), text.alias("v"))
+    cleaned = clean.clean_numeric(raw, ["v"])
+    prep = fit_preprocessing(cleaned.where("row_id % 10 <> 0"), ["v"])
+    held = prep.count_clamped(cleaned.where("row_id % 10 = 0"))
+    return rounded(prep.transform_filled(held).select("row_id", F.col("v").alias("scaled"), "n_clamped"), ["scaled"])
+
+
+SINGLE_CLASS_SQL = """
+with groups as (
+  select case when c_nationkey < 5 then c_mktsegment else 'mixed' end as grp, c_acctbal as score, case when c_mktsegment = 'BUILDING' then 0 else 1 end as label
+  from customer),
+g as (select grp, score, sum(label) as tp, sum(1 - label) as fp from groups group by 1, 2),
+c as (select grp, score, sum(tp) over w as tps, sum(fp) over w as fps, sum(tp) over (partition by grp) as p, sum(fp) over (partition by grp) as q
+      from g window w as (partition by grp order by score desc)),
+pts as (select grp, score as thr, fps::double / nullif(q, 0) as fpr, tps::double / nullif(p, 0) as tpr, p, q from c
+        union all select grp, 'inf'::double, 0.0, 0.0, max(p), max(q) from c group by grp)
+select grp, case when max(p) > 0 and max(q) > 0 then min(thr) filter (where 1 - fpr >= 0.99) else 0.5::double end as threshold,
+       case when max(p) > 0 and max(q) > 0 then round(arg_min(tpr, thr) filter (where 1 - fpr >= 0.99), 6) end as sensitivity,
+       case when max(p) > 0 and max(q) > 0 then round(arg_min(1 - fpr, thr) filter (where 1 - fpr >= 0.99), 6) end as specificity
+from pts group by grp
+"""
 
 
-@query("feature_importance_share", "select max(len(embedding)) as n_features, true as sums_to_one from embeddings")
-def feature_importance_share(spark, sf):
-    return feature_importance(spark, sf).agg(
-        F.count(F.lit(1)).alias("n_features"), (F.abs(F.sum("importance") - 1.0) < 1e-9).alias("sums_to_one")
+@query("threshold_single_class_groups", SINGLE_CLASS_SQL)
+def threshold_single_class_groups(spark, sf):
+    """A group with a single class has no specificity: it takes the plain prediction's threshold."""
+    segment = F.when(F.col("c_nationkey") < 5, F.col("c_mktsegment")).otherwise("mixed")
+    scored = table(spark, sf, "customer").select(
+        segment.alias("grp"), F.col("c_acctbal").alias("score"), (F.col("c_mktsegment") != "BUILDING").cast("int").alias("label")
     )
+    points = curves.threshold_at_specificity(curves.roc_curve(scored, by=["grp"]), ["grp"])
+    return rounded(points, ["sensitivity", "specificity"])
 
 
 # --- bundles and scoring ----------------------------------------------------
 
+COHORT_SQL = """
+samples as (
+  select vec_id as row_id, label as code,
+         case when label < 4 then 'Normal' when label < 6 then 'Lung' when label < 8 then 'Ovary' else 'Breast' end as "Condition",
+         case when label >= 4 then ['I', 'II', 'III'][vec_id % 3 + 1] end as "Stage"
+  from embeddings)
+"""
+
 
 def _bundle(spark, sf, kind: str) -> tuple[ModelBundle, object]:
     samples = assay_cohort(spark, sf)
@@ -210,151 +338,335 @@ def _bundle(spark, sf, kind: str) -> tuple[ModelBundle, object]:
     prep = fit_preprocessing(cleaned, features)
     scaled = prep.transform(clean.drop_missing(cleaned, features))
     if kind == "binary":
-        rows = clean.assemble(clean.binary_label(scaled, out="label"), features)
-        return ModelBundle(kind, models.fit_boosted_binary(rows, rounds=ROUNDS), prep, ["Normal", "Cancer"]), samples
+        rows = stage(clean.assemble(clean.binary_label(scaled, out="label"), features).select("label", "features"), "bundle-fit")
+        return ModelBundle(kind, models.fit_boosted_binary(rows), prep, ["Normal", "Cancer"]), samples
     codes = clean.fit_label_codes(scaled, "Condition")
-    rows = clean.assemble(clean.encode_labels(scaled, codes), features)
+    rows = stage(clean.assemble(clean.encode_labels(scaled, codes), features).select("label", "features"), "bundle-fit")
     classes = list(codes.labels)
     if kind == "type":
-        return ModelBundle(kind, models.fit_boosted_multi(rows, rounds=ROUNDS), prep, classes), samples
-    model = models.fit_latent(rows, len(features), len(classes), iterations=ITERATIONS)
-    return ModelBundle(kind, model, prep, classes), samples
+        return ModelBundle(kind, models.fit_boosted_multi(rows), prep, classes), samples
+    return ModelBundle(kind, models.fit_latent(rows, len(features), len(classes)), prep, classes), samples
+
+
+binary_bundle = once(lambda spark, sf: _bundle(spark, sf, "binary"))
+type_bundle = once(lambda spark, sf: _bundle(spark, sf, "type"))
+latent_bundle = once(lambda spark, sf: _bundle(spark, sf, "latent"))
 
 
 def _with_gaps(samples):
-    """Some values unreadable, so filling is exercised."""
-    return samples.withColumn("AFP (pg/ml)", F.when(F.col("row_id") % 5 == 0, "n/a").otherwise(F.col("AFP (pg/ml)")))
+    """Some values unreadable, and some below anything fitted."""
+    odd = F.when(F.col("row_id") % 5 == 0, "n/a").when(F.col("row_id") % 5 == 1, "-7").otherwise(F.col("AFP (pg/ml)"))
+    return samples.withColumn("AFP (pg/ml)", odd)
 
 
-RISK_SQL = """select vec_id as row_id, true as in_range, true as consistent from embeddings"""
+RISK_SQL = f"""with {COHORT_SQL} select row_id, (code >= 4)::int as prediction, case when code >= 4 then 'Cancer' else 'Normal' end as predicted_class,
+                      (code >= 4)::int as above_half, (row_id % 5 = 1)::int as n_clamped from samples"""
 
 
-def _risk_check(scored):
-    p = F.col("cancer_probability")
-    named = clean.class_name(F.col("prediction")) == F.col("predicted_class")
-    return scored.select("row_id", p.between(0, 1).alias("in_range"), (named & ((p > 0.5) == (F.col("prediction") == 1))).alias("consistent"))
+def _risk(scored):
+    return scored.select("row_id", "prediction", "predicted_class", (F.col("cancer_probability") > 0.5).cast("int").alias("above_half"), "n_clamped")
 
 
 @query("score_risk", RISK_SQL)
 def score_risk(spark, sf):
-    bundle, samples = _bundle(spark, sf, "binary")
-    return _risk_check(scoring.score_risk(_with_gaps(samples), bundle))
+    bundle, samples = binary_bundle(spark, sf)
+    return _risk(scoring.score_risk(_with_gaps(samples), bundle))
 
 
 @query("score_risk_batch_median", RISK_SQL)
 def score_risk_batch_median(spark, sf):
-    bundle, samples = _bundle(spark, sf, "binary")
-    return _risk_check(scoring.score_risk(_with_gaps(samples), bundle, missing="batch"))
+    bundle, samples = binary_bundle(spark, sf)
+    return _risk(scoring.score_risk(_with_gaps(samples), bundle, missing="batch"))
 
 
-@query("save_and_load_bundle", "select vec_id as row_id, true as same from embeddings")
+@query(
+    "save_and_load_bundle",
+    f"with {COHORT_SQL} select row_id, case when code >= 4 then 'Cancer' else 'Normal' end as predicted_class, 0.0::double as difference from samples",
+)
 def save_and_load_bundle(spark, sf):
     """Scores before saving and after loading agree on every row."""
-    bundle, samples = _bundle(spark, sf, "binary")
+    bundle, samples = binary_bundle(spark, sf)
     path = scratch_path(spark, "bundle")
     save_bundle(bundle, path, spark)
     before = scoring.score_risk(samples, bundle).select("row_id", F.col("cancer_probability").alias("before"))
-    after = scoring.score_risk(samples, load_bundle(path, spark)).select("row_id", "cancer_probability")
-    return before.join(after, "row_id").select("row_id", (F.col("before") == F.col("cancer_probability")).alias("same"))
+    after = scoring.score_risk(samples, load_bundle(path, spark)).select("row_id", "predicted_class", "cancer_probability")
+    return before.join(after, "row_id").select("row_id", "predicted_class", F.abs(F.col("before") - F.col("cancer_probability")).alias("difference"))
 
 
-TYPES_SQL = """select vec_id as row_id, 2 as n_labels, true as ordered, true as different from embeddings where label >= 4"""
+TYPES_SQL = f"""with {COHORT_SQL} select row_id, "Condition" as best, 2 as n_labels, 2 as n_probabilities from samples where code >= 4"""
 
 
-def _types_check(scored):
-    return scored.select(
-        "row_id",
-        F.size("top_labels").alias("n_labels"),
-        (F.get("top_probabilities", F.lit(0)) >= F.get("top_probabilities", F.lit(1))).alias("ordered"),
-        (F.get("top_labels", F.lit(0)) != F.get("top_labels", F.lit(1))).alias("different"),
-    )
+def _best_type(scored, *more):
+    first = F.get("top_labels", F.lit(0)).alias("best")
+    return scored.select("row_id", first, F.size("top_labels").alias("n_labels"), F.size("top_probabilities").alias("n_probabilities"), *more)
 
 
 @query("score_types", TYPES_SQL)
 def score_types(spark, sf):
-    bundle, samples = _bundle(spark, sf, "type")
-    return _types_check(scoring.score_types(_with_gaps(samples), bundle))
+    bundle, samples = type_bundle(spark, sf)
+    return _best_type(scoring.score_types(_with_gaps(samples), bundle))
 
 
 @query("score_types_cell_median", TYPES_SQL)
 def score_types_cell_median(spark, sf):
-    bundle, samples = _bundle(spark, sf, "type")
-    return _types_check(scoring.score_types(_with_gaps(samples), bundle, missing="cells"))
+    bundle, samples = type_bundle(spark, sf)
+    return _best_type(scoring.score_types(_with_gaps(samples), bundle, missing="cells"))
 
 
-@query("score_types_with_embedding", "select vec_id as row_id, 2 as n_labels, 8 as dimensions from embeddings where label >= 4")
+@query("score_types_with_embedding", TYPES_SQL.replace("n_probabilities", "n_probabilities, 8 as dimensions"))
 def score_types_with_embedding(spark, sf):
-    bundle, samples = _bundle(spark, sf, "latent")
-    scored = scoring.score_types(_with_gaps(samples), bundle, with_embedding=True)
-    return scored.select("row_id", F.size("top_labels").alias("n_labels"), F.size("embedding").alias("dimensions"))
+    """Rows the head was trained on: it has learned every one of them."""
+    bundle, samples = latent_bundle(spark, sf)
+    scored = scoring.score_types(samples, bundle, with_embedding=True)
+    return _best_type(scored, F.size("embedding").alias("dimensions"))
 
 
 # --- whole studies ----------------------------------------------------------
 
+binary_study = once(lambda spark, sf: run_binary(assay_cohort(spark, sf), parallelism=FITS_AT_ONCE))
+type_study = once(lambda spark, sf: run_type(assay_cohort(spark, sf), parallelism=FITS_AT_ONCE))
+weighted_study = once(lambda spark, sf: run_type(assay_cohort(spark, sf), weighted=True, parallelism=FITS_AT_ONCE))
+latent_binary_study = once(lambda spark, sf: run_latent(assay_cohort(spark, sf), "binary", parallelism=FITS_AT_ONCE))
+latent_type_study = once(lambda spark, sf: run_latent(assay_cohort(spark, sf), "type", parallelism=FITS_AT_ONCE))
+
+N_SCORES = N_SUMS + 1
+
+
+def dataset_sql(rows: str, columns: int, features: int, classes: int, **settings: int) -> str:
+    """The facts of a cohort as summary rows."""
+    facts = {"original columns": columns, "features": features, "classes": classes, **settings}
+    listed = ", ".join(f"('dataset', '{k}', {v}::double)" for k, v in facts.items())
+    return f"""select 'dataset' as section, key, count(*)::double as value from samples, (select unnest(['original rows', 'final rows']) as key) {rows} group by key
+               union all select * from (values {listed}) t(section, key, value)"""
+
 
-@query("run_binary_summary")
+# Every number of a study whose marker gives the class away: all rates are one.
+PERFECT_REPORT = """
+select 'report', {name} || ' ' || m, case when m = 'support' then n::double else 1.0 end
+from {source}, (select unnest(['precision', 'recall', 'f1', 'support']) as m)
+"""
+BINARY_SUMMARY_SQL = f"""
+with {COHORT_SQL},
+classes as (select (code >= 4)::int::varchar as c, count(*) as n from samples group by 1
+            union all select unnest(['accuracy', 'macro avg', 'weighted avg']), (select count(*) from samples))
+{dataset_sql('', 5 + len(ASSAY_COLUMNS) + N_SCORES, len(ASSAY_COLUMNS) + N_SCORES, 2, folds=10, rounds=100)}
+union all select 'fold accuracy', i::varchar, 1.0 from range(0, 10) r(i)
+union all select * from (values ('accuracy', 'all mean', 1.0), ('accuracy', 'all std', 0.0), ('auc', 'all', 1.0), ('auc by fold', 'all mean', 1.0), ('auc by fold', 'all std', 0.0))
+union all select 'sensitivity by class', "Condition" || ' ' || m, case when m = 'error' then 0.0 else 1.0 end
+          from (select distinct "Condition" from samples where code >= 4), (select unnest(['sensitivity', 'error']) as m)
+union all select 'sensitivity by stage', "Stage" || ' ' || m, case when m = 'error' then 0.0 else 1.0 end
+          from (select distinct "Stage" from samples where code >= 4), (select unnest(['sensitivity', 'error']) as m)
+union all select 'confusion', 'all true_negative', count(*) from samples where code < 4
+union all select 'confusion', 'all true_positive', count(*) from samples where code >= 4
+union all select * from (values ('confusion', 'all false_positive', 0.0), ('confusion', 'all false_negative', 0.0))
+union all {PERFECT_REPORT.format(name='c', source='classes')}
+"""
+
+
+@query("run_binary_summary", BINARY_SUMMARY_SQL)
 def run_binary_summary(spark, sf):
-    return run_binary(assay_cohort(spark, sf), k=2, rounds=ROUNDS).tables["summary"]
+    return rounded(binary_study(spark, sf).tables["summary"], ["value"])
+
+
+TYPE_SUMMARY_SQL = f"""
+with {COHORT_SQL},
+cancers as (select * from samples where code >= 4),
+per as (select "Condition" as c, count(*) as n from cancers group by 1),
+classes as (select * from per union all select unnest(['accuracy', 'macro avg', 'weighted avg']), (select count(*) from cancers))
+{dataset_sql('where code >= 4', 5 + len(ASSAY_COLUMNS) + N_SCORES, len(ASSAY_COLUMNS) + N_SCORES + 1, 3, folds=5, rounds=100)}
+union all select 'class distribution', c || ' ' || m, case when m = 'n' then n else round(100.0::double * n / (select count(*) from cancers), 6) end
+          from per, (select unnest(['n', 'pct']) as m)
+union all select 'fold accuracy', i::varchar, 1.0 from range(0, 5) r(i)
+union all select * from (values ('accuracy', 'all mean', 1.0), ('accuracy', 'all std', 0.0))
+union all select 'accuracy by class', c || ' ' || m, case when m in ('top1', 'top2') then 1.0 else n end
+          from per, (select unnest(['total', 'top1', 'top1_correct', 'top2', 'top2_correct']) as m)
+union all {PERFECT_REPORT.format(name='c', source='classes')}
+"""
+
+
+@query("run_type_summary", TYPE_SUMMARY_SQL)
+def run_type_summary(spark, sf):
+    return rounded(type_study(spark, sf).tables["summary"], ["value"])
+
+
+@query("run_type_weighted_summary", TYPE_SUMMARY_SQL)
+def run_type_weighted_summary(spark, sf):
+    return rounded(weighted_study(spark, sf).tables["summary"], ["value"])
 
 
-STUDY_SQL = """
-with samples as (
-  select vec_id as row_id, case when label < 4 then 'Normal' when label < 6 then 'Lung' when label < 8 then 'Ovary' else 'Breast' end as "Condition"
-  from embeddings {where}),
-coded as (select *, {code} as label from samples)
-select row_id, "Condition", label::int as label,
-       ((row_number() over (order by label, md5(concat('42|', cast(row_id as varchar))), row_id) - 1) % 2)::int as fold, true as sound
+STUDY_SQL = f"""
+with {COHORT_SQL}, coded as (select *, {{code}} as label from samples {{where}})
+select row_id, "Condition", label::int as label, label::int as prediction,
+       ((row_number() over (order by label, md5(concat('42|', cast(row_id as varchar))), row_id) - 1) % {{k}})::int as fold
 from coded
 """
 
 
-@query("run_binary_oof", STUDY_SQL.format(where="", code="""case when "Condition" = 'Normal' then 0 else 1 end"""))
+@query("run_binary_oof", STUDY_SQL.format(where="", code="(code >= 4)::int", k=folds.BINARY_FOLDS))
 def run_binary_oof(spark, sf):
-    """Every sample of the study is scored once, in its own fold, under its own label."""
-    oof = run_binary(assay_cohort(spark, sf), k=2, rounds=ROUNDS).tables["oof"]
-    return oof.select("row_id", "Condition", "label", "fold", F.col("score").between(0, 1).alias("sound"))
+    """Every sample of the study is scored once, in its own fold, and called what it is."""
+    return binary_study(spark, sf).tables["oof"].select("row_id", "Condition", "label", "prediction", "fold")
 
 
-@query("run_type_weighted_oof", STUDY_SQL.format(where="where label >= 4", code="""dense_rank() over (order by "Condition") - 1"""))
+@query("run_type_weighted_oof", STUDY_SQL.format(where="where code >= 4", code="""dense_rank() over (order by "Condition") - 1""", k=folds.TYPE_TREE_FOLDS))
 def run_type_weighted_oof(spark, sf):
     """As above for the type study: normal samples are out, labels are sorted codes."""
-    oof = run_type(assay_cohort(spark, sf), weighted=True, k=2, rounds=ROUNDS).tables["oof"]
-    sound = (F.abs(vectors.total(F.col("probs")) - 1.0) < 1e-9) & (F.size("probs") == 3)
-    return oof.select("row_id", "Condition", "label", "fold", sound.alias("sound"))
+    return weighted_study(spark, sf).tables["oof"].select("row_id", "Condition", "label", "prediction", "fold")
+
+
+LATENT_SUMMARY_SQL = f"""
+with {COHORT_SQL},
+classes as (select (code >= 4)::int::varchar as c, count(*) as n from samples group by 1
+            union all select unnest(['accuracy', 'macro avg', 'weighted avg']), (select count(*) from samples))
+select section, key, value from (
+  {dataset_sql('', 5 + len(ASSAY_COLUMNS) + N_SCORES, len(ASSAY_COLUMNS) + N_SCORES, 2, folds=10)}
+  union all select * from (values ('dataset', 'latent dimension', 8.0), ('dataset', 'beta', 5.0), ('dataset', 'lambda', 20.0)))
+union all select 'fold accuracy', i::varchar, null from range(0, 10) r(i)
+union all select * from (values ('accuracy', 'all mean', null::double), ('accuracy', 'all std', null), ('auc', 'all', null), ('auc by fold', 'all mean', null), ('auc by fold', 'all std', null))
+union all select 'sensitivity by class', "Condition" || ' ' || m, null
+          from (select distinct "Condition" from samples where code >= 4), (select unnest(['sensitivity', 'error']) as m)
+union all select 'sensitivity by stage', "Stage" || ' ' || m, null
+          from (select distinct "Stage" from samples where code >= 4), (select unnest(['sensitivity', 'error']) as m)
+union all select 'confusion', 'all', count(*) from samples
+union all select 'report', c || ' ' || m, case when m = 'support' then n::double end from classes, (select unnest(['precision', 'recall', 'f1', 'support']) as m)
+"""
 
 
-@query("run_type_summary")
-def run_type_summary(spark, sf):
-    return run_type(assay_cohort(spark, sf), k=2, rounds=ROUNDS).tables["summary"]
+@query("run_latent_binary_summary", LATENT_SUMMARY_SQL)
+def run_latent_binary_summary(spark, sf):
+    """All entries of the summary; values where they follow from the cohort (confusion cells as their sum)."""
+    summary = latent_binary_study(spark, sf).tables["summary"]
+    confusion = F.col("section") == "confusion"
+    keyed = summary.withColumn("key", F.when(confusion, "all").otherwise(F.col("key")))
+    follows = (F.col("section") == "dataset") | confusion | F.col("key").endswith(" support")
+    known = keyed.withColumn("value", F.when(follows, F.col("value")))
+    return known.groupBy("section", "key").agg(F.sum("value").alias("value"))
 
 
-@query("run_type_weighted_summary")
-def run_type_weighted_summary(spark, sf):
-    return run_type(assay_cohort(spark, sf), weighted=True, k=2, rounds=ROUNDS).tables["summary"]
+@query(
+    "run_latent_type_attributions",
+    f"""with {COHORT_SQL}, cancers as (select * from samples where code >= 4),
+        explained as (select row_id from cancers order by md5(concat('{EXPLAINED_SEED}|', cast(row_id as varchar))), row_id limit {explain.EXPLAINED_ROWS})
+        select row_id, c::int as class, {len(ASSAY_COLUMNS) + N_SCORES + 1}::bigint as n_features, 0.0::double as difference from explained, range(0, 3) r(c)""",
+)
+def run_latent_type_attributions(spark, sf):
+    """Base and attributions of every explained row and class add up to the score of the model."""
+    study = latent_type_study(spark, sf)
+    best = study.tables["best_fold"].first()["fold"]
+    head, features = study.fold_models[best].stages[1], study.bundle.preprocessing.features
+    summed = study.tables["attributions"].groupBy("row_id", "class").agg(
+        F.count(F.lit(1)).alias("n_features"), F.sum("phi").alias("phi"), F.first("base").alias("base")
+    )
+    probs = vector_to_array(F.col("probability"))
+    scored = head.transform(clean.assemble(study.tables["preprocessed"], features)).select("row_id", F.posexplode(probs).alias("class", "p"))
+    joined = summed.join(scored, ["row_id", "class"])
+    return joined.select("row_id", "class", "n_features", F.round(F.abs(F.col("base") + F.col("phi") - F.col("p")), 6).alias("difference"))
 
 
-@query("run_latent_binary_summary")
-def run_latent_binary_summary(spark, sf):
-    study = run_latent(assay_cohort(spark, sf), "binary", k=2, iterations=ITERATIONS, background_rows=10, explained_rows=20)
-    return study.tables["summary"]
+# --- what a study leaves on disk ---------------------------------------------
 
 
-@query("run_latent_type_attributions")
-def run_latent_type_attributions(spark, sf):
-    study = run_latent(assay_cohort(spark, sf), "type", k=2, iterations=ITERATIONS, background_rows=10, explained_rows=20)
-    return study.tables["attributions"]
+def _read_back(spark, study, name):
+    """Classes of the preprocessed rows, the confusion matrix and the best feature, from the files."""
+    parts = write_study(study, scratch_path(spark, name))
+    text = lambda path, **options: spark.read.options(header=True, **options).csv(path)
+    rows = text(parts["preprocessed"]).groupBy(F.col("Condition").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    found = rows.select(F.lit("preprocessed").alias("part"), "key", "value")
+    matrix = text(parts["confusion_matrix"])
+    cells = [F.struct(F.concat_ws(" as ", "class", F.lit(c)).alias("key"), F.col(f"`{c}`").cast("double").alias("value")) for c in study.bundle.classes]
+    found = found.union(matrix.select(F.lit("confusion").alias("part"), F.inline(F.array(*cells))))
+    settings = text(parts["summary"]).where("section = 'dataset'").select(F.lit("summary").alias("part"), "key", F.col("value").cast("double"))
+    found = found.union(settings)
+    loaded = load_bundle(parts["bundle"], spark)
+    found = found.union(spark.createDataFrame([("bundle", loaded.kind, float(len(loaded.preprocessing.features)))], "part string, key string, value double"))
+    return parts, found
+
+
+@query(
+    "write_study_binary",
+    f"""with {COHORT_SQL}, facts as ({dataset_sql('', 5 + len(ASSAY_COLUMNS) + N_SCORES, len(ASSAY_COLUMNS) + N_SCORES, 2, folds=10, rounds=100)})
+        select 'preprocessed' as part, "Condition" as key, count(*)::double as value from samples group by 2
+        union all select 'binary_condition', (code >= 4)::int::varchar, count(*) from samples group by 2
+        union all select 'confusion', t || ' as ' || p, case when t = p then (select count(*) from samples where (code >= 4) = (t = 'Cancer')) else 0 end
+                  from (select unnest(['Normal', 'Cancer']) as t), (select unnest(['Normal', 'Cancer']) as p)
+        union all select 'summary', key, value from facts
+        union all select 'bundle', 'binary', {len(ASSAY_COLUMNS) + N_SCORES}
+        union all select 'best feature', '{MARKER}', {len(ASSAY_COLUMNS) + N_SCORES}""",
+)
+def write_study_binary(spark, sf):
+    parts, found = _read_back(spark, binary_study(spark, sf), "binary-study")
+    rows = spark.read.option("header", True).csv(parts["preprocessed"])
+    labels = rows.groupBy(F.col("binary_condition").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    ranked = spark.read.schema("Feature string, Importance double").option("header", True).csv(parts["feature_importance"])
+    best = ranked.agg(F.max_by("Feature", "Importance").alias("key"), F.count(F.lit(1)).cast("double").alias("value"))
+    return found.union(labels.select(F.lit("binary_condition").alias("part"), "key", "value")).union(best.select(F.lit("best feature").alias("part"), "key", "value"))
+
+
+@query(
+    "write_study_type",
+    f"""with {COHORT_SQL}, facts as ({dataset_sql('where code >= 4', 5 + len(ASSAY_COLUMNS) + N_SCORES, len(ASSAY_COLUMNS) + N_SCORES + 1, 3, folds=5, rounds=100)}),
+        per as (select "Condition" as c, count(*)::double as n from samples where code >= 4 group by 1)
+        select 'preprocessed' as part, c as key, n as value from per
+        union all select 'confusion', t.c || ' as ' || p.c, case when t.c = p.c then t.n else 0 end from per t, per p
+        union all select 'summary', key, value from facts
+        union all select 'bundle', 'type', {len(ASSAY_COLUMNS) + N_SCORES + 1}
+        union all select 'patients', 'distinct', sum(n) from per
+        union all select 'class weights', c, round((select sum(n) / 3 from per) / n, 6) from per""",
+)
+def write_study_type(spark, sf):
+    study = weighted_study(spark, sf)
+    parts, found = _read_back(spark, study, "type-study")
+    patients = spark.read.option("header", True).csv(parts["preprocessed"]).agg(F.count_distinct("PatientID").cast("double").alias("value"))
+    weights = spark.read.schema("label int, weight double").option("header", True).csv(parts["class_weights"])
+    names = F.array(*[F.lit(c) for c in study.bundle.classes])
+    weighted = weights.select(F.lit("class weights").alias("part"), F.get(names, F.col("label")).alias("key"), F.round("weight", 6).alias("value"))
+    return found.union(patients.select(F.lit("patients").alias("part"), F.lit("distinct").alias("key"), "value")).union(weighted)
+
+
+@query(
+    "write_study_latent",
+    f"""with {COHORT_SQL}, facts as ({dataset_sql('', 5 + len(ASSAY_COLUMNS) + N_SCORES, len(ASSAY_COLUMNS) + N_SCORES, 2, folds=10)})
+        select 'preprocessed' as part, "Condition" as key, count(*)::double as value from samples group by 2
+        union all select 'confusion', case when code >= 4 then 'Cancer' else 'Normal' end, count(*) from samples group by 2
+        union all select 'summary', key, value from facts
+        union all select * from (values ('summary', 'latent dimension', 8.0), ('summary', 'beta', 5.0), ('summary', 'lambda', 20.0))
+        union all select 'bundle', 'latent', {len(ASSAY_COLUMNS) + N_SCORES}
+        union all select 'top features', '1 to 20', 20.0""",
+)
+def write_study_latent(spark, sf):
+    parts, found = _read_back(spark, latent_binary_study(spark, sf), "latent-study")
+    confusion = F.col("part") == "confusion"
+    cells = found.withColumn("key", F.when(confusion, F.split("key", " as ")[0]).otherwise(F.col("key")))
+    summed = cells.groupBy("part", "key").agg(F.sum("value").alias("value"))
+    top = spark.read.schema("Rank int, Feature string, i double").options(header=True, sep="\t").csv(parts["top_features"])
+    listed = top.agg(F.concat_ws(" to ", F.min("Rank"), F.max("Rank")).alias("key"), F.count_distinct("Feature").cast("double").alias("value"))
+    return summed.union(listed.select(F.lit("top features").alias("part"), "key", "value"))
+
+
+FOLD_SCALE_SQL = f"""
+with {COHORT_SQL}
+select row_id, (code >= 4)::int as label, (code >= 4)::int as prediction,
+       ((row_number() over (order by (code >= 4)::int, md5(concat('42|', cast(row_id as varchar))), row_id) - 1) % 5)::int as fold
+from samples
+"""
+
+
+@query("validate_with_scales_of_the_folds", FOLD_SCALE_SQL)
+def validate_with_scales_of_the_folds(spark, sf):
+    """Offsets and scales fitted on training folds only: extreme held-out values lose no row."""
+    odd = F.when(F.col("row_id") % 97 == 0, "0").when(F.col("row_id") % 97 == 1, "-5").when(F.col("row_id") == 3, "-100000")
+    samples = assay_cohort(spark, sf).withColumn("AFP (pg/ml)", F.coalesce(odd, F.col("AFP (pg/ml)")))
+    cohort = prepare_cohort(samples, "binary", 5, fit_scope="train", with_medians=False)
+    cv = validate(cohort, models.fit_boosted_binary, models.score_binary, ["row_id"], FITS_AT_ONCE)
+    return cv.oof.select("row_id", "label", "prediction", "fold")
 
 
 @query(
     "profile_cohort",
     """with t as (select case when label < 4 then 'Normal' when label < 6 then 'Lung' when label < 8 then 'Ovary' else 'Breast' end as "Condition",
                          case when label >= 4 then ['I', 'II', 'III'][vec_id % 3 + 1] end as "Stage" from embeddings),
-       c as (select "Stage", "Condition", count(*) as n from t where "Stage" is not null group by 1, 2),
-       p as (select "Stage", "Condition", 100.0::double * n / sum(n) over (partition by "Condition") as pct from c)
-       select "Stage", round(coalesce(sum(pct) filter (where "Condition" = 'Breast'), 0), 6) as "Breast",
-              round(coalesce(sum(pct) filter (where "Condition" = 'Lung'), 0), 6) as "Lung",
-              round(coalesce(sum(pct) filter (where "Condition" = 'Ovary'), 0), 6) as "Ovary" from p group by 1""",
+       c as (select "Stage", "Condition", count(*) as n from t where "Stage" is not null group by 1, 2)
+       select "Stage", "Condition", n, round(100.0::double * n / sum(n) over (partition by "Condition"), 6) as pct from c""",
 )
 def profile_cohort_stage_share(spark, sf):
-    shares = profile_cohort(assay_cohort(spark, sf))["stage_share_by_label"]
-    return shares.select("Stage", *[F.round(c, 6).alias(c) for c in ("Breast", "Lung", "Ovary")])
+    return rounded(profile_cohort(assay_cohort(spark, sf))["stage_share_by_label"], ["pct"])

@@ -2,7 +2,7 @@
 
 ``customer`` plays a binary cohort (BUILDING is the normal class, the balance is the
 score), ``orders`` a staged cohort, ``lineitem`` a wide measured table, ``embeddings`` a
-typed cohort whose first ten numbers give class probabilities.
+typed cohort whose numbers, summed by place modulo ten, give class probabilities.
 """
 
 from __future__ import annotations
@@ -79,7 +79,8 @@ def staged_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TYPE_OOF_SQL = """
 raw as (
-  select vec_id as row_id, label, list_transform(embedding[1:10], lambda v: cast(v as double)) as logits
+  select vec_id as row_id, label,
+         list_transform(range(0, 10), lambda c: list_sum(list_transform(list_filter(embedding, lambda v, i: (i - 1) % 10 = c), lambda v: cast(v as double)))) as logits
   from embeddings),
 exped as (
   select row_id, label, logits, list_transform(logits, lambda v: exp(v - list_max(logits))) as e from raw),
@@ -93,8 +94,9 @@ oof as (
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.transform(F.slice("embedding", 1, N_CLASSES), lambda v: v.cast("double"))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label", first.alias("logits"))
+    place_sum = "aggregate(filter(embedding, (v, i) -> i % 10 = {c}), 0.0D, (total, v) -> total + cast(v as double))"
+    sums = [F.expr(place_sum.format(c=c)) for c in range(N_CLASSES)]
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "label", F.array(*sums).alias("logits"))
 
 
 def type_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,11 +134,23 @@ def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- assay cohort derived from the embeddings -------------------------------
 
 
+MARKER = "Omega marker"
+N_SUMS = 4
+
+
 def assay_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A raw sample table: text assays with marks, a class with normals, a stage, an age."""
-    vectors_table = table(spark, sf_dir, "embeddings")
-    marked = [F.expr(f"concat(if(vec_id % 13 = {i % 13}, '*', ''), cast(exp(4.0D * embedding[{i}]) as string))") for i in range(len(ASSAY_COLUMNS) + 1)]
-    return vectors_table.select(
+    """A raw sample table: text assays with marks, a class with normals, a stage, an age.
+
+    The numbers of a vector are assays, the last ones summed to a few further scores; one score, the
+    marker, gives the class away, so that a sound model must predict it for every row.
+    """
+    panel = len(ASSAY_COLUMNS)
+    star = "if(vec_id % 13 = {i} % 13, '*', '')"
+    marked = [F.expr(f"concat({star.format(i=i)}, cast(exp(4.0D * embedding[{i}]) as string))") for i in range(panel)]
+    rest = "aggregate(filter(embedding, (v, i) -> i >= {first} and i % {n} = {i}), 0.0D, (total, v) -> total + cast(v as double))"
+    sums = [rest.format(first=panel, n=N_SUMS, i=i) for i in range(N_SUMS)]
+    scores = [F.expr(f"concat({star.format(i=i)}, cast(exp({total}) as string))") for i, total in enumerate(sums)]
+    return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("row_id"),
         F.concat(F.lit("P"), F.col("vec_id").cast("string")).alias("PatientID"),
         F.when(F.col("label") < 4, "Normal").when(F.col("label") < 6, "Lung").when(F.col("label") < 8, "Ovary")
@@ -144,5 +158,6 @@ def assay_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("label") >= 4, F.element_at(F.array(F.lit("I"), F.lit("II"), F.lit("III")), (F.col("vec_id") % 3 + 1).cast("int"))).alias("Stage"),
         (40 + F.col("vec_id") % 40).cast("string").alias("Age"),
         *[m.alias(name) for m, name in zip(marked, ASSAY_COLUMNS)],
-        marked[-1].alias("Omega score"),
+        *[score.alias(f"Omega {i}") for i, score in enumerate(scores)],
+        (F.col("label") + 1).cast("string").alias(MARKER),
     )

@@ -60,7 +60,7 @@ def apply_log2(df: DataFrame, offsets: Mapping[str, float], lowest: Mapping[str,
 
 def _clamped(column: str, low: float | None) -> str:
     value = present_sql(column)
-    return value if low is None else f"if({value} < {_literal(low)}, {_literal(low)}, {value})"
+    return value if low is None else f"nvl2({value}, greatest({value}, {_literal(low)}), null)"
 
 
 def count_below(df: DataFrame, lowest: Mapping[str, float | None], out: str) -> DataFrame:
