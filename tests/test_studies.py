@@ -170,3 +170,56 @@ def test_report_files(spark, tmp_path):
     sinks.write_top_features(importance, str(tmp_path / "top"), n=1)
     lines = [r["value"] for r in spark.read.text(str(tmp_path / "top")).collect()]
     assert lines == ["Rank\tFeature\tSHAP Importance", "1\ta\t0.750000"]
+
+
+def test_released_study_leaves_nothing_staged(spark, samples, tmp_path):
+    from pathlib import Path
+
+    from cohortlens.plans.writing import write_study
+
+    with run_binary(samples, k=2, rounds=1) as study:
+        staged = [Path(p.removeprefix("file:")) for p in study.staged]
+        names = {p.name.rsplit("-", 1)[0] for p in staged}
+        assert {"cleaned", "cohort", "oof", "ladder", "fold-ladder"} <= names
+        # The cleaned copy went as soon as the cohort was staged.
+        assert [p.name for p in staged if not p.exists()] == [p.name for p in staged if p.name.startswith("cleaned")]
+        parts = write_study(study, str(tmp_path / "study"))
+    assert not any(p.exists() for p in staged) and study.staged == []
+    header = spark.read.option("header", True).csv(parts["preprocessed"]).columns
+    assert header[-2:] == ["Condition", "binary_condition"] and "PatientID" not in header
+    assert load_bundle(parts["bundle"], spark).preprocessing == study.bundle.preprocessing
+
+
+def test_low_values_are_low_and_missing_ones_are_not(spark, binary_study, samples):
+    prep = binary_study.bundle.preprocessing
+    name = prep.features[0]
+    held = spark.createDataFrame([(0, "-5"), (1, "n/a"), (2, "0"), (3, "1e9")], "row_id long, v string").withColumnRenamed("v", name)
+    one = clean.clean_numeric(held, [name])
+    from dataclasses import replace
+
+    own = replace(prep, features=[name], offsets={name: prep.offsets[name]}, medians={name: prep.medians[name]}, lowest={name: prep.lowest[name]},
+                  scaling=replace(prep.scaling, means={name: prep.scaling.means[name]}, stds={name: prep.scaling.stds[name]}))
+    scaled = {r["row_id"]: (r[name], r["n_clamped"]) for r in own.transform_filled(own.count_clamped(one)).collect()}
+    assert scaled[0] == scaled[2] and scaled[0][0] < scaled[1][0] < scaled[3][0]
+    assert [scaled[i][1] for i in range(4)] == [1, 0, 1, 0]
+
+
+def test_bundles_refuse_the_wrong_score(samples, binary_study):
+    from dataclasses import replace
+
+    with pytest.raises(ValueError, match="rank types"):
+        scoring.score_types(samples, binary_study.bundle)
+    with pytest.raises(ValueError, match="score a risk"):
+        scoring.score_risk(samples, replace(binary_study.bundle, kind="type", classes=["a", "b", "c"]))
+
+
+def test_several_input_paths(spark, samples, tmp_path):
+    samples.limit(30).write.parquet(str(tmp_path / "a"))
+    samples.limit(20).write.parquet(str(tmp_path / "b"))
+    assert read_samples(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).count() == 50
+
+
+def test_all_rows_can_be_explained(samples):
+    study = run_latent(samples.limit(60), "binary", k=2, iterations=2, background_rows=2, explained_rows=None)
+    assert study.tables["attributions"].select("row_id").distinct().count() == 60
+    study.release()
