@@ -1,16 +1,18 @@
 """Toxicity of whole texts by a small recurrent network that is trained here, in numpy.
 
 A word enters as three vectors: one of the word itself, and the mean and the largest components
-of those of its character 4-grams (both from hashed tables). A gated recurrent layer reads a window of words in both
+of those of its runs of four and six characters (both from hashed tables). A gated recurrent layer reads a window of words in both
 directions, attention pools the states, a logistic unit scores the window. A text is cut into
 windows of ``WINDOW`` words that begin every ``STRIDE`` words and overlap; the last one ends with
 the text. All windows of a text are scored, its score is the largest, put on a probability scale
-fitted on the rows that were learned from.
+fitted on labelled rows that the network did not learn from.
 
 Learning: a bounded sample of labelled rows (``max_rows``, at most a third of them with label 1;
 only texts of at most ``max_bytes``) is fetched to the driver, which trains on up to
-``windows_per_row`` windows of each. The sample is chosen by a hash of the key, so the model does
-not depend on the order of rows. Scoring covers every row and whole texts.
+``windows_per_row`` windows of each text. Where both labels have ``ENOUGH`` rows, every third is kept
+apart for the probability scale. Near copies within the sample count once. The sample is chosen by a
+hash of the key, so the model does not depend on the order of rows. Scoring covers every row and
+whole texts.
 
 Defined results: a null text is the empty one; a text without words gets the score of a window
 without words; labels other than 0 and 1 and rows without a key teach nothing; a key with both
@@ -21,6 +23,7 @@ an empty table none. Other columns of either table are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +34,12 @@ from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 48, 32
 BUCKETS, WIDTH, HIDDEN = 1 << 15, 8, 8
+#: Rows per label from which some are kept apart for the probability scale.
+ENOUGH = 600
+#: Standard errors by which a bucket may differ by chance.
+CHANCE = 2.0
+#: Step of the optimiser, and its share for the hashed tables, most rows of which are seen a few times.
+RATE, TABLE_SHARE = 0.01, 0.2
 #: Windows scored at a time, and words a worker remembers.
 BATCH, HELD = 1024, 300_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—_*#/\\|`~"
@@ -53,24 +62,30 @@ class Model:
 
 
 def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word bucket of each word, buckets of all its 4-grams one after another, and their numbers."""
+    """Word bucket of each word, buckets of all its character grams one after another, and their numbers."""
     cores = [w.strip(PUNCTUATION) or w for w in words]
     # Each word stands as " word " so that starts and ends make grams of their own.
     points = np.frombuffer((" " + "  ".join(cores) + " " if cores else "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, cores), np.int64, len(cores)) + 2
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
     place = np.arange(len(points)) - np.repeat(starts, sizes)
     mixed = (points + np.uint64(1)) * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
     mixed = mixed * np.uint64(0xBF58476D1CE4E5B9)
     word = (np.add.reduceat(mixed, starts) >> np.uint64(40)) % np.uint64(BUCKETS) if len(points) else np.zeros(0, np.uint64)
-    # Words of one letter have one gram, the whole; longer ones a gram from every place but the last three.
-    number = np.maximum(sizes - 3, 1)
-    begin = np.repeat(starts, number) + np.arange(number.sum()) - np.repeat(np.concatenate(([0], np.cumsum(number)[:-1])), number)
-    padded = np.concatenate((points, np.zeros(4, np.uint64)))
+    # A word of one letter has one gram, the whole; others grams of four and of six points from every
+    # place that leaves room for them. A word's grams of four stand before its grams of six.
+    padded = np.concatenate((points, np.zeros(6, np.uint64)))
+    counts = np.stack([np.maximum(sizes - 3, 1), np.maximum(sizes - 5, 0)], axis=1)
+    number = counts.sum(axis=1)
+    runs = counts.ravel()
+    offset = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    begin = np.repeat(np.repeat(starts, 2), runs) + offset
+    long = np.repeat(np.tile([False, True], len(sizes)), runs)
     gram = np.zeros(len(begin), np.uint64)
-    for j in range(4):
-        gram = gram * np.uint64(0x100000001B3) + padded[begin + j] + np.uint64(1)
+    for j in range(6):
+        more = gram * np.uint64(0x100000001B3) + padded[begin + j] + np.uint64(1)
+        gram = more if j < 4 else np.where(long, more, gram)
     gram ^= gram >> np.uint64(31)
     gram = (gram * np.uint64(0x94D049BB133111EB)) >> np.uint64(40)
     return word.astype(np.int64), (gram % np.uint64(BUCKETS)).astype(np.int64), number
@@ -238,8 +253,8 @@ class Scorer:
 def _telling(model: Model, words: list[str], labels: np.ndarray, docs: list[np.ndarray]) -> None:
     """Start the tables with how surely a bucket is more frequent under one label.
 
-    The first component is the log-odds over its standard error, so that what is seen in a few
-    documents only starts near zero.
+    The first component is the log-odds over its standard error, less what chance gives a table of
+    so many buckets, so that what is seen in a few documents only starts at zero.
     """
     word, grams, number = buckets_of(words)
     owner = np.repeat(np.arange(len(words)), number)
@@ -256,10 +271,31 @@ def _telling(model: Model, words: list[str], labels: np.ndarray, docs: list[np.n
         p, n = seen[1][kind], seen[0][kind]
         odds = np.log((p + 0.5) / (totals[1] - p + 0.5)) - np.log((n + 0.5) / (totals[0] - n + 0.5))
         error = np.sqrt(1 / (p + 0.5) + 1 / (n + 0.5) + 1 / (totals[1] - p + 0.5) + 1 / (totals[0] - n + 0.5))
-        target[:, 0] = np.clip(odds / error / 2.5, -2, 2)
+        sure = odds / error
+        target[:, 0] = np.clip(np.sign(sure) * np.maximum(np.abs(sure) - CHANCE, 0) / 2, -2, 2)
 
 
-def train(texts: list[str], labels: list[int], prior: float | None = None, windows_per_row: int = 3, rounds: int = 6, least_steps: int = 15, seed: int = 11) -> Model:
+def distinct_texts(texts: list[str]) -> list[int]:
+    """Places of the texts that are no near copy of an earlier one.
+
+    Copies would pass for independent witnesses of every rare word they share. Two texts count as
+    copies if two of three smallest hashes of their runs of four words agree.
+    """
+    seen: set[tuple] = set()
+    kept = []
+    for n, text in enumerate(texts):
+        words = text.lower().split()
+        runs = [" ".join(words[i : i + 4]).encode() for i in range(max(len(words) - 3, 1))]
+        codes = np.array([zlib.crc32(r) for r in runs], np.uint64)
+        least = [int(((codes * np.uint64(m)) & np.uint64(0xFFFFFFFF)).min()) for m in (2654435761, 2246822519, 3266489917)]
+        keys = [(i, least[i], j, least[j]) for i, j in ((0, 1), (0, 2), (1, 2))]
+        if not any(k in seen for k in keys):
+            kept.append(n)
+        seen.update(keys)
+    return kept
+
+
+def train(texts: list[str], labels: list[int], prior: float | None = None, windows_per_row: int = 3, rounds: int = 5, least_steps: int = 15, seed: int = 11) -> Model:
     """Fit the network on windows of labelled texts and the probability scale on the whole texts.
 
     ``prior`` is the share of label 1 among all rows; without it that of ``labels``.
@@ -274,6 +310,15 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, windo
     if not len(truth) or truth.min() == truth.max():
         model.constant = float(truth.mean()) if len(truth) else 0.0
         return model
+    kept = distinct_texts(texts)
+    if 0 < truth[kept].sum() < len(kept):
+        texts, truth = [texts[i] for i in kept], truth[kept]
+    # Logits of texts that were learned from are too sure of themselves: every third text is kept for the scale.
+    apart = np.arange(len(truth)) % 3 == 2
+    if min(truth.sum(), (1 - truth).sum()) < ENOUGH:
+        apart[:] = False
+    whole, share_of = (texts, truth), float(np.mean(labels))
+    texts, truth = [t for t, a in zip(texts, apart) if not a], truth[~apart]
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.lower().split()], np.int64) for t in texts]
     words = list(vocabulary)
@@ -316,13 +361,18 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, windo
         scorer = Scorer(model)
         level = scorer.window_logits(words, docs, starts)
 
-    prior = truth.mean() if prior is None else prior
+    if apart.any():
+        texts, truth = [t for t, a in zip(whole[0], apart) if a], whole[1][apart]
+        logits = Scorer(model).text_logits(iter(texts))
+    else:
+        logits = np.array([own.max() for own in level])
+    prior = share_of if prior is None else prior
     weights = np.where(truth == 1, prior / truth.mean(), (1 - prior) / (1 - truth.mean()))
-    model.scale = _scale(np.array([own.max() for own in level]), truth, weights)
+    model.scale = _scale(logits, truth, weights)
     return model
 
 
-def _step(model, moments, tick, windows, answers, weights, word, grams, number, first_gram, rate=0.01):
+def _step(model, moments, tick, windows, answers, weights, word, grams, number, first_gram, rate=RATE):
     """One step of Adam on a batch of windows."""
     ids, place = np.unique(windows, return_inverse=True)
     place = place.reshape(windows.shape)
@@ -375,10 +425,11 @@ def _step(model, moments, tick, windows, answers, weights, word, grams, number,
     spread = spread + largest * np.repeat(d_features[:, 2 * WIDTH :], number[known], axis=0)
     np.add.at(d_grams, grams_of, spread)
 
-    for p, g, (m, v) in zip(model.parameters(), [d_words, d_grams, d_inputs, d_bias, d_recur, d_attend, d_out], moments):
+    shares = [TABLE_SHARE, TABLE_SHARE, 1, 1, 1, 1, 1]
+    for share, p, g, (m, v) in zip(shares, model.parameters(), [d_words, d_grams, d_inputs, d_bias, d_recur, d_attend, d_out], moments):
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
-        p -= (rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.99**tick)) + 1e-8)).astype(np.float32)
+        p -= (share * rate * (m / (1 - 0.9**tick)) / (np.sqrt(v / (1 - 0.99**tick)) + 1e-8)).astype(np.float32)
 
 
 def _scale(logits: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -403,7 +454,7 @@ def held_out(key: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
-        max_rows: int = 3000, max_bytes: int = 40_000, windows_per_row: int = 3) -> Model:
+        max_rows: int = 4500, max_bytes: int = 40_000, windows_per_row: int = 3) -> Model:
     """Learn from at most ``max_rows`` labelled rows that are not held out."""
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
     known = known.groupBy(key).agg(F.max(label).cast("int").alias("_label"))

@@ -75,8 +75,8 @@ def test_toxicity_held_out(spark):
     truth, score = np.array([labels[r.doc_id] for r in found]), np.array([r.score for r in found])
     assert all(r.predicted == (r.score >= 0.5) for r in found)
     pairs = (score[truth == 1][:, None] > score[truth == 0]) + 0.5 * (score[truth == 1][:, None] == score[truth == 0])
-    assert pairs.mean() > 0.97
-    assert ((score >= 0.5) == truth).mean() > 0.96
+    assert pairs.mean() > 0.95
+    assert ((score >= 0.5) == truth).mean() > 0.97
 
 
 def test_main_text(spark):
