@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from cohortlens.bindings.curves import operating_point_sql, roc_sql, sensitivity_sql
 from cohortlens.bindings.evaluation import TYPE
+from cohortlens.bindings.latent import GIVEN_SQL, given_attributions
 from cohortlens.bindings.registry import query, rounded, table
 from cohortlens.bindings.views import CLASS_LABELS, STAGED_OOF_SQL, staged_oof, type_oof
-from cohortlens.operators import clean, curves, evaluate, folds, report, scale
+from cohortlens.operators import clean, curves, evaluate, explain, folds, report, scale
 from cohortlens.sources import sinks
 from cohortlens.sources.samples import read_samples
 from cohortlens.sources.schema import find_label_column, sample_schema
@@ -67,25 +68,25 @@ def write_preprocessed(spark, sf):
     return rounded(spark.read.schema(schema).option("header", True).csv(path), ["AFP (pg/ml)"])
 
 
-@query(
-    "write_importance",
-    """select p_name as "Feature", round(avg(p_retailprice), 6) as "Importance" from part group by 1""",
-)
+# A row per feature: the mean size of the 64 numbers of the vectors as contributions.
+IMPORTANCE_SQL = f"{GIVEN_SQL}, i as (select feature, avg(abs(phi)) as a from given group by 1)"
+
+
+def _importance(spark, sf):
+    return explain.shap_ranking(given_attributions(spark, sf))
+
+
+@query("write_importance", f"""with {IMPORTANCE_SQL} select feature as "Feature", round(a, 6) as "Importance" from i""")
 def write_importance(spark, sf):
     path = scratch_path(spark, "importance")
     sinks.write_importance(_importance(spark, sf), path)
     return rounded(spark.read.schema("Feature string, Importance double").option("header", True).csv(path), ["Importance"])
 
 
-def _importance(spark, sf):
-    return table(spark, sf, "part").groupBy(F.col("p_name").alias("feature")).agg(F.avg("p_retailprice").alias("importance"))
-
-
 @query(
     "write_top_features",
-    """with i as (select p_name, avg(p_retailprice) as a from part group by 1),
-       r as (select row_number() over (order by a desc, p_name) as n, * from i)
-       select n::int as "Rank", p_name as "Feature", round(a, 4) as "SHAP Importance" from r where n <= 20""",
+    f"""with {IMPORTANCE_SQL}, r as (select row_number() over (order by a desc, feature) as n, * from i)
+       select n::int as "Rank", feature as "Feature", round(round(a, 6), 4) as "SHAP Importance" from r where n <= 20""",
 )
 def write_top_features(spark, sf):
     path = scratch_path(spark, "top-features")
