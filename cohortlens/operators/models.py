@@ -201,16 +201,19 @@ class CrossValidation:
     models: list[Transformer]
 
 
-def cross_validate(df: DataFrame, fit: Fit, score: Score, k: int, parallelism: int = 2) -> CrossValidation:
+def cross_validate(
+    df: DataFrame, fit: Fit, score: Score, k: int, parallelism: int = 2, fit_tasks: int | None = None
+) -> CrossValidation:
     """Fit on all folds but one, score the one left out, pool the scored rows.
 
     ``df`` should be a staged table partitioned by ``fold``: each fit then reads only its
     own folds. Fits of different folds run at the same time from driver threads; the data
-    work is all on executors.
+    work is all on executors. ``fit_tasks`` bounds the tasks of each round of a fit, for small tables.
     """
 
     def run(fold: int) -> Transformer:
-        return fit(train_split(df, fold))
+        train = train_split(df, fold)
+        return fit(train.coalesce(fit_tasks) if fit_tasks else train)
 
     spark = df.sparkSession
     with ThreadPoolExecutor(max_workers=parallelism) as pool:

@@ -109,7 +109,7 @@ def run_binary(
 
         cv = validate(cohort, fit, models.score_binary, ["row_id", "Condition", "Stage"], parallelism)
         fold_models = [m if fit_scope == "all" else m[1] for m in cv.models]
-        final = fit(cohort.rows)
+        final = fit(cohort.rows.coalesce(cohort.fit_tasks))
         tables = {
             "oof": cv.oof,
             **binary_tables(cv.oof, threshold),

@@ -17,6 +17,9 @@ from cohortlens.sources.staging import release, stage, staged_paths
 
 BINARY_CLASSES = ["Normal", "Cancer"]
 
+# Rows a task of a fit reads at least: every round of a fit is a job, and a small cohort lies in many files.
+FIT_TASK_ROWS = 5_000
+
 
 @dataclass
 class Cohort:
@@ -46,6 +49,11 @@ class Cohort:
     def rows(self) -> DataFrame:
         return clean.assemble(self.scaled, self.features)
 
+    @property
+    def fit_tasks(self) -> int:
+        """Tasks a fit needs at most; a large cohort keeps the partitions of its scan."""
+        return max(1, self.n_rows // FIT_TASK_ROWS)
+
     def quality_tables(self) -> dict[str, DataFrame]:
         """Unreadable values per feature, rows removed for them, and rows per class before and after."""
         spark = self.table.sparkSession
@@ -143,7 +151,7 @@ def validate(
 ) -> models.CrossValidation:
     """Out-of-fold rows of a cohort, staged, with the id columns that reports need."""
     if cohort.fit_scope == "all":
-        result = models.cross_validate(cohort.rows, fit, score, cohort.k, parallelism)
+        result = models.cross_validate(cohort.rows, fit, score, cohort.k, parallelism, cohort.fit_tasks)
     else:
 
         def fit_with_scale(train: DataFrame):
@@ -154,7 +162,7 @@ def validate(
             prep, model = fitted
             return score(model, clean.assemble(prep.transform(test), cohort.features))
 
-        result = models.cross_validate(cohort.table, fit_with_scale, score_with_scale, cohort.k, parallelism)
+        result = models.cross_validate(cohort.table, fit_with_scale, score_with_scale, cohort.k, parallelism, cohort.fit_tasks)
     outputs = [c for c in ("prediction", "score", "probs", "z") if c in result.oof.columns]
     present = [c for c in keep if c in result.oof.columns]
     pooled = result.oof.select(*[col(c) for c in [*present, "fold", "label", *outputs]])

@@ -81,7 +81,7 @@ def run_latent(
 
         cv = validate(cohort, fit, models.score_latent, ["row_id", "PatientID", "Condition", "Stage"], parallelism)
         fold_models = [m if fit_scope == "all" else m[1] for m in cv.models]
-        final = fit(cohort.rows)
+        final = fit(cohort.rows.coalesce(cohort.fit_tasks))
         tables = {"oof": cv.oof, **cohort.quality_tables()}
         tables["class_distribution"] = profile.value_percentages(source, "Condition", "rows")
         if task == "binary":

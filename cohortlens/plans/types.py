@@ -63,7 +63,7 @@ def run_type(
             return models.fit_boosted_multi(train, weighted, rounds)
 
         cv = validate(cohort, fit, models.score_boosted_multi, ["row_id", "PatientID", "Condition"], parallelism)
-        final = fit(cohort.rows)
+        final = fit(cohort.rows.coalesce(cohort.fit_tasks))
         weights = folds.balanced_weights(cohort.table) if weighted else None
         tables = {
             "oof": cv.oof,

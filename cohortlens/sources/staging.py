@@ -55,6 +55,13 @@ def staged_paths() -> Iterator[list[str]]:
         _COLLECTORS[:] = [c for c in _COLLECTORS if c is not paths]
 
 
+def record(path: str) -> str:
+    """Note a staged folder in every open ``staged_paths`` block."""
+    for paths in _COLLECTORS:
+        paths.append(path)
+    return path
+
+
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete staged folders through the file system they lie on; ``paths`` is empty afterwards."""
     while paths:
@@ -68,9 +75,7 @@ def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFram
     Later steps read only the columns and fold partitions they use, and a lost executor
     costs a re-read instead of the whole history.
     """
-    path = scratch_path(df.sparkSession, name)
-    for paths in _COLLECTORS:
-        paths.append(path)
+    path = record(scratch_path(df.sparkSession, name))
     if partition_by:
         # Rows of one partition value are brought together in files of the advisory size;
         # otherwise every task would write a small file per value.
