@@ -9,7 +9,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 import cohortlens
-from cohortlens.sources.staging import scratch_path
+from cohortlens.sources.staging import record, scratch_path
 
 _SHIPPED: set[str] = set()
 
@@ -36,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def staged_path(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back; also the path, for ``drop_path``."""
-    path = scratch_path(df.sparkSession, name)
+    path = record(scratch_path(df.sparkSession, name))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 

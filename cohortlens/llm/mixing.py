@@ -8,7 +8,8 @@ due first takes the slot. At every slot each source has had its share ``t n / L`
 within less than one block, and at the end of a cycle exactly, so the deviation never adds up.
 
 A cycle looks like the one before it unless a source runs out, so at most ``2 S + 1`` schedules are
-worked out for ``S`` sources, whatever the corpus; the place of a row follows from its rank in its
+worked out for ``S`` sources, whatever the number of rows (sources are the few parts of a mix; all of
+them together fit in one row); the place of a row follows from its rank in its
 source by arithmetic. Ranks come from windows inside (source, hash bucket) plus prefix sums over
 buckets in two levels, so a source with a third of all rows is spread over many tasks.
 

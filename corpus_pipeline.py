@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from cohortlens.llm.common import drop_path, ship_package, staged_path, table
+from cohortlens.sources.staging import release, staged_paths
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +75,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on ``documents``; the result is read from the last stage's table."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, path = staged_path(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with staged_paths() as scratch:
+            docs, path = staged_path(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        # What the stage left on its way, and the result before it, are no longer read.
+        scratch.remove(path)
+        release(spark, scratch)
         if before is not None:
             drop_path(spark, before)
         before = path
