@@ -10,8 +10,8 @@ the bits that differ.
 
 Two fingerprints of one list can differ only in the ``distance`` bytes outside it, so a list of
 distinct fingerprints holds at most ``256 ** distance`` of them whatever the corpus: 65,536 for
-two. Inside a list the fingerprints are linked by looking each one's neighbours up in a bitmap,
-never by listing pairs, and only a spanning forest of the links leaves the task.
+two. In a list of more than some hundred each one's possible neighbours are looked up among the
+sorted others, in shorter ones all are compared; only a spanning forest of the links leaves the task.
 
 Defined results: a null text is the empty one; a text without words has fingerprint zero and is
 linked like any other; every row gives one row; exact copies share one fingerprint and add one row
