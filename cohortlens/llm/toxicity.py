@@ -40,8 +40,8 @@ ENOUGH = 600
 CHANCE = 2.0
 #: Step of the optimiser, and its share for the hashed tables, most rows of which are seen a few times.
 RATE, TABLE_SHARE = 0.01, 0.2
-#: Windows scored at a time, and words a worker remembers.
-BATCH, HELD = 1024, 300_000
+#: Windows scored at a time, words a worker remembers, and words whose vectors are worked out at a time.
+BATCH, HELD, CHUNK = 1024, 150_000, 20_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—_*#/\\|`~"
 
 
@@ -63,6 +63,11 @@ class Model:
 
 def buckets_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word bucket of each word, buckets of all its character grams one after another, and their numbers."""
+    parts = [_buckets(words[low : low + CHUNK]) for low in range(0, max(len(words), 1), CHUNK)]
+    return tuple(np.concatenate(p) for p in zip(*parts))
+
+
+def _buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cores = [w.strip(PUNCTUATION) or w for w in words]
     # Each word stands as " word " so that starts and ends make grams of their own.
     points = np.frombuffer((" " + "  ".join(cores) + " " if cores else "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -172,7 +177,9 @@ class Scorer:
             grown = np.zeros((max(2 * len(self.rows), first + len(words)), 2, 3 * HIDDEN), np.float32)
             grown[: len(self.rows)] = self.rows
             self.rows = grown
-        self.rows[first : first + len(words)] = _projected(self.model, _features(self.model, buckets_of(words)))
+        for low in range(0, len(words), CHUNK):
+            part = words[low : low + CHUNK]
+            self.rows[first + low : first + low + len(part)] = _projected(self.model, _features(self.model, buckets_of(part)))
 
     def numbered(self, words: list[str]) -> np.ndarray:
         new = list(set(words).difference(self.ids))
@@ -257,10 +264,8 @@ def _telling(model: Model, words: list[str], labels: np.ndarray, docs: list[np.n
     so many buckets, so that what is seen in a few documents only starts at zero.
     """
     word, grams, number = buckets_of(words)
-    owner = np.repeat(np.arange(len(words)), number)
     at = np.concatenate(([0], np.cumsum(number)))
     seen = {0: [np.zeros(BUCKETS), np.zeros(BUCKETS)], 1: [np.zeros(BUCKETS), np.zeros(BUCKETS)]}
-    del owner
     for label, ids in zip(labels, docs):
         own = np.unique(ids)
         seen[int(label)][0][np.unique(word[own])] += 1
@@ -332,8 +337,10 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, windo
 
     # First the windows that hold the most telling words and others at random; then, round by round,
     # those the network itself finds most toxic, as the largest window decides about a text.
-    hint = _features(model, buckets)
-    hint = np.maximum(hint[:, 0], hint[:, 2 * WIDTH])
+    hint = np.empty(len(words), np.float32)
+    for low in range(0, len(words), CHUNK):
+        found = _features(model, buckets_of(words[low : low + CHUNK]))
+        hint[low : low + CHUNK] = np.maximum(found[:, 0], found[:, 2 * WIDTH])
     starts = [np.array(window_starts(len(ids))) for ids in docs]
     level = [np.array([hint[ids[s : s + WINDOW]].max(initial=0) for s in at]) for ids, at in zip(docs, starts)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in model.parameters()]
