@@ -430,7 +430,7 @@ weighted_study = once(lambda spark, sf: run_type(assay_cohort(spark, sf), weight
 latent_binary_study = once(lambda spark, sf: run_latent(assay_cohort(spark, sf), "binary", parallelism=FITS_AT_ONCE))
 latent_type_study = once(lambda spark, sf: run_latent(assay_cohort(spark, sf), "type", parallelism=FITS_AT_ONCE))
 
-N_SCORES = N_SUMS + 1
+N_SCORES = N_SUMS + 2
 
 
 def dataset_sql(rows: str, columns: int, features: int, classes: int, **settings: int) -> str:
@@ -599,7 +599,9 @@ def write_study_binary(spark, sf):
     rows = spark.read.option("header", True).csv(parts["preprocessed"])
     labels = rows.groupBy(F.col("binary_condition").alias("key")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     ranked = spark.read.schema("Feature string, Importance double").option("header", True).csv(parts["feature_importance"])
-    best = ranked.agg(F.max_by("Feature", "Importance").alias("key"), F.count(F.lit(1)).cast("double").alias("value"))
+    # Either of the two equal markers.
+    first = F.max_by(F.when(F.col("Feature").endswith("marker"), MARKER).otherwise(F.col("Feature")), "Importance")
+    best = ranked.agg(first.alias("key"), F.count(F.lit(1)).cast("double").alias("value"))
     return found.union(labels.select(F.lit("binary_condition").alias("part"), "key", "value")).union(best.select(F.lit("best feature").alias("part"), "key", "value"))
 
 

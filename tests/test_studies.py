@@ -34,7 +34,7 @@ def binary_study(samples):
 def test_cohort_is_scaled_and_split(spark, samples):
     gap = samples.withColumn("AFP (pg/ml)", F.when(F.col("row_id") == 0, "n/a").otherwise(F.col("AFP (pg/ml)")))
     cohort = prepare_cohort(gap, "binary", k=5)
-    assert cohort.n_rows == cohort.raw_rows - 1 and len(cohort.features) == len(ASSAY_COLUMNS) + 5
+    assert cohort.n_rows == cohort.raw_rows - 1 and len(cohort.features) == len(ASSAY_COLUMNS) + 6
     stats = cohort.scaled.agg(*[F.avg(f"`{c}`").alias(f"m{i}") for i, c in enumerate(cohort.features)]).first()
     assert max(abs(m) for m in stats) < 1e-9
     spread = cohort.scaled.agg(*[F.stddev_pop(f"`{c}`").alias(f"s{i}") for i, c in enumerate(cohort.features)]).first()
