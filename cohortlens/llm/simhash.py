@@ -16,7 +16,8 @@ sorted others, in shorter ones all are compared; only a spanning forest of the l
 Defined results: a null text is the empty one; a text without words has fingerprint zero and is
 linked like any other; every row gives one row; exact copies share one fingerprint and add one row
 to the index; rows without a key take part but never name a component (a group of such rows only
-has a null component). Empty tables give no rows; other columns of the input are ignored.
+has a null component). ``keep_one`` chooses a row, not a key: a key that other groups hold too neither
+costs them their row nor brings a copy back. Empty tables give no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
@@ -63,16 +64,28 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * set_in > last).tolist()))
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """``key`` and ``fp`` (the 64 bits as a long) of every row."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, row: bool = False) -> DataFrame:
+    """``key`` and ``fp`` (the 64 bits as a long) of every row; with ``row`` also the digests that tell rows apart."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(v.as_py() or b"", words) for v in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["k", "fp"])
+            columns = [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["k", "fp", "text_md5", "rest_hash"][: len(columns)])
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(compute, "k long, fp long")
+    own = _row(docs, key, text)
+    rows = docs.select(own["k"], F.col(text).cast("binary").alias("t"), *([own["text_md5"], own["rest_hash"]] if row else []))
+    return rows.mapInArrow(compute, "k long, fp long" + (", text_md5 binary, rest_hash long" if row else ""))
+
+
+def _row(docs: DataFrame, key: str, text: str) -> dict[str, Column]:
+    """Key, digest of the text (empty for a null) and hash of the other columns: rows that agree in all are the same row."""
+    rest = [F.col(c) for c in docs.columns if c not in (key, text)]
+    return {
+        "k": F.col(key).cast("long").alias("k"),
+        "text_md5": F.coalesce(F.unhex(F.md5(F.col(text).cast("binary"))), F.lit(b"")).alias("text_md5"),
+        "rest_hash": (F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0).cast("long")).alias("rest_hash"),
+    }
 
 
 def _masks(distance: int) -> np.ndarray:
@@ -141,13 +154,18 @@ def links(distinct: DataFrame, distance: int = 2) -> DataFrame:
     return lists.select("positions", "fps").mapInArrow(linked, "a long, b long")
 
 
+def _rooted(named: DataFrame, distance: int) -> DataFrame:
+    """``named`` (distinct fingerprints ``fp`` and other columns) with the ``root`` fingerprint of each one's group."""
+    joined = components(links(named, distance))
+    return named.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
     """``key``, ``fingerprint`` (16 hex digits) and ``component_id`` (smallest key reachable) of every row."""
     prints = staged(fingerprints(docs, key, text, words), "fingerprints")
     named = staged(prints.groupBy("fp").agg(F.min("k").alias("least")), "distinct-fingerprints")
-    joined = components(links(named, distance))
     # A component is known by its root fingerprint; its name is the smallest key in it.
-    members = named.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    members = _rooted(named, distance)
     names = members.groupBy("root").agg(F.min("least").alias("component_id"))
     named = staged(members.select("fp", "root").join(names, "root").select("fp", "component_id"), "components")
     return prints.join(named, "fp").select(
@@ -155,17 +173,27 @@ def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", wor
     )
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, distance: int = 2) -> DataFrame:
-    """The row with the smallest key of each group; of rows that repeat that key, the one with the smallest text.
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, distance: int = 2, unkeyed_stay: bool = True) -> DataFrame:
+    """One row of each group: the one with the smallest key, then the smallest digest of its text.
 
-    Rows without a key all stay: nothing tells which of them is the first.
+    The choice is by row: rows that repeat a key in other groups neither bring a row back nor cost
+    another group its own. Rows without a key all stay, and groups are those of the other rows;
+    without ``unkeyed_stay`` they come last in their group like any other row.
     """
-    chosen = simhash_groups(docs, key, text, words, distance).where(F.col(key) == F.col("component_id"))
-    per_key = staged(chosen.groupBy(key).agg(F.count("*").alias("n")), "kept-keys")
-    kept = docs.join(per_key.where("n = 1").select(key), key, "left_semi").select(*docs.columns)
-    if not per_key.where("n > 1").isEmpty():
-        again = docs.join(per_key.where("n > 1").select(key), key, "left_semi")
-        rest = [c for c in docs.columns if c not in (key, text)]
-        first = again.groupBy(key).agg(F.min(F.struct(text, *rest)).alias("row"))
-        kept = kept.unionByName(first.select(key, "row.*").select(*docs.columns))
-    return kept.unionByName(docs.where(F.col(key).isNull()))
+    rows = fingerprints(docs, key, text, words, row=True).groupBy("fp", "k", "text_md5", "rest_hash").agg(F.count("*").alias("n"))
+    row = F.struct(F.col("k").isNull().alias("unkeyed"), "k", "text_md5", "rest_hash", "n")
+    choice = F.min(F.when(F.col("k").isNotNull(), row) if unkeyed_stay else row)
+    named = staged(rows.groupBy("fp").agg(choice.alias("first")), "distinct-fingerprints")
+    chosen = _rooted(named, distance).groupBy("root").agg(F.min("first").alias("first")).where("first is not null")
+    chosen = staged(chosen.select(*[F.col(f"first.{c}").alias(f"_kept_{c}") for c in ("k", "text_md5", "rest_hash", "n")]), "kept-rows")
+    own = _row(docs, key, text)
+    every = docs.select("*", *[c.alias(f"_own_{name}") for name, c in own.items()])
+    same = F.col("_own_k").eqNullSafe(F.col("_kept_k")) & (F.col("_own_text_md5") == F.col("_kept_text_md5")) & (F.col("_own_rest_hash") == F.col("_kept_rest_hash"))
+    kept = every.join(chosen.where("_kept_n = 1"), same, "left_semi").select(*docs.columns)
+    if not chosen.where("_kept_n > 1").isEmpty():
+        # Rows that agree in everything: one of them. The group is written in other terms than the
+        # join's, so that copies are combined before they are dealt out.
+        again = every.join(chosen.where("_kept_n > 1"), same, "left_semi")
+        group = F.concat_ws("-", "_own_k", F.hex("_own_text_md5"), "_own_rest_hash").alias("_own_row")
+        kept = kept.unionByName(again.groupBy(group).agg(F.first(F.struct(*docs.columns)).alias("_one")).select("_one.*"))
+    return kept.unionByName(docs.where(own["k"].isNull())) if unkeyed_stay else kept

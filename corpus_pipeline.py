@@ -28,9 +28,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group: the one with the smallest doc_id."""
+    """One document of each SimHash group: the one with the smallest doc_id, one without only if no other has any."""
     ship_package(spark)
-    return simhash.keep_one(docs, words=3, distance=2)
+    return simhash.keep_one(docs, words=3, distance=2, unkeyed_stay=False)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

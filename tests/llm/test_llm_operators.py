@@ -69,6 +69,19 @@ def test_simhash_edges(spark, docs):
     assert simhash.keep_one(null_key).count() == len(TEXTS)
 
 
+def test_keep_one_by_row(spark):
+    ship_package(spark)
+    plain = [f"{w} river {w}a stone {w}b bridge {w}c tower" for w in ("ash", "beech", "cedar", "dogwood", "elm", "fir")]
+    rows = [(7, plain[0]), (7, plain[1]), (7, plain[2]), (3, plain[3]), (7, plain[3]), (8, plain[0]), (9, plain[4]), (9, plain[4]), (None, plain[4]), (None, plain[5]), (None, plain[5])]
+    data = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit(1))
+    keyed = [(3, plain[3]), (7, plain[0]), (7, plain[1]), (7, plain[2]), (9, plain[4])]
+    found = simhash.keep_one(data, unkeyed_stay=False)
+    assert found.columns == data.columns
+    assert sorted((r.doc_id or 99, r.text) for r in found.collect()) == keyed + [(99, plain[5])]
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(data).collect() if r.doc_id) == keyed
+    assert simhash.keep_one(data).where("doc_id is null").count() == 3
+
+
 def test_simhash_links_close_prints(spark):
     rng = np.random.default_rng(3)
     base = int(rng.integers(1 << 62))
