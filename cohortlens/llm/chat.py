@@ -16,7 +16,11 @@ every backslash and every first character of a control string, so none of them i
 Defined results: null roles and texts are empty; turns are ordered by turn, then role, then text,
 nulls first, and repeated rows are repeated turns; rows with a null conversation id form one
 conversation; texts are rendered whole. An empty table gives no rows; other columns are ignored.
-Rows are shuffled by conversation and sorted on disk where needed; a task holds one conversation.
+Rows are shuffled by conversation and sorted on disk where needed, then rendered turn by turn:
+``format_pieces`` and ``conversation_digests`` hold about one piece or turn, however long the
+conversation (all of it only for a template with several loops), while ``format_conversations``
+gives a conversation as one string, which has to fit in memory and in a column's 2 GB. The turns of
+one conversation pass through one task, as its digests depend on their order.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -258,26 +263,36 @@ def fold(node, operators: dict[str, Callable]):
 
 
 class Writer:
-    """Pieces of output and the code-point spans inside ``generation``."""
+    """Pieces of output and the code-point spans inside ``generation``; ``open`` has the starts of unfinished ones."""
 
     def __init__(self):
         self.pieces: list[str] = []
         self.length = 0
         self.spans: list[tuple[int, int]] = []
+        self.open: list[int] = []
 
     def write(self, text: str) -> None:
         self.pieces.append(text)
         self.length += len(text)
 
+    def take(self) -> tuple[str, list[tuple[int, int]]]:
+        """What was written since the last call, and its spans, cut where it ends."""
+        text, spans = "".join(self.pieces), self.spans + [(a, self.length) for a in self.open if a < self.length]
+        self.pieces, self.spans, self.open = [], [], [self.length] * len(self.open)
+        return text, spans
+
 
 def compiled(node, operators: dict[str, Callable]) -> Callable:
-    """A closure for a node: values take the environment, statements the environment and a writer."""
+    """A closure for a node: values take the environment, statements the environment and a writer.
+
+    Statements are generators that pause after each message, so that a caller can take what is written.
+    """
     if isinstance(node, tuple):
         parts = [compiled(p, operators) for p in node]
 
         def run(env, out):
             for part in parts:
-                part(env, out)
+                yield from part(env, out)
 
         return run
     if isinstance(node, Const):
@@ -289,7 +304,12 @@ def compiled(node, operators: dict[str, Callable]) -> Callable:
         return lambda env: apply(*[a(env) for a in args])
     if isinstance(node, Out):
         value = compiled(node.value, operators)
-        return lambda env, out: out.write(str(value(env)))
+
+        def write(env, out):
+            out.write(str(value(env)))
+            return ()
+
+        return write
     if isinstance(node, If):
         test, then, other = compiled(node.test, operators), compiled(node.then, operators), compiled(node.other, operators)
         return lambda env, out: then(env, out) if test(env) else other(env, out)
@@ -297,27 +317,44 @@ def compiled(node, operators: dict[str, Callable]) -> Callable:
     if isinstance(node, Generation):
 
         def marked(env, out):
-            start = out.length
-            body(env, out)
-            out.spans.append((start, out.length))
+            out.open.append(out.length)
+            yield from body(env, out)
+            out.spans.append((out.open.pop(), out.length))
 
         return marked
 
     def loop(env, out, name=node.name):
         for i, message in enumerate(env["messages"]):
-            body({name: message, "loop": {"index": i + 1, "first": i == 0}}, out)
+            yield from body({name: message, "loop": {"index": i + 1, "first": i == 0}}, out)
+            yield
 
     return loop
 
 
+def _loops(node) -> int:
+    """Loops over the messages in a syntax tree."""
+    if isinstance(node, tuple):
+        return sum(map(_loops, node))
+    if isinstance(node, If):
+        return _loops(node.then) + _loops(node.other)
+    return _loops(node.body) if isinstance(node, Generation) else int(isinstance(node, For))
+
+
+def _steps(source: str, controls: tuple[str, ...]) -> tuple[Callable, bool]:
+    """The template's pausing closure, and whether it reads the messages at most once."""
+    operators = OPERATORS | {"escape": escaper(controls)}
+    tree = fold(Parser(source).template(), operators)
+    return compiled(tree, operators), _loops(tree) <= 1
+
+
 def compile_template(source: str, controls: tuple[str, ...] = CONTROLS) -> Callable[[list[dict]], Writer]:
     """A function from messages (dicts with ``role`` and ``text``) to a filled writer."""
-    operators = OPERATORS | {"escape": escaper(controls)}
-    run = compiled(fold(Parser(source).template(), operators), operators)
+    steps, _ = _steps(source, controls)
 
     def render(messages: list[dict]) -> Writer:
         out = Writer()
-        run({"messages": messages}, out)
+        for _ in steps({"messages": messages}, out):
+            pass
         return out
 
     return render
@@ -327,9 +364,9 @@ def read_back(formatted: str, controls: tuple[str, str, str] = CONTROLS) -> list
     """Roles and texts of a conversation rendered as marker, role, marker, text, marker."""
     begin, middle, end = controls
     turns, field, role = [], [], ""
-    for piece in re.findall(r"\\.|" + "|".join(map(re.escape, controls)) + r"|[^\\]", formatted, flags=re.DOTALL) if "\\" in formatted else re.split(
-        "(" + "|".join(map(re.escape, controls)) + ")", formatted
-    ):
+    plain = "[^" + re.escape("\\" + "".join(sorted({c[0] for c in controls}))) + "]+"
+    for found in re.finditer(r"\\.|" + "|".join(map(re.escape, controls)) + "|" + plain + r"|[^\\]", formatted, flags=re.DOTALL):
+        piece = found[0]
         if piece == begin:
             field = []
         elif piece == middle:
@@ -342,15 +379,75 @@ def read_back(formatted: str, controls: tuple[str, str, str] = CONTROLS) -> list
     return turns
 
 
+#: Code points after which a piece ends with its turn.
+PIECE = 1 << 20
 FORMATTED = "n_turns long, formatted string, spans array<struct<start:bigint,end:bigint>>"
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+def _ordered(turns: DataFrame, key: str) -> DataFrame:
+    """Turns dealt by conversation and sorted in each task."""
+    rows = turns.select(F.col(key).cast("long").alias("k"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.repartition("k").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in ("k", "turn", "role", "text")])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], template: str, controls: tuple[str, ...], least: int) -> Iterator[tuple]:
+    """Key, number, start, turns, text and spans of the pieces of each conversation, from its ordered turns."""
+    steps, once = _steps(template, controls)
+
+    def turns_of() -> Iterator[tuple]:
+        for batch in batches:
+            for k, role, text in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
+                yield k, role, text
+
+    for k, group in groupby(turns_of(), key=lambda t: t[0]):
+        out, read, sent, number, start = Writer(), 0, 0, 0, 0
+
+        def messages(group=group) -> Iterator[dict]:
+            nonlocal read
+            for _, role, text in group:
+                read += 1
+                yield {"role": role.as_py(), "text": text.as_py()}
+
+        source = messages()
+        for _ in steps({"messages": source if once else list(source)}, out):
+            if out.length - start > least:
+                yield k, number, start, read - sent, *out.take()
+                number, start, sent = number + 1, out.length, read
+        for _ in source:  # a template without a loop reads none
+            pass
+        yield k, number, start, read - sent, *out.take()
+
+
+def _packed(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+
+def format_pieces(turns: DataFrame, template: str = TEMPLATE, controls: tuple[str, ...] = CONTROLS, key: str = "conv_id", least: int = PIECE) -> DataFrame:
+    """Each conversation in pieces of whole turns: ``key``, ``piece`` (from 0), ``start`` (code points before it), ``n_turns``,
+    ``formatted`` and ``spans`` (in code points of the conversation, cut at the ends of the piece).
+    """
+    compile_template(template, controls)  # errors show at once
+
+    def render_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["k", "piece", "start", "n_turns", "formatted", "spans"], [*[pa.int64()] * 4, pa.string(), SPANS]
+        rows, size = [], 0
+        for *place, text, spans in _pieces(batches, template, controls, least):
+            rows.append((*place, text, [{"start": a, "end": b} for a, b in spans]))
+            size += len(text)
+            if size > least:
+                yield _packed(rows, names, types)
+                rows, size = [], 0
+        if rows:
+            yield _packed(rows, names, types)
+
+    return _ordered(turns, key).mapInArrow(render_all, "k long, piece long, start long, " + FORMATTED).withColumnRenamed("k", key)
+
+
 def format_conversations(turns: DataFrame, template: str = TEMPLATE, controls: tuple[str, ...] = CONTROLS, key: str = "conv_id") -> DataFrame:
     """``key``, ``n_turns``, ``formatted`` and ``spans`` (under the loss mask, in code points) of each conversation."""
     compile_template(template, controls)  # errors show at once
-    rows = turns.select(F.col(key).cast("long").alias("k"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartition("k").sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in ("k", "turn", "role", "text")])
+    rows = _ordered(turns, key)
 
     def render_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         render = compile_template(template, controls)
@@ -405,6 +502,35 @@ def digests(formatted: DataFrame, key: str = "conv_id") -> DataFrame:
     return formatted.select(key, "n_turns", F.arrow_udf(_digests, kind)("formatted", "spans").alias("d")).select(key, "n_turns", "d.*")
 
 
+def conversation_digests(turns: DataFrame, key: str = "conv_id", least: int = PIECE) -> DataFrame:
+    """The rows of ``digests(format_conversations(turns))``, read back piece by piece as they are rendered."""
+
+    def fold_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["k", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+        types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+        done = []
+        for _, pieces in groupby(_pieces(batches, TEMPLATE, CONTROLS, least), key=lambda p: p[0]):
+            turns, loss, n_turns, loss_chars, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+            for k, _, start, n, text, spans in pieces:
+                for role, body in read_back(text):
+                    turns.update(f"{role}\n{body}\n".encode())
+                for a, b in spans:
+                    part = unescape(text[a - start : b - start])
+                    loss_chars += len(part)
+                    loss.update(part.encode())
+                n_turns += n
+                chars += len(text)
+            done.append((k, n_turns, turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
+            if len(done) > 10_000:
+                yield _packed(done, names, types)
+                done = []
+        if done:
+            yield _packed(done, names, types)
+
+    kind = "k long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return _ordered(turns, key).mapInArrow(fold_pieces, kind).withColumnRenamed("k", key)
+
+
 ORACLE_SQL = r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') role, coalesce(text, '') body from conversations

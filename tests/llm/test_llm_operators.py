@@ -325,6 +325,27 @@ def test_chat_edges(spark):
     assert chat.format_conversations(data.limit(0)).count() == 0
 
 
+def test_chat_in_pieces(spark):
+    rows = [(None, i, "assistant" if i % 2 else "user", f"{i} <turn>\\ " + "x" * (i % 50)) for i in range(400)] + [(1, 0, "user", ""), (2, 0, "assistant", "é" * 500)]
+    data = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    small = lambda df: {r.conv_id: tuple(r) for r in df.collect()}
+    for template in (chat.TEMPLATE, "a{% generation %}{% for m in messages %}{{ m.text }}{% endfor %}b{% endgeneration %}", "x", "{% for m in messages %}1{% endfor %}{% for m in messages %}{{ m.text }}{% endfor %}"):
+        whole = small(chat.format_conversations(data, template))
+        pieces = {}
+        for r in chat.format_pieces(data, template, least=200).orderBy("conv_id", "piece").collect():
+            pieces.setdefault(r.conv_id, []).append(r)
+        assert set(pieces) == set(whole)
+        for key, found in pieces.items():
+            assert [r.start for r in found] == [sum(len(q.formatted) for q in found[:n]) for n in range(len(found))]
+            text, learned = "".join(r.formatted for r in found), "".join(r.formatted[s.start - r.start : s.end - r.start] for r in found for s in r.spans)
+            assert (sum(r.n_turns for r in found), text) == whole[key][1:3]
+            assert learned == "".join(text[s.start : s.end] for s in whole[key][3])
+            if template == chat.TEMPLATE:  # no piece holds much more than its limit and a turn
+                assert all(len(r.formatted) < 200 + 600 for r in found) and (key is not None or len(found) > 50)
+    assert small(chat.conversation_digests(data, least=200)) == small(chat.digests(chat.format_conversations(data)))
+    assert chat.conversation_digests(data.limit(0)).count() == 0
+
+
 PAGE = (
     "<html><head><title>x</title></head><body><div id='cookie-banner'>We use cookies</div><div class=site-top><a href=1>Home</a> <a href=2>News</a></div>"
     "<div class=layout><div class='post-body'><h2>Title {0}</h2><p>Some text &amp; more {0} about <a href=x>link {0}</a> things that is\n long enough.&nbsp;<em>Yes</em>"
