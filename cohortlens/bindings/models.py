@@ -21,7 +21,7 @@ from cohortlens.functions import vectors
 from cohortlens.operators import clean, curves, explain, folds, latent, models, scoring
 from cohortlens.operators.preprocess import fit_preprocessing
 from cohortlens.plans.binary import run_binary
-from cohortlens.plans.common import prepare_cohort, validate
+from cohortlens.plans.common import FIT_TASK_ROWS, prepare_cohort, validate
 from cohortlens.plans.latent import EXPLAINED_SEED, run_latent
 from cohortlens.plans.profiling import profile_cohort
 from cohortlens.plans.types import run_type
@@ -30,10 +30,15 @@ from cohortlens.sources.bundle import ModelBundle, load_bundle, save_bundle
 from cohortlens.sources.schema import ASSAY_COLUMNS
 from cohortlens.sources.staging import scratch_path, stage
 
-# Fits at a time, and tasks of each: the tables are small.
+# Fits at a time, and least tasks of each; more follow from the rows.
 FITS_AT_ONCE, FIT_TASKS = 4, 2
 
 
+def fit_tasks(rows) -> int:
+    """Tasks a fit needs at most, by the number of rows; a large table keeps the partitions of its scan."""
+    return max(FIT_TASKS, rows.count() // FIT_TASK_ROWS)
+
+
 def once(build):
     """Keep what ``build(spark, sf)`` returns for the session."""
 
@@ -79,7 +84,7 @@ def separable_sql(label: str, k: int | None = None) -> str:
 @once
 def binary_model(spark, sf):
     rows = binary_rows(spark, sf)
-    return models.fit_boosted_binary(rows.coalesce(FIT_TASKS), folds.positive_weight(rows).first()["pos_weight"])
+    return models.fit_boosted_binary(rows.coalesce(fit_tasks(rows)), folds.positive_weight(rows).first()["pos_weight"])
 
 
 @query("fit_boosted_binary", separable_sql(BINARY_LABEL))
@@ -90,19 +95,20 @@ def fit_boosted_binary(spark, sf):
 @query("fit_boosted_multi", separable_sql(TYPE_LABEL))
 def fit_boosted_multi(spark, sf):
     rows = typed_rows(spark, sf)
-    return models.score_boosted_multi(models.fit_boosted_multi(rows.coalesce(FIT_TASKS)), rows).select("row_id", "label", "prediction")
+    return models.score_boosted_multi(models.fit_boosted_multi(rows.coalesce(fit_tasks(rows))), rows).select("row_id", "label", "prediction")
 
 
 @query("fit_boosted_multi_weighted", separable_sql(TYPE_LABEL))
 def fit_boosted_multi_weighted(spark, sf):
     rows = typed_rows(spark, sf)
-    return models.score_boosted_multi(models.fit_boosted_multi(rows.coalesce(FIT_TASKS), weighted=True), rows).select("row_id", "label", "prediction")
+    return models.score_boosted_multi(models.fit_boosted_multi(rows.coalesce(fit_tasks(rows)), weighted=True), rows).select("row_id", "label", "prediction")
 
 
 @once
 def boosted_folds(spark, sf):
     fit = models.fit_boosted_binary
-    return models.cross_validate(binary_rows(spark, sf), fit, models.score_binary, folds.BINARY_FOLDS, FITS_AT_ONCE, FIT_TASKS)
+    rows = binary_rows(spark, sf)
+    return models.cross_validate(rows, fit, models.score_binary, folds.BINARY_FOLDS, FITS_AT_ONCE, fit_tasks(rows))
 
 
 @query("cross_validate_boosted", separable_sql(BINARY_LABEL, folds.BINARY_FOLDS))
@@ -164,9 +170,8 @@ def fit_class_head(spark, sf):
 
 @once
 def latent_folds(spark, sf):
-    return models.cross_validate(
-        indicator_rows(spark, sf), lambda t: models.fit_latent(t, 8, 3), models.score_latent, folds.BINARY_FOLDS, FITS_AT_ONCE, FIT_TASKS
-    )
+    rows = indicator_rows(spark, sf)
+    return models.cross_validate(rows, lambda t: models.fit_latent(t, 8, 3), models.score_latent, folds.BINARY_FOLDS, FITS_AT_ONCE, fit_tasks(rows))
 
 
 @query("cross_validate_latent", separable_sql(TYPE_LABEL, folds.BINARY_FOLDS))
@@ -339,10 +344,10 @@ def _bundle(spark, sf, kind: str) -> tuple[ModelBundle, object]:
     prep = fit_preprocessing(cleaned, features)
     scaled = prep.transform(clean.drop_missing(cleaned, features))
     if kind == "binary":
-        rows = stage(clean.assemble(clean.binary_label(scaled, out="label"), features).select("label", "features").coalesce(FIT_TASKS), "bundle-fit")
+        rows = stage(clean.assemble(clean.binary_label(scaled, out="label"), features).select("label", "features").coalesce(fit_tasks(cleaned)), "bundle-fit")
         return ModelBundle(kind, models.fit_boosted_binary(rows), prep, ["Normal", "Cancer"]), samples
     codes = clean.fit_label_codes(scaled, "Condition")
-    rows = stage(clean.assemble(clean.encode_labels(scaled, codes), features).select("label", "features").coalesce(FIT_TASKS), "bundle-fit")
+    rows = stage(clean.assemble(clean.encode_labels(scaled, codes), features).select("label", "features").coalesce(fit_tasks(cleaned)), "bundle-fit")
     classes = list(codes.labels)
     if kind == "type":
         return ModelBundle(kind, models.fit_boosted_multi(rows), prep, classes), samples

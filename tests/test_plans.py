@@ -137,3 +137,13 @@ def test_preparing_a_cohort_takes_few_passes(spark, monkeypatch):
     assert cohort.preprocessing.medians == {} and cohort.classes == ["Breast", "Lung", "Normal", "Ovary"]
     _, with_medians = jobs_of(spark, "prepare-all", lambda: prepare_cohort(samples, "type", 3))
     assert started < with_medians
+
+
+def test_bound_fits_follow_the_rows(spark, monkeypatch):
+    from cohortlens.bindings import models as bound
+
+    monkeypatch.setattr(bound.models, "fit_boosted_binary", lambda rows, *_: rows.rdd.getNumPartitions())
+    for n, tasks in ((40_000, 8), (400_000, 12), (100, 2)):
+        table = spark.range(0, n, 1, 12).selectExpr("id row_id", "int(id % 2) label")
+        monkeypatch.setattr(bound, "binary_rows", lambda *_, table=table: table)
+        assert bound.binary_model(spark, f"rows-{n}") == tasks
