@@ -40,7 +40,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.remove_repeats(table(spark, sf_dir, "documents"), min_words=5)
+    cut = line_dedup.remove_repeats(table(spark, sf_dir, "documents"), min_words=31, spread=20)
     spans = F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
     return cut.select("doc_id", "text", "n_removed", "removed_chars", F.concat_ws(",", spans).alias("removed"))
 

@@ -44,22 +44,41 @@ def simhash_groups(rows, distance=2):
     return prints, union(ids, pairs)
 
 
-def cut_lines(rows, min_words=5):
+def cut_repeats(rows, least=31, spread=20):
     """Kept text, removed spans of each (id, text), ids in order."""
-    seen, out = set(), {}
-    for i, text in sorted(rows):
-        kept, spans, at = [], [], 0
-        for line in (text or "").split("\n"):
-            words = re.split("[ \t\n\v\f\r]+", line.lower().strip(" \t\n\v\f\r"))
-            norm = " ".join(words)
-            if norm and len(words) >= min_words and norm in seen:
-                spans.append((at, at + len(line)))
+    blanks = " \t\n\v\f\r"
+    seen, out = {}, {}
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        places = []
+        for run in re.finditer(f"[^{blanks}]+", text or ""):
+            start = run.start()
+            for n in range(run.start(), run.end()):
+                alone = any(a <= text[n] <= b for a, b in ("\u0e00\u0eff", "\u1000\u109f", "\u1780\u17ff", "\u3040\u30ff", "\u3400\u4dbf", "\u4e00\u9fff", "\uf900\ufaff", "\U00020000\U0003ffff"))
+                if (alone or n - start == 32) and start < n:
+                    places.append((start, n))
+                    start = n
+                if alone:
+                    places.append((n, n + 1))
+                    start = n + 1
+            if start < run.end():
+                places.append((start, run.end()))
+        words = [text[a:b].lower() for a, b in places]
+        ranks = [(hashlib.md5(w.encode()).hexdigest()[:8], n) for n, w in enumerate(words)]
+        opens = {min(ranks[n : n + spread])[1] for n in range(len(words) - spread + 1)} | {0, len(words) - least}
+        gone = set()
+        for n in sorted(o for o in opens if 0 <= o <= len(words) - least):
+            first = seen.setdefault(tuple(words[n : n + least]), (i, n))
+            if first != (i, n):
+                gone.update(range(max(n, first[1] + least) if first[0] == i else n, n + least))
+        spans = []
+        for n in sorted(gone):
+            a, b = places[n - 1][1] if n else 0, places[n][1]
+            if spans and spans[-1][1] == a:
+                spans[-1] = (spans[-1][0], b)
             else:
-                kept.append(line)
-                if norm and len(words) >= min_words:
-                    seen.add(norm)
-            at += len(line) + 1
-        out[i] = (None if text is None else "\n".join(kept), spans)
+                spans.append((a, b))
+        kept = "" if text is None else "".join(text[a:b] for a, b in zip([0, *[b for _, b in spans]], [*[a for a, _ in spans], len(text)]))
+        out[i] = (None if text is None else kept, spans)
     return out
 
 

@@ -100,7 +100,7 @@ def brute_pipeline(spark, sf_dir):
     docs = {i: docs[i] for i, s in zip(order, scores) if s < 0.5}
     _, named = llm_brute.simhash_groups([(i, d[1]) for i, d in docs.items()])
     docs = {i: d for i, d in docs.items() if named[i] == i}
-    for i, (text, spans) in llm_brute.cut_lines([(i, d[1]) for i, d in docs.items()]).items():
+    for i, (text, spans) in llm_brute.cut_repeats([(i, d[1]) for i, d in docs.items()]).items():
         if spans:
             docs[i][1], docs[i][4] = text, len(text)
     docs = {i: d for i, d in docs.items() if d[1].strip() or not d[4]}
