@@ -33,15 +33,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs, words=3, distance=2, unkeyed_stay=False)
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document holds; documents of which nothing is left go.
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages that an earlier document holds; documents of which nothing is left go.
 
-    Documents that were blank before stay, as no line of theirs was removed.
+    Documents that were blank before stay, as nothing of theirs was removed.
     """
     ship_package(spark)
     columns = docs.columns
     aside = {c: f"_kept_{c}" for c in ("n_removed", "removed_chars", "removed_spans") if c in columns}
-    cut = line_dedup.remove_repeats(docs.withColumnsRenamed(aside), min_words=5)
+    cut = line_dedup.remove_repeats(docs.withColumnsRenamed(aside), min_words=31, spread=20)
     cut = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"\S"))
     if "n_chars" in columns:
         cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
@@ -62,7 +62,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_copies),
-    ("substring_dedup", drop_repeated_lines),
+    ("substring_dedup", drop_repeated_passages),
     ("benchmark_decontamination", drop_contaminated),
     ("source_mixing", mix),
 ]
