@@ -9,14 +9,16 @@ fitted on labelled rows that the network did not learn from.
 
 Learning: a bounded sample of labelled rows (``max_rows``, at most a third of them with label 1;
 only texts of at most ``max_bytes``) is fetched to the driver, which trains on up to
-``windows_per_row`` windows of each text. Where both labels have ``ENOUGH`` rows, every third is kept
-apart for the probability scale. Near copies within the sample count once. The sample is chosen by a
-hash of the key, so the model does not depend on the order of rows. Scoring covers every row and
-whole texts.
+``windows_per_row`` windows of each text. The probability scale is cross-fitted at every size: the texts
+of each label are dealt to ``FOLDS`` folds, each fold is judged by a network that learned from the
+others, and one curve is fitted on all these judgements; the network that scores learns from all.
+Near copies within the sample count once. The sample is chosen by a hash of the key, so the model
+does not depend on the order of rows. Scoring covers every row and whole texts, and a score depends
+on its text and the model alone: words and windows enter the sums in blocks of one height.
 
 Defined results: a null text is the empty one; a text without words gets the score of a window
-without words; labels other than 0 and 1 and rows without a key teach nothing; a key with both
-labels counts as 1, and of rows that repeat a key the smallest text is learned from; without rows
+without words; labels other than 0 and 1 and rows without a key teach nothing; a label of a single
+text cannot be cross-fitted and leaves the scale as it is; a key with both labels counts as 1, and of rows that repeat a key the smallest text is learned from; without rows
 of both labels every score is the share of label 1 (0 if there are none). Every row gives one row,
 an empty table none. Other columns of either table are ignored.
 """
@@ -34,14 +36,14 @@ from pyspark.sql import functions as F
 
 WINDOW, STRIDE = 48, 32
 BUCKETS, WIDTH, HIDDEN = 1 << 15, 8, 8
-#: Rows per label from which some are kept apart for the probability scale.
-ENOUGH = 600
+#: Folds of the labelled rows for the probability scale.
+FOLDS = 2
 #: Standard errors by which a bucket may differ by chance.
 CHANCE = 2.0
 #: Step of the optimiser, and its share for the hashed tables, most rows of which are seen a few times.
 RATE, TABLE_SHARE = 0.01, 0.2
-#: Windows scored at a time, words a worker remembers, and words whose vectors are worked out at a time.
-BATCH, HELD, CHUNK = 1024, 150_000, 20_000
+#: Windows scored at a time, words a worker remembers, words whose vectors are worked out at a time, and words in one product.
+BATCH, HELD, CHUNK, BLOCK = 512, 150_000, 20_000, 256
 PUNCTUATION = ".,;:!?\"'()[]{}<>«»„“”‘’…-–—_*#/\\|`~"
 
 
@@ -179,7 +181,13 @@ class Scorer:
             self.rows = grown
         for low in range(0, len(words), CHUNK):
             part = words[low : low + CHUNK]
-            self.rows[first + low : first + low + len(part)] = _projected(self.model, _features(self.model, buckets_of(part)))
+            found = _features(self.model, buckets_of(part))
+            for at in range(0, len(part), BLOCK):
+                # Products of one height: the sums of a row do not depend on how many words are met together.
+                block = found[at : at + BLOCK]
+                filled = np.zeros((BLOCK, found.shape[1]), np.float32)
+                filled[: len(block)] = block
+                self.rows[first + low + at : first + low + at + len(block)] = _projected(self.model, filled)[: len(block)]
 
     def numbered(self, words: list[str]) -> np.ndarray:
         new = list(set(words).difference(self.ids))
@@ -191,13 +199,15 @@ class Scorer:
         return np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
 
     def logits(self, windows: np.ndarray) -> np.ndarray:
-        """Logits of windows of word numbers (windows x WINDOW, 0: no word)."""
-        mask = None
+        """Logits of at most BATCH windows of word numbers (windows x WINDOW, 0: no word)."""
+        n, mask = len(windows), None
+        if n < BATCH:
+            windows = np.concatenate((windows, np.zeros((BATCH - n, WINDOW), windows.dtype)))
         if not windows.all():
             filled = (windows.T > 0).astype(np.float32)
             mask = np.stack([filled, filled[::-1]], axis=1)[..., None]
         gates_in = np.stack([self.rows[windows.T, 0], self.rows[windows.T[::-1], 1]], axis=1)
-        return _pool(self.model, _forward(self.model, gates_in, mask), mask)[0]
+        return _pool(self.model, _forward(self.model, gates_in, mask), mask)[0][:n]
 
     def window_logits(self, words: list[str], docs: list[np.ndarray], starts: list[np.ndarray]) -> list[np.ndarray]:
         """Logits of the windows that begin at ``starts`` of documents given as places in ``words``."""
@@ -301,29 +311,48 @@ def distinct_texts(texts: list[str]) -> list[int]:
 
 
 def train(texts: list[str], labels: list[int], prior: float | None = None, windows_per_row: int = 3, rounds: int = 5, least_steps: int = 15, seed: int = 11) -> Model:
-    """Fit the network on windows of labelled texts and the probability scale on the whole texts.
+    """Fit the network on windows of labelled texts and the probability scale on judgements of unseen texts.
 
     ``prior`` is the share of label 1 among all rows; without it that of ``labels``.
     """
+    truth, share = np.array(labels, np.int64), float(np.mean(labels)) if len(labels) else 0.0
+    options = (windows_per_row, rounds, least_steps, seed)
+    kept = distinct_texts(texts)
+    if 0 < truth[kept].sum() < len(kept):
+        texts, truth = [texts[i] for i in kept], truth[kept]
+    model = _network(texts, truth, *options)
+    if model.constant is not None or min(truth.sum(), (1 - truth).sum()) < 2:
+        return model
+    # Logits of texts that were learned from are too sure of themselves: every fold is judged by a network without it.
+    place = np.where(truth == 1, np.cumsum(truth), np.cumsum(1 - truth)) % FOLDS
+    logits, judged = np.zeros(len(truth)), np.zeros(len(truth), bool)
+    for fold in range(FOLDS):
+        own = np.flatnonzero(place == fold)
+        other = np.flatnonzero(place != fold)
+        judge = _network([texts[i] for i in other], truth[other], *options)
+        if judge.constant is None:
+            logits[own] = Scorer(judge).text_logits(texts[i] for i in own)
+            judged[own] = True
+    logits, truth = logits[judged], truth[judged]
+    if not len(truth) or truth.min() == truth.max():
+        return model
+    prior = share if prior is None else prior
+    weights = np.where(truth == 1, prior / truth.mean(), (1 - prior) / (1 - truth.mean()))
+    model.scale = _scale(logits, truth, weights)
+    return model
+
+
+def _network(texts: list[str], truth: np.ndarray, windows_per_row: int, rounds: int, least_steps: int, seed: int) -> Model:
+    """The network without a scale; a constant if there is one label only, or no word."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape, size=0.3: rng.normal(0, size, shape).astype(np.float32)
     model = Model(
         draw(BUCKETS, WIDTH, size=0.05), draw(BUCKETS, WIDTH, size=0.05), draw(3 * WIDTH, 2, 3 * HIDDEN), np.zeros((2, 1, 3 * HIDDEN), np.float32),
         draw(2, HIDDEN, 3 * HIDDEN), draw(2 * HIDDEN), np.append(draw(2 * HIDDEN), 0).astype(np.float32),
     )
-    truth = np.array(labels, np.int64)
     if not len(truth) or truth.min() == truth.max():
         model.constant = float(truth.mean()) if len(truth) else 0.0
         return model
-    kept = distinct_texts(texts)
-    if 0 < truth[kept].sum() < len(kept):
-        texts, truth = [texts[i] for i in kept], truth[kept]
-    # Logits of texts that were learned from are too sure of themselves: every third text is kept for the scale.
-    apart = np.arange(len(truth)) % 3 == 2
-    if min(truth.sum(), (1 - truth).sum()) < ENOUGH:
-        apart[:] = False
-    whole, share_of = (texts, truth), float(np.mean(labels))
-    texts, truth = [t for t, a in zip(texts, apart) if not a], truth[~apart]
     vocabulary: dict[str, int] = {}
     docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.lower().split()], np.int64) for t in texts]
     words = list(vocabulary)
@@ -367,18 +396,20 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, windo
             done += len(order)
         scorer = Scorer(model)
         level = scorer.window_logits(words, docs, starts)
-
-    if apart.any():
-        texts, truth = [t for t, a in zip(whole[0], apart) if a], whole[1][apart]
-        logits = Scorer(model).text_logits(iter(texts))
-    else:
-        logits = np.array([own.max() for own in level])
-    prior = share_of if prior is None else prior
-    weights = np.where(truth == 1, prior / truth.mean(), (1 - prior) / (1 - truth.mean()))
-    model.scale = _scale(logits, truth, weights)
     return model
 
 
+def _summed(values: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """A table of ``size`` rows with the sums of ``values`` by their row."""
+    out = np.zeros((size, values.shape[1]), np.float32)
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    if len(first):
+        out[ordered[first]] = np.add.reduceat(values[order], first, axis=0)
+    return out
+
+
 def _step(model, moments, tick, windows, answers, weights, word, grams, number, first_gram, rate=RATE):
     """One step of Adam on a batch of windows."""
     ids, place = np.unique(windows, return_inverse=True)
@@ -418,19 +449,18 @@ def _step(model, moments, tick, windows, answers, weights, word, grams, number,
         d_turned = np.concatenate([d_update, d_reset, d_raw * reset], axis=-1)
         d_recur += state.transpose(0, 2, 1) @ d_turned
         d_state = d_state - d_step * (1 - update) + d_turned @ model.recur.transpose(0, 2, 1)
-    d_projected = np.zeros_like(projected)
-    np.add.at(d_projected, (place.T, 0), d_gates[:, 0])
-    np.add.at(d_projected, (place.T[::-1], 1), d_gates[:, 1])
+    forth = _summed(d_gates[:, 0].reshape(-1, 3 * HIDDEN), place.T.ravel(), len(ids))
+    back = _summed(d_gates[:, 1].reshape(-1, 3 * HIDDEN), place.T[::-1].ravel(), len(ids))
+    d_projected = np.stack([forth, back], axis=1)
     d_projected[ids == 0] = 0
     d_bias = d_gates.sum(axis=(0, 2))[:, None]
     d_inputs = np.tensordot(features, d_projected, (0, 0))
     d_features = np.tensordot(d_projected, model.inputs, ((1, 2), (1, 2)))[len(ids) - len(known) :]
-    d_words, d_grams = np.zeros_like(model.words), np.zeros_like(model.grams)
-    np.add.at(d_words, word[known], d_features[:, :WIDTH])
+    d_words = _summed(d_features[:, :WIDTH], word[known], BUCKETS)
     spread = np.repeat(d_features[:, WIDTH : 2 * WIDTH] / number[known][:, None], number[known], axis=0)
     largest = model.grams[grams_of] == np.repeat(features[len(ids) - len(known) :, 2 * WIDTH :], number[known], axis=0)
     spread = spread + largest * np.repeat(d_features[:, 2 * WIDTH :], number[known], axis=0)
-    np.add.at(d_grams, grams_of, spread)
+    d_grams = _summed(spread, grams_of, BUCKETS)
 
     shares = [TABLE_SHARE, TABLE_SHARE, 1, 1, 1, 1, 1]
     for share, p, g, (m, v) in zip(shares, model.parameters(), [d_words, d_grams, d_inputs, d_bias, d_recur, d_attend, d_out], moments):

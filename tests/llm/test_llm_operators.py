@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pytest
@@ -131,7 +132,7 @@ def test_passage_edges(spark, docs):
         own("e", 30) + "\n" + lines + "\n" + own("f", 30),
         own("g", 9) + " " + " ".join(passage[:25]) + "\n\n" + "\t".join(passage[25:]),
         "日本語" * 30, "前置き" + "日本語" * 30, "x" * 5000, "head " + "x" * 5000, own("h", 30) + "\r\n", own("h", 30),
-        " ".join(["round and"] * 100), own("z", 40) + " " + " ".join(["round and"] * 30), own("q", 40) + " " + own("y", 3) + " " + own("q", 40),
+        " ".join(["round and"] * 100), own("z", 40) + " " + " ".join(["round and"] * 30), own("q", 60) + " " + own("y", 3) + " " + own("q", 60),
     ]
     texts = TEXTS + planted
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_removed", F.lit("x")).withColumn("high", F.lit(1)).withColumn("pos", F.lit(2))
@@ -147,7 +148,7 @@ def test_passage_edges(spark, docs):
     kept = {r.doc_id - len(TEXTS): r.text for r in found}
     assert all(w in kept[1] for w in own("c", 30).split() + own("d", 30).split())
     assert len(kept[10].split()) >= 31
-    assert 43 <= len(kept[12].split()) <= 52
+    assert 63 <= len(kept[12].split()) <= 92
     again = line_dedup.remove_repeats(table.union(table)).collect()
     assert sorted((r.doc_id, r.text or "") for r in again) == sorted(2 * [(i, t or "") for i, (t, _) in expected.items()])
     assert line_dedup.remove_repeats(table.limit(0)).count() == 0
@@ -163,8 +164,8 @@ def test_passages_of_fifty_words_are_always_found(before, after, length, seed):
     texts = [[f"a{i}" for i in range(after)] + passage + [f"b{i}" for i in range(before)], [f"c{i}" for i in range(before)] + passage + [f"d{i}" for i in range(after)]]
     found = []
     for text in texts:
-        words, ranks = line_dedup.Words().read(" ".join(text))
-        found.append({tuple(words[s : s + 31]) for s in line_dedup.unit_starts(ranks, 31, 20)})
+        codes = line_dedup.Words().read(" ".join(text))
+        found.append({tuple(text[s : s + 31]) for s in line_dedup.unit_starts(codes, 31, 20)})
     assert found[0] & found[1]
 
 
@@ -253,6 +254,58 @@ def test_toxicity_edges(spark, docs):
     assert toxicity.score_texts(data.limit(0), model).count() == 0
     same = toxicity.Scorer(model).scores(t or "" for _, t in [*table, (902, LONG)])
     assert [scores[i] for i in range(1, 150)] == same[1:150].tolist()
+    texts = [t[: 40 + 37 * i % 700] for i, (_, t) in enumerate(table)] + [LONG[i : i + 900] for i in range(0, 9000, 300)]
+    whole = toxicity.Scorer(model).scores(texts)
+    for n in (1, 7, 50, 333):
+        scorer, parts = toxicity.Scorer(model), []
+        for low in range(0, len(texts), n):
+            parts += scorer.scores(texts[low : low + n]).tolist()
+        assert parts == whole.tolist()
+
+
+def plain_score(model, text):
+    """The score of a text by scalar loops: every window, both directions, step by step."""
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    words, best = text.lower().split(), -math.inf
+    starts = sorted({*range(0, max(len(words) - toxicity.WINDOW, 0), toxicity.STRIDE), max(len(words) - toxicity.WINDOW, 0)})
+    features = {}
+    for w in set(words):
+        word, grams, number = toxicity.buckets_of([w])
+        own = [model.grams[g] for g in grams]
+        features[w] = [*model.words[word[0]], *[float(sum(g[j] for g in own)) / int(number[0]) for j in range(toxicity.WIDTH)], *[max(g[j] for g in own) for j in range(toxicity.WIDTH)]]
+    h = toxicity.HIDDEN
+    for start in starts:
+        window = words[start : start + toxicity.WINDOW]
+        states = [[0.0] * (2 * h) for _ in window]
+        for way in (0, 1):
+            state = [0.0] * h
+            for at in range(len(window)) if way == 0 else reversed(range(len(window))):
+                x = features[window[at]]
+                gate = [float(model.bias[way, 0, g]) + sum(float(x[i]) * float(model.inputs[i, way, g]) for i in range(len(x))) for g in range(3 * h)]
+                turned = [sum(state[i] * float(model.recur[way, i, g]) for i in range(h)) for g in range(3 * h)]
+                update = [sigmoid(gate[j] + turned[j]) for j in range(h)]
+                reset = [sigmoid(gate[h + j] + turned[h + j]) for j in range(h)]
+                fresh = [math.tanh(gate[2 * h + j] + reset[j] * turned[2 * h + j]) for j in range(h)]
+                state = [u * s + (1 - u) * f for u, s, f in zip(update, state, fresh)]
+                states[at][way * h : (way + 1) * h] = state
+        levels = [sum(s * float(a) for s, a in zip(both, model.attend)) for both in states]
+        weights = [math.exp(v - max(levels)) for v in levels]
+        pooled = [sum(w * both[j] for w, both in zip(weights, states)) / sum(weights) for j in range(2 * h)] if states else [0.0] * (2 * h)
+        best = max(best, float(model.out[-1]) + sum(p * float(o) for p, o in zip(pooled, model.out)))
+    slope, shift = model.scale
+    return sigmoid(slope * best + shift)
+
+
+def test_toxicity_by_a_plain_loop(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").collect()}
+    known = [r for r in rows if r.doc_id in labels]
+    model = toxicity.train([r.text for r in known], [labels[r.doc_id] for r in known])
+    texts = [r.text for r in rows if r.text and len(r.text) < 2500][:60] + ["", "one", "x " * 100]
+    found = toxicity.Scorer(model).scores(texts)
+    # Single precision loses digits over the steps of a window in a few texts.
+    apart = [abs(plain_score(model, t) - s) for t, s in zip(texts, found)]
+    assert np.median(apart) < 1e-5 and max(apart) < 2e-3
 
 
 def test_mixing(spark):
