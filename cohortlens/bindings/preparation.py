@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlens.bindings.registry import query, rounded, table
-from cohortlens.bindings.views import DIRTY_SQL, LINE_FEATURES, NORMAL_SEGMENT, dirty_lines, logits
+from cohortlens.bindings.views import DIRTY_SQL, LINE_FEATURES, NORMAL_SEGMENT, TYPE_OOF_SQL, dirty_lines, logits
 from cohortlens.functions import vectors
 from cohortlens.operators import clean, scale
 
@@ -164,8 +164,7 @@ def exclude_class(spark, sf):
 
 @query(
     "nan_to_zero",
-    """select vec_id as row_id, list_transform(embedding[1:10], lambda v: case when v < 0 then 0.0::double else cast(v as double) end) as z
-       from embeddings""",
+    f"""with {TYPE_OOF_SQL} select row_id, list_transform(logits, lambda v: case when v < 0 then 0.0::double else v end) as z from raw""",
 )
 def nan_to_zero(spark, sf):
     gaps = F.transform("logits", lambda v: F.when(v < -0.1, float("nan")).when(v >= 0, v))
