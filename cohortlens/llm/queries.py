@@ -75,7 +75,7 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES, min_count=20, min_support=0.005, min_confidence=0.8)
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES, min_count=20, min_confidence=0.8)
 
 
 ORACLES["op6_chat_formatting"] = chat.ORACLE_SQL

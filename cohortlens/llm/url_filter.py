@@ -1,32 +1,34 @@
 """Verdicts on page addresses: stated rules first, mined rules for the rest.
 
 An address is a set of tokens (host labels, path segments, query pairs, fragment). FP-growth over
-the labelled addresses finds the token combinations that come with a bad label (toxic, or of low
-quality) often enough and surely enough; an address that holds all tokens of such a combination is
-blocked. To find them, every combination is filed under its rarest token in an inverted index, so
-an address meets only the combinations whose rarest token it holds.
+the bad labelled addresses (toxic, or of low quality) finds the token combinations that occur there
+at least ``min_count`` times, at every size of the table; those that are bad in ``min_confidence``
+of all labelled addresses that hold them are rules, and an address that holds all tokens of a rule
+is blocked. Combinations are counted and rules found by an inverted index: every combination is
+filed under its rarest token, so an address meets only those whose rarest token it holds.
+
+Tokens that stand in exactly the same labelled addresses (the query pairs of one generator, say)
+form a class, and classes are mined instead of tokens: of interchangeable tokens each combination
+has the same counts, so an address holds a rule's tokens exactly if it holds one token of each of
+the rule's classes. Without this, addresses that share many tokens would yield all their subsets.
 
 Only DataFrame functions and the JVM's FP-growth are used.
 
 Defined results: a null address, or one without ``://``, has an empty host and path, fits no
 stated rule, holds no tokens and is allowed; labels other than 0 and 1, or null, say nothing bad;
 an id with several labels is bad if one of them is; rows that repeat an address get the same
-verdict; without enough bad labels nothing is mined. Every row gives one row, an empty table none;
-other columns are ignored.
+verdict; an address is read whole, however long; without enough bad labels nothing is mined. Every
+row gives one row, an empty table none; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from math import ceil
-
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
 
-#: Item that marks a bad address among its tokens, which all have a letter before a colon.
-BAD = "bad"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,39 +69,56 @@ def tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, found).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_count: int = 20, min_support: float = 0.005, min_confidence: float = 0.8) -> DataFrame | None:
-    """``body`` (sorted tokens), ``freq``, ``bad`` and ``confidence`` of the combinations that predict a bad label.
+def mine(pages: DataFrame, labels: DataFrame, min_count: int = 20, min_confidence: float = 0.8) -> tuple[DataFrame, DataFrame] | None:
+    """Rules (``body``: sorted classes, ``bad``, ``freq``, ``confidence``) and the classes (``token``, ``class``) they speak of.
 
-    A combination must come with a bad label at least ``min_count`` times and in a share of
-    ``min_support`` of the labelled addresses. None if no label can reach that.
+    A combination must come with a bad label at least ``min_count`` times. None if no label can reach that.
     """
     bad = F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False)))
     judged = labels.groupBy(F.col("doc_id").alias("id")).agg(bad.alias("is_bad"))
     known = pages.select(F.col("page_id").alias("id"), tokens(F.col("url")).alias("tokens")).where(F.size("tokens") > 0).join(judged, "id")
-    known = staged(known.select("tokens", "is_bad"), "labelled-urls")
-    total, n_bad = known.agg(F.count("*"), F.count_if("is_bad")).first()
-    least = max(min_count, ceil(min_support * total))
-    if n_bad < least:
+    known = staged(known.select(F.monotonically_increasing_id().alias("row"), "tokens", "is_bad"), "labelled-urls")
+    if known.where("is_bad").count() < min_count:
+        return None
+    # Where a token stands: number of rows, and two digests of which rows.
+    spread = known.select(F.explode("tokens").alias("token"), "is_bad", F.xxhash64("tokens").alias("at"))
+    where = [F.count("*").alias("n"), F.sum(F.col("at").cast("decimal(38,0)")).alias("sum"), F.bit_xor("at").alias("mix")]
+    classes = spread.groupBy("token").agg(*where, F.count_if("is_bad").alias("bad")).where(F.col("bad") >= min_count)
+    classes = staged(classes.select("token", F.concat_ws(":", "n", "sum", "mix").alias("class")), "url-classes")
+    rows = staged(with_classes(known, "row", classes).join(known.select("row", "is_bad"), "row"), "classed-urls")
+    baskets = rows.where("is_bad").select(F.col("held").alias("items"))
+    total = baskets.count()
+    if not total:
         return None
-    baskets = known.select(F.when(F.col("is_bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total).fit(baskets).freqItemsets
-    sets = staged(sets.select(F.array_sort(F.array_remove("items", BAD)).alias("body"), F.array_contains("items", BAD).alias("with"), "freq"), "itemsets")
-    sets = sets.where(F.size("body") > 0)
-    both = sets.where("with").select("body", F.col("freq").alias("bad")).join(sets.where("not with").select("body", "freq"), "body")
-    return staged(both.withColumn("confidence", F.col("bad") / F.col("freq")).where(F.col("confidence") >= min_confidence), "url-rules")
-
-
-def blocked_urls(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct addresses (``url``) that hold all tokens of a mined rule."""
-    rules = rules.withColumn("rule_id", F.xxhash64("body"))
-    spread = rules.select("rule_id", F.explode("body").alias("token"), "body")
-    used = spread.groupBy("token").agg(F.count("*").alias("uses"))
-    # The rarest token of each rule, by the number of rules that hold it.
-    index = spread.join(used, "token").groupBy("rule_id").agg(F.min(F.struct("uses", "token")).alias("key"), F.first("body").alias("body"))
-    index = index.select(F.col("key.token").alias("token"), "body")
+    sets = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / total).fit(baskets).freqItemsets
+    sets = staged(sets.select(F.array_sort("items").alias("body"), F.col("freq").alias("bad")), "itemsets")
+    counted = matches(rows, sets).groupBy("body").agg(F.count("*").alias("freq"))
+    rules = sets.join(counted, "body").withColumn("confidence", F.col("bad") / F.col("freq"))
+    return staged(rules.where(F.col("confidence") >= min_confidence), "url-rules"), classes
+
+
+def with_classes(rows: DataFrame, key: str, classes: DataFrame) -> DataFrame:
+    """``key`` and the distinct classes ``held`` by its ``tokens``; rows without any are left out."""
+    met = rows.select(key, F.explode("tokens").alias("token")).join(classes, "token")
+    return met.groupBy(key).agg(F.collect_set("class").alias("held"))
+
+
+def matches(rows: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Rows (with ``held``) beside each ``body`` whose classes they all hold."""
+    spread = bodies.select(F.explode("body").alias("item"), "body")
+    uses = spread.groupBy("item").agg(F.count("*").alias("uses"))
+    # The rarest class of each combination, by the number of combinations that hold it.
+    index = spread.join(uses, "item").groupBy("body").agg(F.min(F.struct("uses", "item")).alias("key"))
+    index = index.select(F.col("key.item").alias("item"), "body")
+    met = rows.withColumn("item", F.explode("held")).join(index, "item").drop("item")
+    return met.where(F.size(F.array_intersect("held", "body")) == F.size("body"))
+
+
+def blocked_urls(pages: DataFrame, rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct addresses (``url``) that hold all classes of a mined rule."""
+    used = classes.join(rules.select(F.explode("body").alias("class")).distinct(), "class")
     held = pages.select("url").distinct().withColumn("tokens", tokens(F.col("url")))
-    met = held.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-    return met.where(F.size(F.array_intersect("tokens", "body")) == F.size("body")).select("url").distinct()
+    return matches(with_classes(held, "url", used), rules.select("body")).select("url").distinct()
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]], key: str = "page_id", **mining) -> DataFrame:
@@ -110,7 +129,7 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]]
     if found is None:
         rows = rows.withColumn("mined", F.lit(False))
     else:
-        blocked = staged(blocked_urls(pages, found), "blocked-urls").withColumn("mined", F.lit(True))
+        blocked = staged(blocked_urls(pages, *found), "blocked-urls").withColumn("mined", F.lit(True))
         rows = rows.join(blocked, "url", "left").withColumn("mined", F.coalesce("mined", F.lit(False)))
     rule, verdict = stated_rule(F.col("host"), F.col("path"), rules)
     other = F.when(F.col("mined"), "block").otherwise("allow")
@@ -139,7 +158,7 @@ with cut as (
   from (select toks, bad, unnest(generate_series(1, (1 << len(toks)) - 1)) m from known)
 ), mined as (
   select body from subsets group by body
-  having count(*) filter (where bad) >= greatest(20, ceil(0.005 * (select count(*) from known)))
+  having count(*) filter (where bad) >= 20
      and count(*) filter (where bad) / count(*) >= 0.8
 ), hit as (
   select distinct url from tokened t where exists (select 1 from mined where list_has_all(t.toks, mined.body))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -361,14 +362,31 @@ def test_url_rules(spark):
     assert (found[904].path, found[904].rule) == ("", None) and found[905].rule == "com/fr/"
     assert all((found[i].host, found[i].path, found[i].rule, found[i].verdict) == ("", "", None, "allow") for i in (900, 901, 902))
     assert (found[906].host, found[906].rule) == ("notorg", None) and found[907].verdict == "block"
-    mined = {tuple(r.body): (r.freq, r.bad) for r in url_filter.mine(table, labels).collect()}
-    tokens = {i: r.tokens for i, r in enumerate(table.where("page_id < 400").select("page_id", url_filter.tokens(F.col("url")).alias("tokens")).orderBy("page_id").collect())}
-    for body, (freq, bad) in mined.items():
-        having = [i for i, t in tokens.items() if set(body) <= set(t)]
+    sets = {i: frozenset(r.tokens) for i, r in enumerate(table.where("page_id < 400").select("page_id", url_filter.tokens(F.col("url")).alias("tokens")).orderBy("page_id").collect())}
+    mined, classes = url_filter.mine(table, labels)
+    tokens_of = {}
+    for r in classes.collect():
+        tokens_of.setdefault(r["class"], set()).add(r.token)
+    bodies = {frozenset(r.body): (r.freq, r.bad) for r in mined.collect()}
+    for body, (freq, bad) in bodies.items():
+        having = [i for i, t in sets.items() if all(tokens_of[c] & t for c in body)]
         assert freq == len(having) and bad == sum(i % 4 == 0 for i in having) >= 20 and bad / freq >= 0.8
-    assert ("p:spam",) in mined and ("p:news",) not in mined
+    # The same addresses as from all combinations of tokens.
+    seen = {}
+    for i, t in sets.items():
+        for n in range(1, len(t) + 1):
+            for c in itertools.combinations(sorted(t), n):
+                seen.setdefault(c, []).append(i % 4 == 0)
+    plain = [set(c) for c, rows in seen.items() if sum(rows) >= 20 and sum(rows) / len(rows) >= 0.8]
+    assert plain and {i for i, t in sets.items() if any(c <= t for c in plain)} == {i for i in range(400) if found[i].mined}
     assert url_filter.judge_urls(table, labels.limit(0), rules).where("mined").count() == 0
     assert url_filter.judge_urls(table.limit(0), labels, rules).count() == 0
+    # Addresses that share many tokens, the same evidence in a larger table, and a very long address.
+    pairs = "&".join(f"k{i}=v{i}" for i in range(40))
+    more = [(1000 + i, f"http://gen.example/{i}?{pairs}" if i < 25 else f"http://fine.example/{i}") for i in range(6000)] + [(9000, "http://gen.example/" + "a/" * 40_000)]
+    wide = spark.createDataFrame(more, "page_id long, url string")
+    told = spark.createDataFrame([(i, 1, int(i < 1025)) for i, _ in more[:-1]], "doc_id long, quality int, toxic int")
+    assert sorted(r.page_id for r in url_filter.judge_urls(wide, told, []).where("mined").collect()) == [*range(1000, 1025), 9000]
 
 
 @settings(max_examples=200, deadline=None)
