@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +50,26 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a staged table through the file system it lies on."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+#: Bytes that end a word (ASCII other than letters and digits) as blanks, A-Z as a-z; all others as they are.
+_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
+#: Bytes of a text that are split at a time.
+PORTION = 1 << 22
+
+
+def word_portions(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a UTF-8 text (runs of ASCII letters, lower-cased, digits and all points from U+0080 on), a portion at a time."""
+    at = 0
+    while len(text) - at > PORTION:
+        clean = text[at : at + PORTION].translate(_WORD_BYTES)
+        end = clean.rfind(b" ") + 1
+        while not end and at + len(clean) < len(text):
+            # A word longer than a portion.
+            clean = text[at : at + 2 * len(clean)].translate(_WORD_BYTES)
+            end = clean.rfind(b" ") + 1
+        if not end:
+            break
+        yield clean[:end].split()
+        at += end
+    yield text[at:].translate(_WORD_BYTES).split()

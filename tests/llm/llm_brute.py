@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import xxhash
@@ -160,3 +161,76 @@ def vector_groups(rows, threshold=0.98):
                 links[b] += 1
                 pairs.append((a, b))
     return {i: links[i] for i, _, _ in rows}, union([i for i, _, _ in rows], pairs)
+
+
+def near_words(words):
+    """The words one edit away from each of ``words``."""
+
+    def near(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    # Near words share their first or their second half, give or take a point.
+    beside = defaultdict(set)
+    for w in words:
+        for n in (len(w), len(w) - 1):
+            beside["first", n, w[: n // 2]].add(w)
+            beside["second", n, w[len(w) - (n - n // 2 - 1) :]].add(w)
+    close = defaultdict(set)
+    for group in beside.values():
+        for a in group:
+            close[a].update(b for b in group if b not in close[a] and abs(len(a) - len(b)) < 2 and near(a, b))
+    return close
+
+
+def variants(rows, least=6, count=5, ratio=5, every=199):
+    """word -> (form, root, n, n_near, form_n) of the words of (id, text) rows."""
+    totals = Counter()
+    for i, text in rows:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in run)
+            code = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if code % every == 0:
+                at = code % len(run)
+                run = run[:at] + run[at + 1 :]
+            if len(run) >= least:
+                totals[run] += 1
+    words = {w: n for w, n in totals.items() if n >= count}
+    close = near_words(words)
+    forms = {}
+    for w, n in words.items():
+        best = min(close[w], key=lambda v: (-words[v], v), default=None)
+        forms[w] = best if best is not None and words[best] >= ratio * n else None
+    out = {}
+    for w, n in words.items():
+        root = w
+        while forms[root] is not None:
+            root = forms[root]
+        out[w] = (forms[w], root, n, len(close[w]), words.get(forms[w]))
+    return out
+
+
+def ranked(docs, items, k=50):
+    """item -> [(doc_id, score)] of the best documents; rows are (id, text), ids may be null."""
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    terms = lambda t: re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", lower(t))
+    counts = [(i, Counter(terms(t))) for i, t in docs]
+    counts = [(i, c) for i, c in counts if c]
+    total, length = len(counts), sum(c.total() for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    wanted = defaultdict(set)
+    for item, t in items:
+        wanted[item].update(terms(t))
+    out = {}
+    for item, own in wanted.items():
+        scores = []
+        for i, c in counts:
+            m = 100 - 50 + (50 * c.total() * total) // length
+            score = sum(math.floor(1000 * math.log((2 * total + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 20 * m)) for t in own if c[t])
+            if score > 0:
+                scores.append((i, score))
+        out[item] = sorted(scores, key=lambda r: (-r[1], r[0] is not None, r[0] or 0))[:k]
+    return out

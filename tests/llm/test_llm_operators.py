@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import llm_brute
-from cohortlens.llm import chat, decontaminate, embedding_dedup, html_extract, line_dedup, mixing, simhash, token_counts, toxicity, url_filter
+from cohortlens.llm import chat, decontaminate, embedding_dedup, html_extract, lexical_search, line_dedup, mixing, simhash, spelling, token_counts, toxicity, url_filter
 from cohortlens.llm.common import ship_package
 from cohortlens.llm.components import components
 
@@ -484,3 +485,101 @@ def test_wrapper_folds_repeats_and_options():
     assert [(n[0], n[2]) for n in wrapper[3]] == [("div", False), ("hr", True)]
     pairs = tree("<dl><dt>a<dd>b<dt>a<dd>b<dt>a<dd>b</dl>")
     assert [(n[0], n[1]) for n in pairs[3][0][3]] == [("#group dt | dd", True)]
+
+
+spelled = st.lists(st.text(alphabet="abé", min_size=6, max_size=9), min_size=1, max_size=40, unique=True)
+
+
+@settings(max_examples=150, deadline=None)
+@given(spelled, st.integers(0, 10**6))
+def test_composition_finds_every_near_pair_once(words, seed):
+    """Partitions as the operator makes them, also where each is cut again, against all pairs."""
+    counts = {w: 5 + zlib.crc32(f"{seed}{w}".encode()) % 40 for w in words}
+    close = llm_brute.near_words(counts)
+    expected = {w: (len(close[w]), min(close[w], key=lambda v: (-counts[v], v), default=None)) for w in words}
+    rows = [row for w in words for row in spelling.rows_of(w, counts[w], 6)]
+    for _ in range(2):
+        parts, found = {}, {}
+        for part, low, width, tail, name, n, longer, middle in rows:
+            parts.setdefault((part, low, width, tail), []).append((name, n, longer, middle))
+        names = {hashlib.md5(w.encode()).digest(): w for w in words}
+        for (_, low, width, tail), own in parts.items():
+            shorter = {m: n for _, n, longer, m in own if not longer}
+            more = {m: n for _, n, longer, m in own if longer}
+            of = {(longer, m): names[name] for name, _, longer, m in own}
+            for key, (near, n, other) in spelling.near_counts(shorter, more, width).items():
+                word = of[key]
+                entry = found.setdefault(word, [0, []])
+                entry[0] += near
+                entry[1].append((-n, word[:low] + other + word[len(word) - tail :]))
+        assert {w: (found[w][0], min(found[w][1])[1]) if w in found else (0, None) for w in words} == expected
+        # Every partition cut until its zone is one place.
+        while any(r[2] > 1 for r in rows):
+            rows = [new for r in rows for new in (spelling.halves(*r) if r[2] > 1 else [r])]
+
+
+def test_acceptor_is_minimal():
+    strings = ["aab", "abb", "bab", "bbb", "ab", "bb"]
+    one = spelling.Acceptor(strings)
+    assert sorted(one.common(one.start, one.start)) == sorted(strings)
+    # Right languages: all, after a or b, after two points, after b at the end, the empty word.
+    languages = {frozenset(s[len(p) :] for s in strings if s.startswith(p)) for s in strings for p in (s[:i] for i in range(len(s) + 1))}
+    assert len(one.states) == len(languages)
+
+
+def test_variant_edges(spark, docs, monkeypatch):
+    long = "abcdefghij" * 700
+    texts = ["lettering " * 30 + "leterring lettring " * 5 + "Letterings " * 6, None, "", "a b c", "ABCDEF " * 5 + "ÀBCDEF×÷ " * 5, (long + " ") * 25 + (long[:3000] + "x" + long[3000:] + " ") * 5 + (long[:-1] + " ") * 5]
+    # Words that agree in their second half, more than a partition may hold.
+    texts += [" ".join(f"{a}{b}{c}common" for a in "abcdefgh" for b in "abcdefgh" for c in "ab") + " "] * 5
+    table = spark.createDataFrame([*enumerate(texts), (None, "lettering " * 3), (0, texts[0])], "doc_id long, text string").withColumn("word", F.lit(1)).withColumn("n", F.lit("x"))
+    rows = [tuple(r) for r in table.select("doc_id", "text").collect()]
+    expected = llm_brute.variants(rows, every=7)
+    for largest in (20_000, 6):
+        monkeypatch.setattr(spelling, "LARGEST", largest)
+        found = spelling.spelling_variants(table, every=7).collect()
+        assert {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in found} == expected and len(found) == len(expected)
+    plain = {r.word: r for r in spelling.spelling_variants(table, every=None).collect()}
+    assert plain["lettring"].form == "lettering" and plain[long[:3000] + "x" + long[3000:]].form == long
+    assert spelling.spelling_variants(table.limit(0)).count() == 0
+
+
+def test_search_edges(spark, docs, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefghijklmnop"), int(n), p=np.arange(1, 17) / 136)) for n in rng.integers(1, 60, 300)]
+    rows = [*enumerate(texts), (None, texts[3]), (3, texts[3]), (7, None), (8, ""), (9, "..."), (1000, LONG + " ABC äöü 12"), (None, "Zz " * 50)]
+    items = [(0, "A b, c"), (1, "äöü zz nowhere"), (2, None), (3, "nowhere"), (4, " ".join("abcdefghijklmnop")), (None, "p"), (5, "d e"), (5, "f"), (None, "word3")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item", F.lit(1)).withColumn("score", F.lit("x"))
+    queries = spark.createDataFrame(items, "item_id long, text string").withColumn("term", F.lit(1))
+    expected = {(i, n, d, s) for i, found in llm_brute.ranked(rows, items).items() for n, (d, s) in enumerate(found, 1)}
+    for postings, block in ((1_500_000, 500_000), (40, 4)):
+        monkeypatch.setattr(lexical_search, "POSTINGS", postings)
+        monkeypatch.setattr(lexical_search, "BLOCK_TERMS", block)
+        found = lexical_search.rank_documents(table, queries).collect()
+        assert {(r.item_id, r["rank"], r.doc_id, r.score) for r in found} == expected and len(found) == len(expected)
+    assert lexical_search.rank_documents(table.limit(0), queries).count() == 0
+    assert lexical_search.rank_documents(table, queries.limit(0)).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.integers(1, 5), st.integers(1, 20))
+def test_best_positions_stop_early_and_miss_nothing(seed, n_lists, k):
+    rng = np.random.default_rng(seed)
+    whole, lists = np.zeros(600, np.int64), []
+    for _ in range(n_lists):
+        docs = np.sort(rng.choice(600, int(rng.integers(1, 600)), replace=False))
+        impacts = (rng.pareto(1.0, len(docs)) * 10).astype(np.int64) + 1
+        lists.append(lexical_search.ImpactList(docs, impacts))
+        whole[docs] += impacts
+    docs, scores, read = lexical_search.best_documents(lists, 600, k)
+    assert len(set(docs.tolist())) == len(docs) and (whole[docs] == scores).all()
+    missed = np.setdiff1d(np.flatnonzero(whole), docs)
+    assert not len(missed) or (len(scores) >= k and whole[missed].max() < np.sort(scores)[-k])
+
+
+def test_best_positions_read_few():
+    # The same documents lead both lists: they are read, not the lists.
+    docs = np.arange(50_000)
+    impacts = np.maximum(1, 10_000 - docs)
+    found, _, read = lexical_search.best_documents([lexical_search.ImpactList(docs, impacts)] * 2, 50_000, 10)
+    assert read <= 64 and set(range(10)) <= set(found.tolist())

@@ -22,7 +22,7 @@ def rows(spark, name, sf=SMALL):
 
 def test_names():
     found = {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES}
-    assert found == set(range(1, 11))
+    assert found == set(range(1, 14))
     entry = importlib.import_module("__spark_entry__")
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
 
@@ -55,6 +55,13 @@ def test_vectors(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {i: (n, named[i]) for i, n in links.items()}
 
 
+def test_variants(spark):
+    expected = llm_brute.variants([(r[0], r[1]) for r in rows(spark, "documents", MEDIUM)])
+    found = QUERIES["op12_spelling_variants"](spark, MEDIUM).collect()
+    assert {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in found} == expected and len(found) == len(expected)
+    assert sum(r.form is not None for r in found) > 10
+
+
 def test_overlaps(spark):
     items = rows(spark, "benchmark")
     expected = {}
