@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import chat, decontaminate, embedding_dedup, html_extract, lexical_search, line_dedup, mixing, simhash, spelling, token_counts, toxicity, url_filter
+from cohortlens.llm import chat, decontaminate, embedding_dedup, html_extract, lexical_search, licenses, line_dedup, mixing, simhash, spelling, token_counts, toxicity, url_filter
 from cohortlens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,6 +93,14 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_license_scan"] = licenses.ORACLE_SQL
+
+
 @query
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"), min_points=6, min_count=5, ratio=5, every=199)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import re
 import zlib
 
 import numpy as np
@@ -14,7 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import llm_brute
-from cohortlens.llm import chat, decontaminate, embedding_dedup, html_extract, lexical_search, line_dedup, mixing, simhash, spelling, token_counts, toxicity, url_filter
+from cohortlens.llm import chat, decontaminate, embedding_dedup, html_extract, lexical_search, licenses, line_dedup, mixing, simhash, spelling, token_counts, toxicity, url_filter
+from cohortlens.llm import common
 from cohortlens.llm.common import ship_package
 from cohortlens.llm.components import components
 
@@ -583,3 +585,66 @@ def test_best_positions_read_few():
     impacts = np.maximum(1, 10_000 - docs)
     found, _, read = lexical_search.best_documents([lexical_search.ImpactList(docs, impacts)] * 2, 50_000, 10)
     assert read <= 64 and set(range(10)) <= set(found.tolist())
+
+
+def plain_licenses(rows):
+    """Every template laid at every place of every text."""
+    stated = licenses.templates()
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    texts = [(i, re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low(t))) for i, t in rows]
+    df = {w: sum(w in set(words) for _, words in texts) for one in stated for w in (v.decode() for v in one.words)}
+    idf = {w: math.log((len(texts) + 1) / (n + 1)) for w, n in df.items()}
+    out = []
+    for i, words in texts:
+        places, base, labels, score = [], set(), set(), 0.0
+        for one in stated:
+            own = [w.decode() for w in one.words]
+            for start in range(-len(own), len(words)):
+                there = [n for n, w in enumerate(own) if 0 <= start + n < len(words) and words[start + n] == w]
+                if len(there) >= one.need and one.keys <= set(there):
+                    labels.add(one.label)
+                    if one.base:
+                        places.append(start)
+                        base.add(one.label)
+                    score = max(score, 1.0 if one.base else sum(idf[own[n]] for n in there) / sum(idf[w] for w in own))
+        out.append((i, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), round(score, 6)))
+    return out
+
+
+def test_license_edges(spark, docs, monkeypatch):
+    notice = licenses.NOTICES[0][0]
+    bsd = licenses.NOTICES[7][0]
+    texts = TEXTS + [
+        "Licensed under the MIT License. the mit\nLICENSE cc-by", "GNU General Public License, gnu general public license", "gnu general public", "mit", "cc", "by cc by",
+        notice, notice.upper().replace("ANY PERSON", "someone here"), notice.replace("free of charge", "for a fee"), " ".join(notice.split()[:-2]), " ".join(notice.split()[4:]),
+        "x " * 3000 + bsd + " y" * 3000, "Licensed under CC BY-NC 4.0.", LONG + " apache license", "éapache license", "all rights reserved all rights reserved", bsd[:20] + " and " + bsd[20:],
+    ]
+    rows = [*enumerate(texts), (None, "cc by"), (3, "mit license")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k", F.lit(1)).withColumn("score", F.lit("x"))
+    expected = sorted(plain_licenses(rows), key=repr)
+    for portion in (1 << 22, 200):
+        monkeypatch.setattr(common, "PORTION", portion)
+        assert sorted((tuple(r) for r in licenses.scan_licenses(table).collect()), key=repr) == expected
+    assert any("mit" in r[6] and not r[5] for r in expected) and sum("bsd" in r[6] for r in expected) == 2
+    assert licenses.scan_licenses(table.limit(0)).count() == 0
+    index = licenses.Index(licenses.templates(), *licenses.licence_frequencies(table, licenses.templates(), "text"))
+    words = [w for one in licenses.templates() for w in one.words]
+    assert index.longest == max(len(n.split()) for n, _, _ in licenses.NOTICES) and set(index.postings) <= set(words)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 10**6), st.integers(40, 400))
+def test_portions_give_the_same_licenses(seed, portion):
+    rng = np.random.default_rng(seed)
+    parts = [n.split() for n, _, _ in licenses.NOTICES] + [p.split() for p in licenses.BASE] + [["word"] * 9]
+    words = [w for i in rng.integers(0, len(parts), 12) for w in parts[i] if rng.random() > 0.04]
+    index = licenses.Index(licenses.templates(), {b"the": 90, b"of": 80, b"license": 30}, 100)
+    text, kept = " ".join(words).encode(), common.PORTION
+    common.PORTION = 1 << 22
+    whole = index.scan(text)
+    common.PORTION = portion
+    pieces = index.scan(text)
+    common.PORTION = kept
+    assert whole == pieces
+    own = plain_licenses([(1, text.decode()), (2, None)])[0][1:7]
+    assert whole[:6] == own
