@@ -9,7 +9,7 @@ open the same units, however the text around them differs and wherever its lines
 of ``spread + min_words - 1`` words or more (50 by default) always holds one, and no text without a
 repeated run of ``min_words`` words is touched.
 
-Units are compared by the digest of their words. Digests are grouped over the whole corpus: the
+Units are compared by the MD5 digest of the digests of their words (64 bits each). Digests are grouped over the whole corpus: the
 group's smallest (key, text digest, place) keeps its unit, the words of every other occurrence are
 removed together with the blanks before them, inside one document too (there, what the first
 occurrence covers itself stays). What stays of a text keeps its order; what goes is reported by its
@@ -45,7 +45,7 @@ from cohortlens.llm.common import staged
 MIN_WORDS, SPREAD = 31, 20
 #: Code points after which a run without blanks is cut.
 WORD_POINTS = 32
-#: Units sent to the JVM at a time, and ranks of words a worker remembers.
+#: Units sent to the JVM at a time, and words a worker remembers.
 FLUSH, HELD = 50_000, 300_000
 
 BLANKS = " \t\n\v\f\r"
@@ -60,37 +60,42 @@ UNITS_DDL = "k long, tk long, pos array<int>, high array<long>, low array<long>"
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
-class Words:
-    """Normal forms and ranks of words by their pieces; remembers those it has met."""
+class Words(dict):
+    """Numbers of words by their pieces, with the beginnings of their digests; remembers those it has met."""
 
     def __init__(self) -> None:
-        self.norms: dict[str, str] = {}
-        self.ranks: dict[str, int] = {}
-
-    def read(self, text: str) -> tuple[list[str], np.ndarray]:
+        super().__init__()
+        self.codes = np.zeros(1024, np.uint64)
+
+    def __missing__(self, piece: str) -> int:
+        number = len(self)
+        if number == len(self.codes):
+            self.codes = np.concatenate((self.codes, np.zeros_like(self.codes)))
+        norm = piece.lstrip(BLANKS).lower()
+        self.codes[number] = int.from_bytes(hashlib.md5(norm.encode(), usedforsecurity=False).digest()[:8], "big")
+        self[piece] = number
+        return number
+
+    def read(self, text: str) -> np.ndarray:
+        """The first 64 bits of the digest of each word."""
+        if len(self) > HELD:
+            self.clear()
         pieces = PIECE.findall(text)
-        new = set(pieces).difference(self.norms)
-        if new:
-            if len(self.norms) > HELD:
-                self.norms, self.ranks = {}, {}
-                new = set(pieces)
-            for piece in new:
-                norm = piece.lstrip(BLANKS).lower()
-                self.norms[piece] = norm
-                self.ranks[piece] = int.from_bytes(hashlib.md5(norm.encode(), usedforsecurity=False).digest()[:4], "big")
-        return list(map(self.norms.__getitem__, pieces)), np.fromiter(map(self.ranks.__getitem__, pieces), np.int64, len(pieces))
-
-
-def unit_starts(ranks: np.ndarray, min_words: int, spread: int) -> np.ndarray:
+        numbers = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        return self.codes[numbers]
+
+
+def unit_starts(codes: np.ndarray, min_words: int, spread: int) -> np.ndarray:
     """Places of the words that open a unit, in order."""
-    n = len(ranks)
+    n = len(codes)
     if n < min_words:
         return np.zeros(0, np.int64)
     edges = np.array([0, n - min_words])
     if n < spread:
         return np.unique(edges)
-    # The first of equal ranks opens the unit: rank and place as one number.
-    least = np.lib.stride_tricks.sliding_window_view((ranks << 31) + np.arange(n), spread).min(axis=1) & ((1 << 31) - 1)
+    # The first of equal ranks opens the unit: rank (32 bits) and place as one number.
+    ranked = ((codes >> np.uint64(32)) << np.uint64(31)).astype(np.int64) + np.arange(n)
+    least = np.lib.stride_tricks.sliding_window_view(ranked, spread).min(axis=1) & ((1 << 31) - 1)
     starts = np.unique(np.concatenate((least, edges)))
     return starts[starts + min_words <= n]
 
@@ -104,11 +109,11 @@ def _units(docs: DataFrame, key: str, text: str, min_words: int, spread: int) ->
                 body = value.as_py() or ""
                 tk = xxhash.xxh64_intdigest(body.encode(), 42)
                 tk -= (tk >> 63) << 64
-                words, ranks = reader.read(body)
-                starts = unit_starts(ranks, min_words, spread)
+                codes = reader.read(body)
+                starts = unit_starts(codes, min_words, spread)
                 for at in range(0, len(starts), FLUSH):
                     part = starts[at : at + FLUSH].tolist()
-                    digests = b"".join([hashlib.md5(" ".join(words[p : p + min_words]).encode(), usedforsecurity=False).digest() for p in part])
+                    digests = b"".join([hashlib.md5(codes[p : p + min_words], usedforsecurity=False).digest() for p in part])
                     halves = np.frombuffer(digests, "<i8").reshape(-1, 2)
                     rows.append((k, tk, part, halves[:, 0], halves[:, 1]))
                     held += len(part)
