@@ -18,7 +18,7 @@ from cohortlens.bindings.registry import query, rounded, table
 from cohortlens.bindings.views import MARKER, N_SUMS
 from cohortlens.bindings.views import assay_cohort as assay_view
 from cohortlens.functions import vectors
-from cohortlens.operators import clean, curves, explain, folds, latent, models, scoring
+from cohortlens.operators import boosting, clean, curves, explain, folds, latent, models, scoring
 from cohortlens.operators.preprocess import fit_preprocessing
 from cohortlens.plans.binary import run_binary
 from cohortlens.plans.common import FIT_TASK_ROWS, prepare_cohort, validate
@@ -106,9 +106,9 @@ def fit_boosted_multi_weighted(spark, sf):
 
 @once
 def boosted_folds(spark, sf):
-    fit = models.fit_boosted_binary
     rows = binary_rows(spark, sf)
-    return models.cross_validate(rows, fit, models.score_binary, folds.BINARY_FOLDS, FITS_AT_ONCE, fit_tasks(rows))
+    *fitted, _ = models.fit_binary_folds(rows.coalesce(fit_tasks(rows)), folds.BINARY_FOLDS)
+    return models.score_folds(rows, fitted, models.score_binary)
 
 
 @query("cross_validate_boosted", separable_sql(BINARY_LABEL, folds.BINARY_FOLDS))
@@ -123,6 +123,55 @@ def fit_final(spark, sf):
     return final.join(boosted_folds(spark, sf).oof.select("row_id", "prediction"), ["row_id", "prediction"]).select("row_id", "label", "prediction")
 
 
+# --- one round, stated by SQL ----------------------------------------------------
+
+ROUND_FEATURES = ["c_nationkey", "c_custkey % 7"]
+ONE_ROUND = boosting.Boosting(rounds=1, depth=1, step=0.05, row_share=1.0, column_share=1.0, min_weight=2.0, gamma=0.1, l1=0.5, l2=10.0)
+
+
+def round_sql(label: str, classes: int, p: str, h: str) -> str:
+    """The best first split of every class: all rows have probability ``p`` and second derivative ``h``."""
+    soft = "sign({0}) * greatest(abs({0}) - 0.5, 0)"
+    part = "power(" + soft + ", 2) / ({1} + 10.0)"
+    gain = f"{part.format('gl', 'hl')} + {part.format('g - gl', 'h - hl')} - {part.format('g', 'h')}"
+    leaf = "round(-0.05 * " + soft + " / ({1} + 10.0), 6)"
+    return f"""
+with r as (select c_nationkey::double as f0, (c_custkey % 7)::double as f1, {label} as label from customer),
+x as (select 0 as f, f0 as v, label from r union all select 1, f1, label from r),
+cells as (select c.c, f, v, sum({p} - (label = c.c)::int) as g, count(*) * {h} as h from x, range({2 if classes == 1 else 0}, {classes if classes > 1 else 3}) t(c0), lateral (select {'1' if classes == 1 else 'c0'} as c) c group by 1, 2, 3),
+cut as (select c, f, v, sum(g) over w as gl, sum(h) over w as hl, sum(g) over (partition by c, f) as g, sum(h) over (partition by c, f) as h
+        from cells window w as (partition by c, f order by v)),
+ranked as (select *, {gain} as gain, row_number() over (partition by c order by {gain} desc, f, v) as place from cut where hl >= 2 and h - hl >= 2)
+select {'0' if classes == 1 else 'c'}::int as class, case f when 0 then 'c_nationkey' else 'c_custkey % 7' end as feature, v as cut, round(gain, 3) as gain,
+       {leaf.format('gl', 'hl')} as left_value, {leaf.format('(g - gl)', '(h - hl)')} as right_value
+from ranked where place = 1 and gain >= 0.1"""
+
+
+def _first_round(spark, sf, label, n_classes: int):
+    customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey", label.cast("int").alias("label"))
+    ready = VectorAssembler(inputCols=ROUND_FEATURES, outputCol="features").transform(customers.withColumn("c_custkey % 7", F.col("c_custkey") % 7))
+    nodes = boosting.fit(ready, n_classes, ONE_ROUND, key="c_custkey")[0].table(spark)
+    at = lambda node, value: F.max(F.when(F.col("node") == node, F.col(value)))
+    split = nodes.groupBy("class").agg(at(0, "feature").alias("f"), at(0, "cut").alias("cut"), F.round(at(0, "gain"), 3).alias("gain"), F.round(at(1, "value"), 6).alias("left_value"), F.round(at(2, "value"), 6).alias("right_value"))
+    names = F.array(*[F.lit(f) for f in ROUND_FEATURES])
+    return split.where("f >= 0").select("class", F.get(names, F.col("f")).alias("feature"), "cut", "gain", "left_value", "right_value")
+
+
+MIXED = "(c_nationkey * 7 + (c_custkey % 7) * 3) % 10"
+
+
+@query("boosted_first_split", round_sql(f"case when {MIXED} >= 5 or c_nationkey >= 18 then 1 else 0 end", 1, "0.5", "0.25"))
+def boosted_first_split(spark, sf):
+    """Split, gain and leaf values of the first tree of a 0/1 label."""
+    return _first_round(spark, sf, F.expr(f"case when {MIXED} >= 5 or c_nationkey >= 18 then 1 else 0 end"), 2)
+
+
+@query("boosted_first_round_of_a_softmax", round_sql("(c_nationkey // 9)::int", 3, "(1.0::double / 3)", "(4.0::double / 9)"))
+def boosted_first_round_of_a_softmax(spark, sf):
+    """The same for every class of a softmax, grown together."""
+    return _first_round(spark, sf, F.floor(F.col("c_nationkey") / 9), 3)
+
+
 IMPORTANCE_SQL = """select * from (values ('c_nationkey', 1.0::double), ('c_acctbal', 0.0::double), ('c_custkey % 7', 0.0::double)) t(feature, importance)"""
 
 

@@ -1,4 +1,4 @@
-"""Classifiers and embeddings: Spark ML estimators with the study's settings.
+"""Classifiers and embeddings with the study's settings: boosted trees, and Spark ML estimators.
 
 Inputs are DataFrames with ``features`` (vector) and ``label`` (0..k-1); outputs of the
 score functions are plain columns, so everything after a fit is ordinary DataFrame work.
@@ -13,7 +13,7 @@ from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest, OneVsRestModel
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,16 +21,9 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import vectors
 from cohortlens.functions.numbers import col
+from cohortlens.operators import boosting
 from cohortlens.operators.evaluate import pool_oof
-from cohortlens.operators.folds import (
-    SEED,
-    attach_weights,
-    balanced_weights,
-    positive_weight_column,
-    test_split,
-    train_split,
-)
-from cohortlens.sources.staging import use_checkpoints
+from cohortlens.operators.folds import SEED, test_split, train_split
 
 # Settings of the study's models.
 BOOST_ROUNDS = 100
@@ -39,7 +32,10 @@ BOOST_DEPTH_BINARY = 3
 BOOST_DEPTH_TYPE = 4
 BOOST_ROW_SHARE = 0.8
 BOOST_COLUMN_SHARE = 0.8
-BOOST_MIN_ROWS = 2
+BOOST_MIN_WEIGHT = 2.0
+BOOST_GAMMA = 0.1
+BOOST_L1 = 0.5
+BOOST_L2 = 10.0
 LATENT_DIM = 8
 HIDDEN_LAYERS = (64, 32)
 HEAD_ITERATIONS = 100
@@ -50,49 +46,56 @@ Fit = Callable[[DataFrame], Transformer]
 Score = Callable[[Transformer, DataFrame], DataFrame]
 
 
-def _booster(depth: int, rounds: int, seed: int, weighted: bool) -> GBTClassifier:
-    booster = GBTClassifier(
-        featuresCol="features",
-        labelCol="label",
-        maxIter=rounds,
-        stepSize=BOOST_STEP,
-        maxDepth=depth,
-        subsamplingRate=BOOST_ROW_SHARE,
-        featureSubsetStrategy=str(BOOST_COLUMN_SHARE),
-        minInstancesPerNode=BOOST_MIN_ROWS,
-        seed=seed,
+def boost_settings(depth: int, rounds: int = BOOST_ROUNDS, seed: int = SEED) -> boosting.Boosting:
+    return boosting.Boosting(
+        rounds, depth, BOOST_STEP, BOOST_ROW_SHARE, BOOST_COLUMN_SHARE, BOOST_MIN_WEIGHT, BOOST_GAMMA, BOOST_L1, BOOST_L2, seed=seed
     )
-    return booster.setWeightCol("weight") if weighted else booster
 
 
 # --- fits -------------------------------------------------------------------
 
 
+def _key(df: DataFrame) -> str | None:
+    """The column that decides which rows a tree draws, where the rows have one."""
+    return "row_id" if "row_id" in df.columns else None
+
+
 def fit_boosted_binary(
     df: DataFrame, pos_weight: float = 1.0, rounds: int = BOOST_ROUNDS, seed: int = SEED
-) -> Transformer:
+) -> boosting.TreeModel:
     """Boosted trees for a 0/1 label; positives carry ``pos_weight``."""
-    use_checkpoints(df.sparkSession)
-    weighted = df.withColumn("weight", positive_weight_column(pos_weight))
-    return _booster(BOOST_DEPTH_BINARY, rounds, seed, weighted=True).fit(weighted)
+    return boosting.fit(df, 2, boost_settings(BOOST_DEPTH_BINARY, rounds, seed), weights=[[1.0, pos_weight]], key=_key(df))[0]
 
 
-def fit_boosted_multi(
-    df: DataFrame, weighted: bool = False, rounds: int = BOOST_ROUNDS, seed: int = SEED, parallelism: int = 4
-) -> Transformer:
-    """One boosted model per class against the rest, optionally with balanced class weights.
+def fit_boosted_multi(df: DataFrame, weighted: bool = False, rounds: int = BOOST_ROUNDS, seed: int = SEED) -> boosting.TreeModel:
+    """Boosted trees for k classes under one softmax, optionally with balanced class weights."""
+    return fit_multi_folds(df, 0, weighted, rounds, seed)[0]
 
-    The weights are those of the rows given, so a fold is weighted by its own counts.
-    """
-    use_checkpoints(df.sparkSession)
-    rows = attach_weights(df, balanced_weights(df)) if weighted else df
-    estimator = OneVsRest(
-        classifier=_booster(BOOST_DEPTH_TYPE, rounds, seed, weighted=False),
-        featuresCol="features",
-        labelCol="label",
-        parallelism=parallelism,
-    )
-    return (estimator.setWeightCol("weight") if weighted else estimator).fit(rows)
+
+def fit_binary_folds(
+    df: DataFrame, k: int, pos_weight: float = 1.0, rounds: int = BOOST_ROUNDS, seed: int = SEED
+) -> list[boosting.TreeModel]:
+    """The models that leave out fold 0, 1, ... and, last, the model of all rows: one pass over the rows for all."""
+    settings = boost_settings(BOOST_DEPTH_BINARY, rounds, seed)
+    return boosting.fit(df, 2, settings, [*range(k), None], weights=[[1.0, pos_weight]] * (k + 1), key=_key(df))
+
+
+def fit_multi_folds(
+    df: DataFrame, k: int, weighted: bool = False, rounds: int = BOOST_ROUNDS, seed: int = SEED
+) -> list[boosting.TreeModel]:
+    """As ``fit_binary_folds`` for k classes; balanced weights are those of each model's own rows."""
+    fold = F.col("fold") if k else F.lit(-1)
+    counts = df.where("label is not null").groupBy(fold.alias("fold"), "label").agg(F.count(F.lit(1)).alias("n")).collect()
+    n_classes = max((int(r["label"]) for r in counts), default=1) + 1
+    leave_out = [*range(k), None]
+    weights = [[1.0] * n_classes for _ in leave_out]
+    if weighted:
+        for m, out in enumerate(leave_out):
+            own = [sum(r["n"] for r in counts if r["label"] == c and r["fold"] != out) for c in range(n_classes)]
+            present = sum(n > 0 for n in own)
+            weights[m] = [sum(own) / (present * n) if n else 0.0 for n in own]
+    # Two classes are a softmax as well.
+    return boosting.fit(df, max(n_classes, 3), boost_settings(BOOST_DEPTH_TYPE, rounds, seed), leave_out, [[*w, *[1.0] * (3 - n_classes)] for w in weights], key=_key(df))
 
 
 def fit_class_head(
@@ -150,30 +153,16 @@ def _carried(df: DataFrame) -> list[Column]:
     return [col(c) for c in df.columns if c not in ("features", "weight")]
 
 
-def score_binary(model: Transformer, df: DataFrame) -> DataFrame:
+def score_binary(model: boosting.TreeModel, df: DataFrame) -> DataFrame:
     """``score`` = probability of class 1 and ``prediction`` = 0/1."""
-    scored = model.transform(df)
-    probs = vector_to_array(F.col("probability"))
-    return scored.select(
-        *_carried(df), F.col("prediction").cast("int").alias("prediction"), vectors.element(probs, 1).alias("score")
-    )
-
+    scored = df.select(*_carried(df), model.probabilities(vector_to_array(F.col("features"))).alias("score"))
+    return scored.withColumn("prediction", (F.col("score") > 0.5).cast("int"))
 
-def score_boosted_multi(model: OneVsRestModel, df: DataFrame) -> DataFrame:
-    """``probs`` from the one-vs-rest margins and ``prediction`` = most probable class.
 
-    The class models are applied one after the other without caching in between, so a
-    streaming frame can be scored too.
-    """
-    scored, margins = df, []
-    for i, class_model in enumerate(model.models):
-        out = f"_margin{i}"
-        only_margin = {class_model.rawPredictionCol: out, class_model.probabilityCol: "", class_model.predictionCol: ""}
-        scored = class_model.copy(only_margin).transform(scored)
-        margins.append(vector_to_array(F.col(out))[1])
-    probs = vectors.one_vs_rest_probabilities(F.array(*margins))
-    ready = scored.select(*_carried(df), probs.alias("probs"))
-    return ready.withColumn("prediction", vectors.argmax(F.col("probs")))
+def score_boosted_multi(model: boosting.TreeModel, df: DataFrame) -> DataFrame:
+    """``probs`` of the softmax and ``prediction`` = most probable class; all classes in one projection."""
+    scored = df.select(*_carried(df), model.probabilities(vector_to_array(F.col("features"))).alias("probs"))
+    return scored.withColumn("prediction", vectors.argmax(F.col("probs")))
 
 
 def score_latent(model: Transformer, df: DataFrame) -> DataFrame:
@@ -218,16 +207,20 @@ def cross_validate(
     spark = df.sparkSession
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         models = list(pool.map(inheritable_thread_target(spark)(run), range(k)))
-    return CrossValidation(pool_oof([score(m, test_split(df, i)) for i, m in enumerate(models)]), models)
+    return score_folds(df, models, score)
+
+
+def score_folds(df: DataFrame, fitted: Sequence, score: Score) -> CrossValidation:
+    """Every fold scored by the model that left it out."""
+    return CrossValidation(pool_oof([score(m, test_split(df, i)) for i, m in enumerate(fitted)]), list(fitted))
 
 
 # --- reports from fitted models ----------------------------------------------
 
 
-def feature_importance(spark: SparkSession, model: Transformer, names: Sequence[str]) -> DataFrame:
+def feature_importance(spark: SparkSession, model: boosting.TreeModel, names: Sequence[str]) -> DataFrame:
     """``(feature, importance)`` of a boosted model, normalised to sum 1 when not all zero."""
-    values = [float(v) for v in model.featureImportances.toArray()]
-    rows = spark.createDataFrame(list(zip(names, values)), "feature string, importance double")
+    rows = spark.createDataFrame(list(zip(names, model.importance(len(names)))), "feature string, importance double")
     return rows.orderBy(F.desc("importance"), "feature")
 
 

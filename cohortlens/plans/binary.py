@@ -107,9 +107,13 @@ def run_binary(
         def fit(train: DataFrame):
             return models.fit_boosted_binary(train, weight, rounds)
 
-        cv = validate(cohort, fit, models.score_binary, ["row_id", "Condition", "Stage"], parallelism)
+        fitted = None
+        if fit_scope == "all":
+            *fitted, final = models.fit_binary_folds(cohort.rows.coalesce(cohort.fit_tasks), k, weight, rounds)
+        else:
+            final = fit(cohort.rows.coalesce(cohort.fit_tasks))
+        cv = validate(cohort, fit, models.score_binary, ["row_id", "Condition", "Stage"], parallelism, fitted)
         fold_models = [m if fit_scope == "all" else m[1] for m in cv.models]
-        final = fit(cohort.rows.coalesce(cohort.fit_tasks))
         tables = {
             "oof": cv.oof,
             **binary_tables(cv.oof, threshold),

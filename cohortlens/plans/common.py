@@ -147,10 +147,15 @@ def prepare_cohort(
 
 
 def validate(
-    cohort: Cohort, fit: models.Fit, score: models.Score, keep: Sequence[str], parallelism: int = 2
+    cohort: Cohort, fit: models.Fit, score: models.Score, keep: Sequence[str], parallelism: int = 2, fitted: Sequence | None = None
 ) -> models.CrossValidation:
-    """Out-of-fold rows of a cohort, staged, with the id columns that reports need."""
-    if cohort.fit_scope == "all":
+    """Out-of-fold rows of a cohort, staged, with the id columns that reports need.
+
+    ``fitted`` are the folds' models where one pass over the cohort has fitted them together.
+    """
+    if fitted is not None:
+        result = models.score_folds(cohort.rows, fitted, score)
+    elif cohort.fit_scope == "all":
         result = models.cross_validate(cohort.rows, fit, score, cohort.k, parallelism, cohort.fit_tasks)
     else:
 

@@ -1,4 +1,4 @@
-"""Cancer type with one-vs-rest boosted trees, plain or with balanced class weights."""
+"""Cancer type with boosted trees under a softmax, plain or with balanced class weights."""
 
 from __future__ import annotations
 
@@ -62,8 +62,12 @@ def run_type(
         def fit(train: DataFrame):
             return models.fit_boosted_multi(train, weighted, rounds)
 
-        cv = validate(cohort, fit, models.score_boosted_multi, ["row_id", "PatientID", "Condition"], parallelism)
-        final = fit(cohort.rows.coalesce(cohort.fit_tasks))
+        fitted = None
+        if fit_scope == "all":
+            *fitted, final = models.fit_multi_folds(cohort.rows.coalesce(cohort.fit_tasks), k, weighted, rounds)
+        else:
+            final = fit(cohort.rows.coalesce(cohort.fit_tasks))
+        cv = validate(cohort, fit, models.score_boosted_multi, ["row_id", "PatientID", "Condition"], parallelism, fitted)
         weights = folds.balanced_weights(cohort.table) if weighted else None
         tables = {
             "oof": cv.oof,

@@ -1,4 +1,4 @@
-"""Saved models: the Spark ML model plus small Parquet tables with everything around it."""
+"""Saved models: trees as a table of their nodes or a Spark ML model, and small Parquet tables with everything around it."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import SparkSession
 
+from cohortlens.operators.boosting import TreeModel
 from cohortlens.operators.preprocess import Preprocessing
 from cohortlens.operators.scale import Scaling
 
@@ -16,7 +17,7 @@ class ModelBundle:
     """``kind`` is ``binary``, ``type`` or ``latent`` and picks the score function."""
 
     kind: str
-    model: Transformer
+    model: Transformer | TreeModel
     preprocessing: Preprocessing
     classes: list[str]
     class_weights: dict[str, float] = field(default_factory=dict)
@@ -33,7 +34,10 @@ def save_bundle(bundle: ModelBundle, path: str, spark: SparkSession) -> None:
         for i, c in enumerate(prep.features)
     ]
     classes = [(i, c, bundle.class_weights.get(c)) for i, c in enumerate(bundle.classes)]
-    PipelineModel(stages=[bundle.model]).write().overwrite().save(f"{path}/model")
+    if isinstance(bundle.model, TreeModel):
+        bundle.model.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+    else:
+        PipelineModel(stages=[bundle.model]).write().overwrite().save(f"{path}/model")
     for name, rows, schema in (
         ("features", features, _FEATURE_SCHEMA),
         ("classes", classes, _CLASS_SCHEMA),
@@ -52,9 +56,11 @@ def load_bundle(path: str, spark: SparkSession) -> ModelBundle:
         Scaling({r.feature: r["mean"] for r in features}, {r.feature: r["std"] for r in features}),
         {r.feature: r.lowest for r in features if r.log2_offset is not None},
     )
+    kind = spark.read.parquet(f"{path}/kind").first()["kind"]
+    trees = kind != "latent"
     return ModelBundle(
-        spark.read.parquet(f"{path}/kind").first()["kind"],
-        PipelineModel.load(f"{path}/model").stages[0],
+        kind,
+        TreeModel.from_table(spark.read.parquet(f"{path}/trees")) if trees else PipelineModel.load(f"{path}/model").stages[0],
         prep,
         [r["class"] for r in classes],
         {r["class"]: r.weight for r in classes if r.weight is not None},
