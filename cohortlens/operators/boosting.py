@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from cohortlens.functions import vectors
 from cohortlens.functions.numbers import col
 from cohortlens.session import ship_package
-from cohortlens.sources.staging import checkpoint_root, record, release, scratch_path, staged_paths
+from cohortlens.sources.staging import checkpoint_root, release, scratch_path
 
 #: Rounds after which margins are staged, and the steps of the fixed point in one unit.
 REFRESH, UNIT = 10, 1 << 28
@@ -337,11 +337,13 @@ def _steady(spark: SparkSession) -> SparkSession:
     return steady
 
 
-def _in_session(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """Staged rows, read by ``spark``."""
-    path = record(scratch_path(spark, name))
+def _staged(spark: SparkSession, rows: DataFrame, name: str, paths: list[str]) -> tuple[DataFrame, int]:
+    """Staged rows, read by ``spark``, and the tasks that read them; their folder is noted in ``paths``."""
+    path = scratch_path(spark, name)
+    paths.append(path)
     rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
+    table = spark.read.schema(rows.schema).parquet(path)
+    return table, table.rdd.getNumPartitions()
 
 
 def fit(rows: DataFrame, n_classes: int, settings: Boosting, leave_out: Sequence[int | None] = (None,), weights: np.ndarray | None = None,
@@ -356,51 +358,60 @@ def fit(rows: DataFrame, n_classes: int, settings: Boosting, leave_out: Sequence
     uid = F.monotonically_increasing_id() if key is None else F.xxhash64(col(key))
     fold = col("fold") if "fold" in rows.columns else F.lit(-1)
     known = rows.where(col(label).between(0, n_classes - 1))
-    with staged_paths() as scratch:
-        values = known.select(uid.alias("uid"), col(label).cast("int").alias("label"), fold.cast("int").alias("fold"), vector_to_array(col(features)).alias("x"))
-        first = values.select("x").first()
-        width = 1 if n_classes == 2 else n_classes
-        n_models, n_features = len(leave_out), 0 if first is None else len(first["x"])
-        models = [TreeModel([[] for _ in range(width)], settings.depth) for _ in leave_out]
-        if not n_features:
-            for model in models:
-                model.trees = [[Tree.leaf(settings.depth)] for _ in range(width)]
-            return models
+    values = known.select(uid.alias("uid"), col(label).cast("int").alias("label"), fold.cast("int").alias("fold"), vector_to_array(col(features)).alias("x"))
+    first = values.select("x").first()
+    width = 1 if n_classes == 2 else n_classes
+    n_models, n_features = len(leave_out), 0 if first is None else len(first["x"])
+    models = [TreeModel([[] for _ in range(width)], settings.depth) for _ in leave_out]
+    if not n_features:
+        for model in models:
+            model.trees = [[Tree.leaf(settings.depth)] for _ in range(width)]
+        return models
+    weights = np.ones((n_models, n_classes)) if weights is None else np.asarray(weights, float)
+    # Fits may run side by side, so each keeps a list of its own folders.
+    paths: list[str] = []
+    try:
         cuts = quantile_cuts(values, n_features, settings.bins)
-        table = _in_session(_steady(spark), _binned(values, cuts), "binned")
-        tasks = table.rdd.getNumPartitions()
-        weights = np.ones((n_models, n_classes)) if weights is None else np.asarray(weights, float)
-        rng, recent, old = np.random.default_rng(settings.seed), [], []
+        table, tasks = _staged(_steady(spark), _binned(values, cuts), "binned", paths)
+        rng, recent = np.random.default_rng(settings.seed), []
         chosen = max(1, math.ceil(settings.column_share * n_features))
         for turn in range(settings.rounds):
-            growing = [Tree.leaf(settings.depth) for _ in range(n_models * width)]
             # Each class draws its columns; every model draws as if it grew alone.
             drawn = np.argsort(rng.random((width, n_features)), axis=1)[:, :chosen]
             columns = np.zeros((n_models * width, n_features), bool)
             for axis in range(n_models * width):
                 columns[axis, drawn[axis % width]] = True
+            growing = [Tree.leaf(settings.depth) for _ in range(n_models * width)]
             one = _Pass(settings, width, list(leave_out), weights, n_features, recent, growing, turn, 0)
-            for level in range(settings.depth):
-                one.level, split = level, False
-                for row in _level(table, one, columns, tasks):
-                    r = dict(zip(_SPLIT_NAMES, row))
-                    axis, node = r["block"] >> level, 2**level - 1 + (r["block"] & ((1 << level) - 1))
-                    tree = growing[axis]
-                    if level == 0:
-                        tree.value[0] = one.leaf(r["g"], r["h"])
-                    if r["gain"] >= max(settings.gamma, LEAST_GAIN) and r["bin"] < len(cuts[r["feature"]]):
-                        tree.feature[node], tree.bin[node], tree.cut[node], tree.gain[node] = r["feature"], r["bin"], float(cuts[r["feature"]][r["bin"]]), r["gain"]
-                        tree.value[2 * node + 1], tree.value[2 * node + 2] = one.leaf(r["gl"], r["hl"]), one.leaf(r["gr"], r["hr"])
-                        split = True
-                if not split:
-                    break
+            _grow(table, one, columns, tasks, cuts)
             for axis, tree in enumerate(growing):
                 models[axis // width].trees[axis % width].append(tree)
             recent = [*recent, growing]
             if len(recent) == REFRESH and turn + 1 < settings.rounds:
-                with staged_paths() as fresh:
-                    table = _in_session(table.sparkSession, _refreshed(table, _Pass(settings, width, list(leave_out), weights, n_features, recent, growing, turn, 0)), "margins")
-                release(spark, old)
-                old, recent, tasks = fresh, [], table.rdd.getNumPartitions()
-    release(spark, scratch)
+                before, one.recent = list(paths), recent
+                table, tasks = _staged(table.sparkSession, _refreshed(table, one), "margins", paths)
+                release(spark, before)
+                del paths[:-1]
+                recent = []
+    finally:
+        release(spark, paths)
     return models
+
+
+def _grow(table: DataFrame, one: _Pass, columns: np.ndarray, tasks: int, cuts: list[np.ndarray]) -> None:
+    """Split the trees of a round level by level, all of them together."""
+    for level in range(one.settings.depth):
+        one.level, split = level, False
+        for row in _level(table, one, columns, tasks):
+            r = dict(zip(_SPLIT_NAMES, row))
+            axis, node = r["block"] >> level, 2**level - 1 + (r["block"] & ((1 << level) - 1))
+            tree = one.growing[axis]
+            if level == 0:
+                tree.value[0] = one.leaf(r["g"], r["h"])
+            if r["gain"] >= max(one.settings.gamma, LEAST_GAIN) and r["bin"] < len(cuts[r["feature"]]):
+                tree.feature[node], tree.bin[node], tree.gain[node] = r["feature"], r["bin"], r["gain"]
+                tree.cut[node] = float(cuts[r["feature"]][r["bin"]])
+                tree.value[2 * node + 1], tree.value[2 * node + 2] = one.leaf(r["gl"], r["hl"]), one.leaf(r["gr"], r["hr"])
+                split = True
+        if not split:
+            break
