@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words of test items in one broadcast block (8 bytes a word and as much for its seed).
-BLOCK_WORDS = 1_000_000
+#: Words of test items in one broadcast block (8 bytes a word and as much for its seed), and their code points.
+BLOCK_WORDS, BLOCK_POINTS = 1_000_000, 16_000_000
 WORD = re.compile(r"\w+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 TILES = "array<struct<item_word:int,words:int,start:bigint,end:bigint>>"
@@ -155,14 +155,15 @@ def contaminated_pairs(items: Items, text: str, coverage: float) -> Iterator[tup
 
 
 def _blocks(tests: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
+    block, size, points = [], 0, 0
     for row in tests.select(F.col(key).cast("long"), F.col(text)).toLocalIterator():
-        words = len((row[1] or "").split())
-        if block and size + words > BLOCK_WORDS:
+        words = sum(1 for _ in WORD.finditer(row[1] or ""))
+        if block and (size + words > BLOCK_WORDS or points + len(row[1] or "") > BLOCK_POINTS):
             yield block
-            block, size = [], 0
+            block, size, points = [], 0, 0
         block.append((row[0], row[1]))
         size += words
+        points += len(row[1] or "")
     if block:
         yield block
 
