@@ -11,7 +11,8 @@ A cycle looks like the one before it unless a source runs out, so at most ``2 S
 worked out for ``S`` sources, whatever the number of rows (sources are the few parts of a mix; all of
 them together fit in one row); the place of a row follows from its rank in its
 source by arithmetic. Ranks come from windows inside (source, hash bucket) plus prefix sums over
-buckets in two levels, so a source with a third of all rows is spread over many tasks.
+buckets in two levels, so a source with a third of all rows is spread over many tasks; a bucket that
+is heavy because one key (or none) repeats is cut by ranges of the hash of the other columns.
 
 Only DataFrame functions are used. Every row is returned once, none is dropped or repeated.
 
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
 
-#: Rows a hash bucket holds on average.
-BUCKET_ROWS = 128
+#: Rows a hash bucket holds on average, and rows from which one is cut into parts of about so many.
+BUCKET_ROWS, HEAVY = 128, 20_000
 
 #: For each slot the source of the schedule: a fold over the slots, whose state is the number of
 #: blocks each source has had and the sources so far. ``transform(array(x), p -> ...)[0]`` names x.
@@ -90,12 +91,34 @@ def schedules(sources: DataFrame) -> DataFrame:
     )
 
 
+def _parted(rows: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows with ``_mix_part``, which cuts heavy buckets, and the rows ``ahead`` of each part in its bucket (None: no heavy one).
+
+    A hash spreads keys evenly, so a bucket is heavy where one key repeats: rows of one hash are
+    cut by ranges of their ties, which order them. Elsewhere a bucket is one part.
+    """
+    heavy = staged(counts.where(F.col("n") > HEAVY).select(F.col("_mix_s").alias("_mix_hs"), F.col("_mix_bucket").alias("_mix_hb"), F.col("n").alias("_mix_hn")), "mix-heavy")
+    if heavy.isEmpty():
+        return rows.withColumn("_mix_part", F.lit("")), None
+    # Sorts like (hash, tie range): both have a fixed number of digits.
+    pieces = F.least(F.ceil(F.col("_mix_hn") / F.lit(HEAVY)), F.lit(1 << 20))
+    span = F.floor((F.shiftrightunsigned("_mix_tie_up", 32) * pieces) / F.lit(1 << 32))
+    marked = rows.withColumn("_mix_tie_up", F.col("_mix_tie").bitwiseXOR(F.lit(-(1 << 63))))
+    marked = marked.join(heavy, F.col("_mix_s").eqNullSafe(F.col("_mix_hs")) & (F.col("_mix_bucket") == F.col("_mix_hb")), "left")
+    marked = marked.withColumn("_mix_part", F.when(F.col("_mix_hn").isNull(), "").otherwise(F.concat("_mix_h", F.lpad(span.cast("string"), 8, "0"))))
+    rows = marked.drop("_mix_hs", "_mix_hb", "_mix_hn", "_mix_tie_up")
+    sizes = rows.where("_mix_part <> ''").groupBy(F.col("_mix_s").alias("_mix_qs"), F.col("_mix_bucket").alias("_mix_qb"), F.col("_mix_part").alias("_mix_qp")).agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("_mix_qs", "_mix_qb").orderBy("_mix_qp").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    return rows, staged(sizes.select("_mix_qs", "_mix_qb", "_mix_qp", ahead.alias("_mix_ahead")), "mix-parts")
+
+
 def _ranked(rows: DataFrame, bits: int) -> DataFrame:
     """``rank`` (from 0) of each row in its source ``_mix_s`` by the hash ``_mix_h`` (hex digits), ties by ``_mix_tie``."""
     bucket = F.conv(F.substring("_mix_h", 1, 8), 16, 10).cast("long")
     rows = rows.withColumn("_mix_bucket", F.shiftright(bucket, 32 - bits))
     counts = rows.groupBy("_mix_s", "_mix_bucket").agg(F.count("*").alias("n")).withColumn("above", F.shiftright("_mix_bucket", (bits + 1) // 2))
     counts = staged(counts, "mix-buckets")
+    rows, parts = _parted(rows, counts)
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("long")
     tops = counts.groupBy(F.col("_mix_s").alias("ts"), F.col("above").alias("ta")).agg(F.sum("n").alias("n"))
@@ -103,8 +126,11 @@ def _ranked(rows: DataFrame, bits: int) -> DataFrame:
     inner = F.coalesce(F.sum("n").over(before.partitionBy("_mix_s", "above").orderBy("_mix_bucket")), zero)
     starts = counts.withColumn("_mix_start", inner).join(tops, F.col("_mix_s").eqNullSafe(F.col("ts")) & (F.col("above") == F.col("ta")))
     starts = staged(starts.select(F.col("_mix_s").alias("_mix_bs"), F.col("_mix_bucket").alias("_mix_bb"), (F.col("_mix_start") + F.col("first")).alias("_mix_start")), "mix-starts")
-    place = F.row_number().over(Window.partitionBy("_mix_s", "_mix_bucket").orderBy("_mix_h", "_mix_tie")) - 1
-    placed = rows.withColumn("_mix_place", place.cast("long"))
+    place = F.row_number().over(Window.partitionBy("_mix_s", "_mix_bucket", "_mix_part").orderBy("_mix_h", "_mix_tie")) - 1
+    placed = rows.withColumn("_mix_place", place.cast("long") + zero)
+    if parts is not None:
+        same = F.col("_mix_s").eqNullSafe(F.col("_mix_qs")) & (F.col("_mix_bucket") == F.col("_mix_qb")) & (F.col("_mix_part") == F.col("_mix_qp"))
+        placed = placed.join(parts, same, "left").withColumn("_mix_place", F.col("_mix_place") + F.coalesce("_mix_ahead", zero)).drop("_mix_qs", "_mix_qb", "_mix_qp", "_mix_ahead")
     joined = placed.join(starts, F.col("_mix_s").eqNullSafe(F.col("_mix_bs")) & (F.col("_mix_bucket") == F.col("_mix_bb")))
     return joined.withColumn("_mix_rank", F.col("_mix_place") + F.col("_mix_start"))
 

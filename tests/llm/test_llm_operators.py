@@ -340,6 +340,14 @@ def test_schedule_stays_within_a_block(counts):
         assert all(abs(h - t * n / length) < 1 for h, n in zip(had, counts))
 
 
+def test_mixing_cuts_heavy_buckets(spark, monkeypatch):
+    rows = [(None if i % 3 else 7, "a" if i % 4 else "b", f"text {i}") for i in range(900)] + [(i, "a", "x") for i in range(300)] + [(5, "b", "same")] * 50
+    data = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("part", F.lit(1)).withColumn("n", F.lit("x"))
+    whole = sorted((tuple(r) for r in mixing.mix_sources(data, block_rows=4).collect()), key=repr)
+    monkeypatch.setattr(mixing, "HEAVY", 16)
+    assert sorted((tuple(r) for r in mixing.mix_sources(data, block_rows=4).collect()), key=repr) == whole
+
+
 def test_mixing_tracks_weights(spark):
     weights = {"a": 13, "b": 7, "c": 3, "d": 1}
     rows = [(i, s) for i, s in enumerate(s for s, w in weights.items() for _ in range(30 * w * 2))]
