@@ -347,11 +347,11 @@ def _staged(spark: SparkSession, rows: DataFrame, name: str, paths: list[str]) -
 
 
 def fit(rows: DataFrame, n_classes: int, settings: Boosting, leave_out: Sequence[int | None] = (None,), weights: np.ndarray | None = None,
-        features: str = "features", label: str = "label", key: str | None = None) -> list[TreeModel]:
+        features: str = "features", label: str = "label", key: str | None = None, softmax: bool | None = None) -> list[TreeModel]:
     """A model for each entry of ``leave_out``: fitted on the rows of all other folds, or on all rows (None).
 
-    ``n_classes`` = 2 is a 0/1 label with one list of trees, more are a softmax. ``weights`` (models x
-    labels) are the rows' weights. ``key`` decides which rows a tree draws (default: their place).
+    ``n_classes`` = 2 is a 0/1 label with one list of trees unless ``softmax`` is set, more are a
+    softmax. ``weights`` (models x labels) are the rows' weights. ``key`` decides which rows a tree draws (default: their place).
     """
     spark = rows.sparkSession
     ship_package(spark)
@@ -360,7 +360,7 @@ def fit(rows: DataFrame, n_classes: int, settings: Boosting, leave_out: Sequence
     known = rows.where(col(label).between(0, n_classes - 1))
     values = known.select(uid.alias("uid"), col(label).cast("int").alias("label"), fold.cast("int").alias("fold"), vector_to_array(col(features)).alias("x"))
     first = values.select("x").first()
-    width = 1 if n_classes == 2 else n_classes
+    width = n_classes if (n_classes > 2 if softmax is None else softmax) else 1
     n_models, n_features = len(leave_out), 0 if first is None else len(first["x"])
     models = [TreeModel([[] for _ in range(width)], settings.depth) for _ in leave_out]
     if not n_features:

@@ -86,7 +86,7 @@ def fit_multi_folds(
     """As ``fit_binary_folds`` for k classes; balanced weights are those of each model's own rows."""
     fold = F.col("fold") if k else F.lit(-1)
     counts = df.where("label is not null").groupBy(fold.alias("fold"), "label").agg(F.count(F.lit(1)).alias("n")).collect()
-    n_classes = max((int(r["label"]) for r in counts), default=1) + 1
+    n_classes = max(2, max((int(r["label"]) for r in counts), default=1) + 1)
     leave_out = [*range(k), None]
     weights = [[1.0] * n_classes for _ in leave_out]
     if weighted:
@@ -94,8 +94,7 @@ def fit_multi_folds(
             own = [sum(r["n"] for r in counts if r["label"] == c and r["fold"] != out) for c in range(n_classes)]
             present = sum(n > 0 for n in own)
             weights[m] = [sum(own) / (present * n) if n else 0.0 for n in own]
-    # Two classes are a softmax as well.
-    return boosting.fit(df, max(n_classes, 3), boost_settings(BOOST_DEPTH_TYPE, rounds, seed), leave_out, [[*w, *[1.0] * (3 - n_classes)] for w in weights], key=_key(df))
+    return boosting.fit(df, n_classes, boost_settings(BOOST_DEPTH_TYPE, rounds, seed), leave_out, weights, key=_key(df), softmax=True)
 
 
 def fit_class_head(

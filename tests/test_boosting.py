@@ -133,6 +133,14 @@ def test_trees_as_a_table(spark, rows):
     assert sum(model.importance(5)) == pytest.approx(1.0)
 
 
+def test_two_types_are_a_softmax(rows):
+    own = rows.where("label < 2")
+    model = models.fit_boosted_multi(own, rounds=5)
+    scored = models.score_boosted_multi(model, own).select("label", "prediction", "probs").collect()
+    assert all(len(r.probs) == 2 and sum(r.probs) == pytest.approx(1.0) for r in scored)
+    assert np.mean([r.label == r.prediction for r in scored]) > 0.7
+
+
 def test_one_pass_for_all_folds(spark, rows):
     """A level is one job, however many folds."""
     tracker, counts = spark.sparkContext.statusTracker(), []
