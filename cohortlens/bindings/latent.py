@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.bindings.registry import query, rounded, table
 from cohortlens.functions import vectors
-from cohortlens.operators import explain, folds, latent, ranking
+from cohortlens.operators import coalitions, explain, folds, latent, ranking
 
 BATCH_SQL = """
 batch as (
@@ -109,22 +109,27 @@ def order_measures(spark, sf):
     return prices.join(lines, "row_id")
 
 
-def attributions(spark, sf):
+def attributions(spark, sf, method=explain.shapley_attributions):
     rows = order_measures(spark, sf)
     background = folds.sample_n(rows, explain.BACKGROUND_ROWS, "row_id", 42)
     explained = folds.sample_n(rows, explain.EXPLAINED_ROWS, "row_id", 43)
-    return explain.shapley_attributions(explained, list(WEIGHTS), linear_score, background)
+    return method(explained, list(WEIGHTS), linear_score, background)
 
 
-@query(
-    "shapley_attributions",
-    f"""with {SAMPLE_SQL} select row_id, class::int as class, feature, round(value, 6) as value, round(phi, 6) as phi,
-        round(base, 6) as base from phis""",
-)
+ATTRIBUTIONS_SQL = f"""with {SAMPLE_SQL} select row_id, class::int as class, feature, round(value, 6) as value, round(phi, 6) as phi,
+        round(base, 6) as base from phis"""
+
+
+@query("shapley_attributions", ATTRIBUTIONS_SQL)
 def shapley_attributions(spark, sf):
     return rounded(attributions(spark, sf), ["value", "phi", "base"])
 
 
+@query("kernel_attributions", ATTRIBUTIONS_SQL)
+def kernel_attributions(spark, sf):
+    return rounded(attributions(spark, sf, coalitions.kernel_attributions), ["value", "phi", "base"])
+
+
 @query("shap_ranking", f"with {SAMPLE_SQL} select feature, round(avg(abs(phi)), 6) as importance from phis group by feature")
 def shap_ranking(spark, sf):
     return rounded(explain.shap_ranking(attributions(spark, sf)), ["importance"])

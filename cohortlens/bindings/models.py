@@ -18,7 +18,7 @@ from cohortlens.bindings.registry import query, rounded, table
 from cohortlens.bindings.views import MARKER, N_SUMS
 from cohortlens.bindings.views import assay_cohort as assay_view
 from cohortlens.functions import vectors
-from cohortlens.operators import boosting, clean, curves, explain, folds, latent, models, scoring
+from cohortlens.operators import boosting, clean, curves, explain, folds, joint, latent, models, scoring
 from cohortlens.operators.preprocess import fit_preprocessing
 from cohortlens.plans.binary import run_binary
 from cohortlens.plans.common import FIT_TASK_ROWS, prepare_cohort, validate
@@ -243,6 +243,46 @@ def loss_curve_improves(spark, sf):
     return losses.join(first, "fold").groupBy("fold").agg(F.count_if(F.col("loss") > F.col("first")).alias("n_above_first"))
 
 
+JOINT_EPOCHS = 50
+
+
+@once
+def joint_models(spark, sf):
+    """The joint models of all folds and, last, of all rows."""
+    rows = indicator_rows(spark, sf)
+    settings = joint.Joint(8, 3, epochs=JOINT_EPOCHS)
+    return joint.fit(rows.coalesce(fit_tasks(rows)), settings, [*range(folds.BINARY_FOLDS), None], key="row_id")
+
+
+@query("fit_joint_latent", separable_sql(TYPE_LABEL))
+def fit_joint_latent(spark, sf):
+    return joint.score(joint_models(spark, sf)[-1], indicator_rows(spark, sf)).select("row_id", "label", "prediction")
+
+
+@query("cross_validate_joint", separable_sql(TYPE_LABEL, folds.BINARY_FOLDS))
+def cross_validate_joint(spark, sf):
+    scored = models.score_folds(indicator_rows(spark, sf), joint_models(spark, sf)[:-1], joint.score)
+    return scored.oof.select("row_id", "label", "prediction", "fold")
+
+
+@query(
+    "joint_loss_curves",
+    f"""with split as ({separable_sql(TYPE_LABEL, folds.BINARY_FOLDS)}),
+        sizes as (select fold, (select count(*) from split) - count(*) as n_learned from split group by fold)
+        select fold, {JOINT_EPOCHS}::bigint as n_epochs, n_learned, 0::bigint as n_off, true as fell from sizes""",
+)
+def joint_loss_curves(spark, sf):
+    """Every epoch of a fold counts the rows it learned from once, the parts add up to the loss, and the loss falls."""
+    curves_of_folds = joint.loss_curves(spark, joint_models(spark, sf)[:-1])
+    parts = F.col("recon") + latent.BETA * F.col("kl") + latent.LAMBDA_CLASS * F.col("cls")
+    return curves_of_folds.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_epochs"),
+        F.min("n").alias("n_learned"),
+        F.count_if(F.abs(F.col("loss") - parts) > 1e-6).alias("n_off"),
+        (F.max_by("loss", "epoch") < F.min_by("loss", "epoch")).alias("fell"),
+    )
+
+
 # Of two numbers per vector (sums of its halves) the principal axes have a closed form.
 PLANE_SQL = """
 halves as (select vec_id as row_id, label, list_sum(list_transform(embedding[1:32], lambda v: v::double)) as a,

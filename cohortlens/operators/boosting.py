@@ -326,7 +326,7 @@ def _refreshed(table: DataFrame, one: _Pass) -> DataFrame:
     return table.mapInArrow(apply, _ROWS_DDL)
 
 
-def _steady(spark: SparkSession) -> SparkSession:
+def steady(spark: SparkSession) -> SparkSession:
     """A session of the same application that does not plan anew between stages.
 
     A level is two short stages of known sizes, and there are hundreds of them.
@@ -372,7 +372,7 @@ def fit(rows: DataFrame, n_classes: int, settings: Boosting, leave_out: Sequence
     paths: list[str] = []
     try:
         cuts = quantile_cuts(values, n_features, settings.bins)
-        table, tasks = _staged(_steady(spark), _binned(values, cuts), "binned", paths)
+        table, tasks = _staged(steady(spark), _binned(values, cuts), "binned", paths)
         rng, recent = np.random.default_rng(settings.seed), []
         chosen = max(1, math.ceil(settings.column_share * n_features))
         for turn in range(settings.rounds):

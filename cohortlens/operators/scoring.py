@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import vectors
 from cohortlens.functions.numbers import col
-from cohortlens.operators import clean, models, scale
+from cohortlens.operators import clean, joint, models, scale
 from cohortlens.sources.bundle import ModelBundle
 from cohortlens.sources.schema import require_columns
 
@@ -19,7 +19,10 @@ SCORE_FUNCTIONS = {
     "binary": models.score_binary,
     "type": models.score_boosted_multi,
     "latent": models.score_latent,
+    "joint": joint.score,
 }
+# Kinds that score classes of either task and hold an embedding.
+LATENT = ("latent", "joint")
 
 
 def _ready(df: DataFrame, bundle: ModelBundle, missing: str, apply_log2: bool) -> DataFrame:
@@ -55,7 +58,7 @@ def score_risk(df: DataFrame, bundle: ModelBundle, missing: str = "training", ap
     Missing values take the training median, or on request the median of the new batch. Values
     below the training range count as its lowest value; ``n_clamped`` tells how many did.
     """
-    binary = bundle.kind == "binary" or bundle.kind == "latent" and len(bundle.classes) == 2
+    binary = bundle.kind == "binary" or bundle.kind in LATENT and len(bundle.classes) == 2
     _require_kind(bundle, binary, "score a risk")
     scored = SCORE_FUNCTIONS[bundle.kind](bundle.model, _ready(df, bundle, missing, apply_log2))
     return scored.select(
@@ -80,8 +83,8 @@ def score_types(
     ``missing='cells'`` fills with the median over all values of the batch together. ``n_clamped``
     counts the values of a row below the training range, which count as its lowest value.
     """
-    _require_kind(bundle, bundle.kind in ("type", "latent"), "rank types")
-    _require_kind(bundle, bundle.kind == "latent" or not with_embedding, "give an embedding")
+    _require_kind(bundle, bundle.kind in ("type", *LATENT), "rank types")
+    _require_kind(bundle, bundle.kind in LATENT or not with_embedding, "give an embedding")
     scored = SCORE_FUNCTIONS[bundle.kind](bundle.model, _ready(df, bundle, missing, apply_log2))
     classes = F.array(*[F.lit(c) for c in bundle.classes])
     ranked = scored.withColumn("_top", vectors.top_k(F.col("probs"), top_k))

@@ -1,4 +1,4 @@
-"""Saved models: trees as a table of their nodes or a Spark ML model, and small Parquet tables with everything around it."""
+"""Saved models: trees and networks as tables or a Spark ML model, and small Parquet tables with everything around it."""
 
 from __future__ import annotations
 
@@ -8,22 +8,24 @@ from pyspark.ml import PipelineModel, Transformer
 from pyspark.sql import SparkSession
 
 from cohortlens.operators.boosting import TreeModel
+from cohortlens.operators.joint import JointModel
 from cohortlens.operators.preprocess import Preprocessing
 from cohortlens.operators.scale import Scaling
 
 
 @dataclass
 class ModelBundle:
-    """``kind`` is ``binary``, ``type`` or ``latent`` and picks the score function."""
+    """``kind`` is ``binary``, ``type``, ``latent`` or ``joint`` and picks the score function."""
 
     kind: str
-    model: Transformer | TreeModel
+    model: Transformer | TreeModel | JointModel
     preprocessing: Preprocessing
     classes: list[str]
     class_weights: dict[str, float] = field(default_factory=dict)
 
 
 _FEATURE_SCHEMA = "position int, feature string, log2_offset double, median double, mean double, std double, lowest double"
+_TABLES = {"binary": "trees", "type": "trees", "joint": "network"}
 _CLASS_SCHEMA = "code int, class string, weight double"
 
 
@@ -34,8 +36,8 @@ def save_bundle(bundle: ModelBundle, path: str, spark: SparkSession) -> None:
         for i, c in enumerate(prep.features)
     ]
     classes = [(i, c, bundle.class_weights.get(c)) for i, c in enumerate(bundle.classes)]
-    if isinstance(bundle.model, TreeModel):
-        bundle.model.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+    if isinstance(bundle.model, (TreeModel, JointModel)):
+        bundle.model.table(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/{_TABLES[bundle.kind]}")
     else:
         PipelineModel(stages=[bundle.model]).write().overwrite().save(f"{path}/model")
     for name, rows, schema in (
@@ -57,10 +59,13 @@ def load_bundle(path: str, spark: SparkSession) -> ModelBundle:
         {r.feature: r.lowest for r in features if r.log2_offset is not None},
     )
     kind = spark.read.parquet(f"{path}/kind").first()["kind"]
-    trees = kind != "latent"
+    if kind == "latent":
+        model = PipelineModel.load(f"{path}/model").stages[0]
+    else:
+        model = (JointModel if kind == "joint" else TreeModel).from_table(spark.read.parquet(f"{path}/{_TABLES[kind]}"))
     return ModelBundle(
         kind,
-        TreeModel.from_table(spark.read.parquet(f"{path}/trees")) if trees else PipelineModel.load(f"{path}/model").stages[0],
+        model,
         prep,
         [r["class"] for r in classes],
         {r["class"]: r.weight for r in classes if r.weight is not None},

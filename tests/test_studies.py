@@ -132,6 +132,31 @@ def test_latent_study(samples, task):
     assert ("class_shap_ranking" in tables) == (task == "type")
 
 
+@pytest.mark.parametrize("task, scope", [("binary", "all"), ("type", "all"), ("type", "train")])
+def test_joint_study(spark, samples, task, scope, tmp_path):
+    study = run_latent(samples, task, k=2, iterations=3, background_rows=2, explained_rows=2, fit_scope=scope, model="joint", attribution="kernel")
+    tables, d = study.tables, len(study.bundle.preprocessing.features)
+    assert all(len(r["z"]) == 8 for r in tables["oof"].select("z").take(5))
+    curves = tables["loss_curves"].collect()
+    weight = 20.0 if task == "binary" else 200.0
+    assert {(r["fold"], r["epoch"]) for r in curves} == {(f, e) for f in (0, 1) for e in range(3)}
+    assert all(r["loss"] == pytest.approx(r["recon"] + 5 * r["kl"] + weight * r["cls"]) for r in curves)
+    assert study.bundle.model.settings.lambda_class == 20.0
+    assert tables["attributions"].count() == 2 * d * (1 if task == "binary" else 3)
+    if scope == "all":
+        score = scoring.score_risk if task == "binary" else scoring.score_types
+        save_bundle(study.bundle, str(tmp_path / "bundle"), spark)
+        before, after = (score(samples, b).orderBy("row_id").collect() for b in (study.bundle, load_bundle(str(tmp_path / "bundle"), spark)))
+        assert before == after and len(before) == samples.count()
+    study.release()
+
+
+def test_unknown_latent_models(samples):
+    for wrong in ({"model": "deep"}, {"attribution": "tree"}):
+        with pytest.raises(ValueError):
+            run_latent(samples, **wrong)
+
+
 def test_scale_fitted_per_fold_differs_from_whole(samples):
     whole = prepare_cohort(samples, "binary", k=2)
     per_fold = prepare_cohort(samples, "binary", k=2, fit_scope="train")
