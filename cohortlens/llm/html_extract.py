@@ -1,34 +1,44 @@
 """Main text of pages by wrappers: the union-free regular expression that the pages of a host share.
 
-A page becomes a tree of elements (its markup) and text slots. Pages of one host are aligned
-iteratively, level by level: elements that match are merged, elements that only one side has become
-optional, neighbours that repeat (alone or in groups of two or three) become one repeated part, and
-texts become slots that know how much text they held, how much of it in links, and whether it was
-the same on every page. The result is the host's wrapper. Alignment runs as partial aggregation:
-pages with the same shape are counted together in their task, shapes are merged per host and hash
-group, and the groups' wrappers per host, so a host with a third of all pages is spread.
+A page becomes a tree of elements (its markup) and texts. Blocks of text that stand on most pages of
+a host (``SHARE`` of them, of at least ``SEVERAL`` pages) are counted first: they are literals of the
+expression, all other texts are slots. Pages of one host are then aligned iteratively, level by level,
+with the literals as anchors: an element whose texts are all literal matches only the same one.
+Elements that match are merged, elements that only one side has become optional, neighbours that
+repeat (alone or in groups of two or three) become one repeated part; a literal is never folded into
+what varies. Slots know how much text they held. The result is the host's wrapper. Alignment runs as
+partial aggregation: pages with the same shape are counted together in their task, and wrappers are
+merged in a tree of ``FAN`` at a time whose height follows the number of shapes, so a host with a
+third of all pages is spread.
 
 A wrapper marks the parts that hold the main text: the article (or main) elements without what their
 tags, roles and class names call menus, headers, footers, sidebars, notices, adverts, forms, scripts
-or comments; where no element is named so, the deepest element that holds most of the text, without
-parts that are mostly links or the same on all pages. The text of a page is read through the wrapper
-of its host; a page in which the wrapper finds nothing is read through a wrapper of its own.
+or comments. Where no element is named so, the slots decide: the deepest element that holds most of
+the varying text outside links, without parts that are mostly links, and without literals. Inside an
+element that calls itself the article literals stay: there a sentence that many pages share is text.
+The text of a page is read through the wrapper of its host; a page in which the wrapper finds nothing
+is read through a wrapper of its own.
 
 Text: character references are decoded, white space inside a block becomes one space, ends are
 trimmed, and blocks are joined in page order by a line feed. ``br`` and inline elements do not end a
 block. Nothing else is dropped or cut.
 
 Defined results: null markup is empty and gives the empty text; null addresses form one host; markup
-that is cut off or not closed is read as far as it goes; rows that repeat give the same text each;
-an empty table gives no rows; columns other than the key, address and markup are ignored.
+that is cut off or not closed is read as far as it goes, in time in proportion to its length;
+elements below ``LEVELS`` levels belong, in wrappers, to the last of them; rows that repeat give the
+same text each; an empty table gives no rows; columns other than the key, address and markup are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
+import math
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,8 +48,12 @@ from pyspark.sql import functions as F
 
 from cohortlens.llm.common import staged
 
-#: Shapes a task holds before it hands them on; groups a host's shapes are merged in first.
-SHAPES, SALTS = 2_000, 16
+#: Shapes (and block counts) a task holds before it hands them on; shapes or wrappers merged at a time.
+SHAPES, COUNTS, FAN = 2_000, 200_000, 64
+#: A block that stands on this share of a host's pages, of at least so many, is a literal of its wrapper.
+SHARE, SEVERAL = 0.8, 5
+#: Cells up to which two sequences are aligned by the exact table of common subsequences.
+CELLS = 250_000
 #: Levels of elements a wrapper tells apart; what lies deeper belongs to the last of them.
 LEVELS = 100
 
@@ -76,6 +90,8 @@ ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(?:\"
 DIGITS = re.compile(r"\d+")
 WORDS = re.compile(r"[a-z]+")
 TEXT = "#text"
+#: Stands between the symbol of a node and the digest of its literal text.
+LITERAL = "\x1f"
 
 
 def events(markup: str) -> Iterator[tuple[str, str, str]]:
@@ -84,6 +100,21 @@ def events(markup: str) -> Iterator[tuple[str, str, str]]:
     Elements that end others implicitly are closed, raw elements lose their content.
     """
     at, size, stack = 0, len(markup), []
+    # Depths of the open elements by tag, and of those that are not inline: no search through the stack.
+    places: dict[str, list[int]] = {}
+    blocks: list[int] = []
+
+    def close(back: int) -> Iterator[tuple[str, str, str]]:
+        for depth in range(len(stack) - 1, back - 1, -1):
+            open_tag = stack.pop()
+            places[open_tag].pop()
+            if blocks and blocks[-1] == depth:
+                blocks.pop()
+            yield "close", open_tag, ""
+
+    def nearest(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=-1)
+
     while at < size:
         found = TOKEN.search(markup, at)
         if found is None:
@@ -97,37 +128,22 @@ def events(markup: str) -> Iterator[tuple[str, str, str]]:
             continue
         tag, ending = tag.lower(), found[1] or found[4]
         if ending:
-            if tag == "p" and "p" not in stack:
-                continue
-            if tag in stack:
-                # An inline end tag does not reach across the block around it.
-                back = len(stack) - 1 - stack[::-1].index(tag)
-                if tag in INLINE and any(t not in INLINE for t in stack[back + 1 :]):
-                    continue
-                for open_tag in reversed(stack[back:]):
-                    yield "close", open_tag, ""
-                del stack[back:]
+            back = nearest((tag,))
+            # An inline end tag does not reach across the block around it.
+            if back >= 0 and not (tag in INLINE and blocks and blocks[-1] > back):
+                yield from close(back)
             continue
-        if tag in CLOSES_P and "p" in stack:
-            back = len(stack) - 1 - stack[::-1].index("p")
-            if all(t in INLINE or t == "p" for t in stack[back:]):
-                for open_tag in reversed(stack[back:]):
-                    yield "close", open_tag, ""
-                del stack[back:]
+        if tag in CLOSES_P and blocks and stack[blocks[-1]] == "p":
+            yield from close(blocks[-1])
         elif tag in SIBLINGS:
             same, bounds = SIBLINGS[tag]
-            for back in range(len(stack) - 1, -1, -1):
-                if stack[back] in bounds:
-                    break
-                if stack[back] in same:
-                    for open_tag in reversed(stack[back:]):
-                        yield "close", open_tag, ""
-                    del stack[back:]
-                    break
+            back = nearest(same)
+            if back > nearest(bounds - same):
+                yield from close(back)
         rest = found[3] or found[6] or ""
         symbol = tag
         if "=" in rest and (named := ATTRIBUTE.findall(rest)):
-            symbol = " ".join([tag, *sorted(f"{n.lower()}={DIGITS.sub('0', (a or b or c).lower())}" for n, a, b, c in named)])
+            symbol = " ".join([tag, *sorted(f"{n.lower()}={DIGITS.sub('0', (a or b or c).lower())}" for n, a, b, c in named)]).replace(LITERAL, " ")
         if tag in RAW:
             if not rest.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(markup, at)
@@ -137,9 +153,40 @@ def events(markup: str) -> Iterator[tuple[str, str, str]]:
         if tag in VOID:
             yield "close", tag, ""
         else:
+            if tag not in INLINE:
+                blocks.append(len(stack))
+            places.setdefault(tag, []).append(len(stack))
             stack.append(tag)
-    for tag in reversed(stack):
-        yield "close", tag, ""
+    yield from close(0)
+
+
+def normal(text: str) -> str:
+    """A block's text: references decoded, white space as one space."""
+    return " ".join(html.unescape(text).split())
+
+
+def block_digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def block_digests(markup: str) -> set[int]:
+    """Digests of the texts of a page's blocks."""
+    found, current = set(), []
+    for kind, name, _ in events(markup):
+        if kind == "text":
+            current.append(name)
+        elif name == "br":
+            current.append(" ")
+        elif name not in INLINE and current:
+            found.add(normal("".join(current)))
+            current = []
+    found.add(normal("".join(current)))
+    return {block_digest(t) for t in found if t}
+
+
+def plain(symbol: str) -> str:
+    """The symbol without the digest of its literal text."""
+    return symbol.partition(LITERAL)[0]
 
 
 # A wrapper node is [symbol, repeated, optional, children, statistics]; the statistics of a text slot
@@ -152,9 +199,9 @@ def _node(symbol: str) -> list:
 
 def merge(a: list, b: list) -> list:
     """The node that matches whatever ``a`` or ``b`` match (same symbol)."""
-    if a[0] == TEXT:
+    if plain(a[0]) == TEXT:
         x, y = a[4], b[4]
-        return [TEXT, a[1] or b[1], a[2] or b[2], [], [x[0] + y[0], x[1] + y[1], min(x[2], y[2]), max(x[3], y[3])]]
+        return [a[0], a[1] or b[1], a[2] or b[2], [], [x[0] + y[0], x[1] + y[1], min(x[2], y[2]), max(x[3], y[3])]]
     return [a[0], a[1] or b[1], a[2] or b[2], align(a[3], b[3]), None]
 
 
@@ -162,23 +209,92 @@ def align(x: list, y: list) -> list:
     """Children that match either sequence: common ones merged, others optional, repeats folded."""
     if [n[0] for n in x] == [n[0] for n in y]:
         return [merge(a, b) for a, b in zip(x, y)]
+    out, i, j = [], 0, 0
+    for k, m in [*matched([n[0] for n in x], [n[0] for n in y]), (len(x), len(y))]:
+        out += [[*n[:2], True, *n[3:]] for n in (*x[i:k], *y[j:m])]
+        if k < len(x):
+            out.append(merge(x[k], y[m]))
+        i, j = k + 1, m + 1
+    return folded(out)
+
+
+def matched(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence: equal ends, then symbols that either side has once as anchors, then the parts between.
+
+    Between anchors the longest one is taken from a table of at most ``CELLS`` cells; in longer parts
+    the n-th occurrences of a symbol are matched, as many as keep their order.
+    """
+    out: list[tuple[int, int]] = []
+    parts = [(0, len(x), 0, len(y), True)]
+    while parts:
+        i, k, j, m, anchors = parts.pop()
+        while i < k and j < m and x[i] == y[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        while i < k and j < m and x[k - 1] == y[m - 1]:
+            k, m = k - 1, m - 1
+            out.append((k, m))
+        if i == k or j == m:
+            continue
+        if anchors:
+            once = [{s: at for at, s in enumerate(z[a:b], a) if n[s] == 1} for z, a, b in ((x, i, k), (y, j, m)) for n in [Counter(z[a:b])]]
+            chain = _rising([(at, once[1][s]) for s, at in once[0].items() if s in once[1]])
+            if chain:
+                out += chain
+                ends = [(i - 1, j - 1), *chain, (k, m)]
+                parts += [(a + 1, c, b + 1, d, True) for (a, b), (c, d) in zip(ends, ends[1:])]
+                continue
+        if (k - i) * (m - j) <= CELLS:
+            out += [(i + a, j + b) for a, b in _longest(x[i:k], y[j:m])]
+        else:
+            numbered = []
+            for z, a, b in ((x, i, k), (y, j, m)):
+                seen: Counter = Counter()
+                places = {}
+                for at in range(a, b):
+                    places[z[at], seen[z[at]]] = at
+                    seen[z[at]] += 1
+                numbered.append(places)
+            out += _rising([(at, numbered[1][s]) for s, at in numbered[0].items() if s in numbered[1]])
+    return sorted(out)
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of pairs whose second places rise; the first ones do already."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for n, (_, place) in enumerate(pairs):
+        at = bisect_left(ends, place)
+        before[n] = last[at - 1] if at else -1
+        if at == len(ends):
+            ends.append(place)
+            last.append(n)
+        else:
+            ends[at], last[at] = place, n
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def _longest(x: list[str], y: list[str]) -> list[tuple[int, int]]:
     n, m = len(x), len(y)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and x[i][0] == y[j][0]:
-            out.append(merge(x[i], y[j]))
+    while i < n and j < m:
+        if x[i] == y[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append([*x[i][:2], True, *x[i][3:]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([*y[j][:2], True, *y[j][3:]])
             j += 1
-    return folded(out)
+    return out
 
 
 def folded(children: list) -> list:
@@ -203,21 +319,56 @@ def folded(children: list) -> list:
     return out
 
 
-def page_tree(markup: str) -> list:
-    """The wrapper of one page."""
+def page_tree(markup: str, literals: frozenset | set = frozenset()) -> list:
+    """The wrapper of one page; ``literals`` are digests of blocks that are the same on the host's pages."""
     root = _node("#page")
-    stack = [root]
+    stack, texts, current = [root], [], []
+    # Of each open block: whether a text of its own varies, and the digests of its literal ones.
+    held: list[list] = [[False, []]]
+
+    def flush() -> None:
+        text = normal("".join(current)) if current else ""
+        if text:
+            digest = block_digest(text)
+            if digest in literals:
+                held[-1][1].append(digest)
+                for slot in texts:
+                    slot[0] = f"{TEXT}{LITERAL}{digest}"
+            else:
+                held[-1][0] = True
+        current.clear()
+        texts.clear()
+
     for kind, name, symbol in events(markup):
+        if kind == "text":
+            current.append(name)
+            if not name.isspace():
+                size, digest = len(name), zlib.crc32(name.encode("utf-8", "surrogatepass"))
+                slot = [TEXT, False, False, [], [1, size, digest, digest]]
+                texts.append(slot)
+                stack[-1][3].append(slot)
+            continue
+        block = name not in INLINE
+        if name == "br":
+            current.append(" ")
+        elif block:
+            flush()
         if kind == "open":
             stack.append(_node(symbol) if len(stack) < LEVELS else stack[-1])
-        elif kind == "close":
-            node = stack.pop()
-            if node is not stack[-1]:
-                node[3] = folded(node[3])
-                stack[-1][3].append(node)
-        elif not name.isspace():
-            size, digest = len(name), zlib.crc32(name.encode("utf-8", "surrogatepass"))
-            stack[-1][3].append([TEXT, False, False, [], [1, size, digest, digest]])
+            if block:
+                held.append([False, []])
+            continue
+        varies, same = held.pop() if block else (True, [])
+        if block:
+            held[-1][0] = held[-1][0] or varies
+            held[-1][1] += same
+        node = stack.pop()
+        if node is not stack[-1]:
+            node[3] = folded(node[3])
+            if same and not varies:
+                node[0] += f"{LITERAL}{block_digest(str(same))}"
+            stack[-1][3].append(node)
+    flush()
     root[3] = folded(root[3])
     return root
 
@@ -229,18 +380,18 @@ def shape(node: list) -> list:
 
 def slots(node: list) -> list[list]:
     """Statistics of the text slots in page order."""
-    return [node[4]] if node[0] == TEXT else [s for c in node[3] for s in slots(c)]
+    return [node[4]] if plain(node[0]) == TEXT else [s for c in node[3] for s in slots(c)]
 
 
 def filled(form: list, stats: Iterator[list]) -> list:
     """The wrapper of a shape and the statistics of its slots."""
     children = [filled(c, stats) for c in form[3]]
-    return [form[0], form[1], form[2], children, list(next(stats)) if form[0] == TEXT else None]
+    return [form[0], form[1], form[2], children, list(next(stats)) if plain(form[0]) == TEXT else None]
 
 
 def skipped(symbol: str, inside_main: bool = False) -> bool:
     """Whether tag, role, class or id name something that is not main text."""
-    tag, *names = symbol.split(" ")
+    tag, *names = plain(symbol).split(" ")
     if tag in SKIP_TAGS or (tag == "header" and not inside_main):
         return True
     for word in " ".join(names).split(" "):
@@ -254,24 +405,25 @@ def skipped(symbol: str, inside_main: bool = False) -> bool:
 
 def _weights(node: list, in_link: bool = False) -> tuple[float, float, float]:
     """Code points of text, of them in links, and of them the same on all of several pages."""
-    if node[0] == TEXT:
+    if plain(node[0]) == TEXT:
         pages, size, low, high = node[4]
-        return size, size * in_link, size * (pages >= 5 and low == high)
+        return size, size * in_link, size * (LITERAL in node[0] or pages >= SEVERAL and low == high)
     total = [0.0, 0.0, 0.0]
     for child in node[3]:
         if not skipped(child[0]):
-            for i, value in enumerate(_weights(child, in_link or child[0].split(" ")[0] == "a")):
+            for i, value in enumerate(_weights(child, in_link or plain(child[0]).split(" ")[0] == "a")):
                 total[i] += value
     return total[0], total[1], total[2]
 
 
 def _container(symbol: str) -> bool:
     """Whether an element holds blocks rather than the text of one."""
-    tag = symbol.split(" ")[0]
+    tag = plain(symbol).split(" ")[0]
     return tag not in INLINE and tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "tr", "td", "th", "dt", "dd", "pre", "blockquote", TEXT)
 
 
 def _is_main(symbol: str) -> bool:
+    symbol = plain(symbol)
     return symbol.split(" ")[0] in MAIN_TAGS or " role=main" in symbol or " itemprop=articlebody" in symbol
 
 
@@ -300,7 +452,7 @@ def marks(wrapper: list) -> list:
     path: tuple[int, ...] = ()
     while True:
         node = at(path)
-        good = [(w[0] - w[1] - w[2], i) for i, c in enumerate(node[3]) if c[0] != TEXT and not skipped(c[0]) for w in [_weights(c)]]
+        good = [(w[0] - w[1] - w[2], i) for i, c in enumerate(node[3]) if plain(c[0]) != TEXT and not skipped(c[0]) for w in [_weights(c)]]
         total = _weights(node)
         top = max(good, default=(0, 0))
         child = node[3][top[1]] if good else None
@@ -325,7 +477,7 @@ def _marked(node: list, chosen: set, path: tuple[int, ...], named: bool, inside:
         size, links, same = _weights(node)
         if size and _container(node[0]) and (links > 0.5 * size or same == size):
             mark = -1
-    return [node[0], mark, [_marked(c, chosen, (*path, i), named, inside) for i, c in enumerate(node[3]) if c[0] != TEXT]]
+    return [node[0], mark, [_marked(c, chosen, (*path, i), named, inside) for i, c in enumerate(node[3]) if plain(c[0]) != TEXT]]
 
 
 def compiled(marked: list) -> dict:
@@ -333,12 +485,12 @@ def compiled(marked: list) -> dict:
     out: dict = {}
     for symbol, mark, children in marked[2]:
         for one in children if symbol.startswith("#group") else [[symbol, mark, children]]:
-            inner = compiled(one)
-            if one[0] in out:  # the same element elsewhere under this one
-                before, known = out[one[0]]
-                out[one[0]] = (max(before, one[1], key=lambda m: (m == 1, m == 0)), _joined(known, inner))
+            inner, name = compiled(one), plain(one[0])
+            if name in out:  # the same element elsewhere under this one
+                before, known = out[name]
+                out[name] = (max(before, one[1], key=lambda m: (m == 1, m == 0)), _joined(known, inner))
             else:
-                out[one[0]] = (one[1], inner)
+                out[name] = (one[1], inner)
     return out
 
 
@@ -352,8 +504,11 @@ def _joined(a: dict, b: dict) -> dict:
     return out
 
 
-def read_through(markup: str, table: dict, whole: bool) -> str:
-    """Text of the parts of a page that a compiled wrapper marks; ``whole``: the page itself is such a part."""
+def read_through(markup: str, table: dict, whole: bool, literals: frozenset | set = frozenset()) -> str:
+    """Text of the parts of a page that a compiled wrapper marks, without blocks that are its literals.
+
+    ``whole``: the page itself is such a part.
+    """
     blocks, current = [], []
     stack = [(table, whole, False)]  # look-up, inside main text, inside something skipped
     for kind, name, symbol in events(markup):
@@ -378,14 +533,14 @@ def read_through(markup: str, table: dict, whole: bool) -> str:
             blocks.append("".join(current))
             current = []
     blocks.append("".join(current))
-    texts = (" ".join(html.unescape(b).split()) for b in blocks)
-    return "\n".join(t for t in texts if t)
+    texts = (normal(b) for b in blocks)
+    return "\n".join(t for t in texts if t and not (literals and block_digest(t) in literals))
 
 
-def main_text(markup: str, table: dict | None, whole: bool) -> str:
+def main_text(markup: str, table: dict | None, whole: bool, literals: frozenset | set = frozenset()) -> str:
     if not markup or markup.isspace():
         return ""
-    text = read_through(markup, table, whole) if table is not None else ""
+    text = read_through(markup, table, whole, literals) if table is not None else ""
     if text:
         return text
     own = marks(page_tree(markup))
@@ -397,88 +552,133 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "://([^/?#]*)", 1))
 
 
+def literals(pages: DataFrame) -> DataFrame:
+    """``host`` and ``literals``: digests of the blocks that stand on ``SHARE`` of its pages, if these are ``SEVERAL``.
+
+    Pages are counted per host and block, added up in the task first; a host has at most
+    ``1 / SHARE`` times as many literals as its pages have blocks on average.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter = Counter()
+
+        def packed() -> pa.RecordBatch:
+            columns = [[h for h, _ in held], [b for _, b in held], list(held.values())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.int64()])], ["host", "block", "n"])
+
+        for batch in batches:
+            for host, markup in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held[host, None] += 1
+                held.update((host, b) for b in block_digests(markup.as_py() or ""))
+                if len(held) > COUNTS:
+                    yield packed()
+                    held.clear()
+        if held:
+            yield packed()
+
+    counts = pages.select("host", "markup").mapInArrow(count, "host string, block long, n long")
+    found = staged(counts.groupBy("host", "block").agg(F.sum("n").alias("n")).where(F.col("block").isNull() | (F.col("n") >= SHARE * SEVERAL)), "blocks")
+    sizes = found.where(F.col("block").isNull() & (F.col("n") >= SEVERAL)).select("host", F.col("n").alias("pages"))
+    common = found.where("block is not null").join(sizes, "host").where(F.col("n") >= SHARE * F.col("pages"))
+    return common.groupBy("host").agg(F.sort_array(F.collect_list("block")).alias("literals"))
+
+
+_SLOTS = pa.list_(pa.list_(pa.int64()))
+
+
 def _shapes(pages: DataFrame) -> DataFrame:
-    """``host``, ``shape`` and per text slot the summed statistics, by task."""
+    """``host``, ``shape`` and the statistics of its text slots, added up in the task."""
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["host", "shape", "slot", "pages", "size", "low", "high"]
         held: dict[tuple[str, str], list[list]] = {}
 
         def packed() -> pa.RecordBatch:
-            rows = [(h, s, i, *st) for (h, s), stats in held.items() for i, st in enumerate(stats or [[1, 0, 0, 0]])]
-            types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            columns = [[h for h, _ in held], [s for _, s in held], list(held.values())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.string(), _SLOTS])], ["host", "wrapper", "slots"])
 
         for batch in batches:
-            for host, markup in zip(batch.column(0).to_pylist(), batch.column(1)):
-                tree = page_tree(markup.as_py() or "")
+            for host, markup, known in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                tree = page_tree(markup.as_py() or "", frozenset(known.as_py() or ()))
                 key, stats = (host, json.dumps(shape(tree), separators=(",", ":"))), slots(tree)
-                known = held.get(key)
-                if known is None:
+                known_stats = held.get(key)
+                if known_stats is None:
                     held[key] = stats
                 else:
-                    for a, b in zip(known, stats):
-                        a[0] += b[0]
-                        a[1] += b[1]
-                        a[2] = min(a[2], b[2])
-                        a[3] = max(a[3], b[3])
+                    for a, b in zip(known_stats, stats):
+                        a[:] = [a[0] + b[0], a[1] + b[1], min(a[2], b[2]), max(a[3], b[3])]
             if len(held) > SHAPES:
                 yield packed()
                 held = {}
         if held:
             yield packed()
 
-    schema = "host string, shape string, slot int, pages long, size long, low long, high long"
-    return pages.select("host", "markup").mapInArrow(learn, schema)
+    return pages.select("host", "markup", "literals").mapInArrow(learn, "host string, wrapper string, slots array<array<bigint>>")
 
 
-def _merge_shapes(rows: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+def _merged(rows: pd.DataFrame) -> pd.DataFrame:
+    """One wrapper of all in a group, in an order that does not depend on how they arrive."""
+    pairs = sorted((text, [list(map(int, s)) for s in stats]) for text, stats in zip(rows["wrapper"], rows["slots"]))
     wrapper = None
-    for form, part in rows.sort_values(["shape", "slot"]).groupby("shape", sort=True):
-        stats = part[["pages", "size", "low", "high"]].to_numpy().tolist()
-        node = filled(json.loads(form), iter(stats))
+    for text, stats in pairs:
+        node = filled(json.loads(text), iter(stats))
         wrapper = node if wrapper is None else merge(wrapper, node)
-    return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "wrapper": [json.dumps(wrapper, separators=(",", ":"))]})
-
-
-def wrappers(pages: DataFrame) -> DataFrame:
-    """``host`` and ``marks`` (the marked wrapper as JSON) from all pages (columns ``host`` and ``markup``)."""
-    slot = ["host", "shape", "slot"]
-    found = _shapes(pages).groupBy(*slot).agg(F.sum("pages").alias("pages"), F.sum("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"))
-    found = found.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).cast("int"))
-    partly = found.groupBy("host", "salt").applyInPandas(lambda rows: _merge_shapes(rows, ["host", "salt"]), "host string, salt int, wrapper string")
-
-    def finish(rows: pd.DataFrame) -> pd.DataFrame:
-        wrapper = None
-        for text in rows.sort_values("salt")["wrapper"]:
-            wrapper = json.loads(text) if wrapper is None else merge(wrapper, json.loads(text))
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "marks": [json.dumps(marks(wrapper), separators=(",", ":"))]})
+    text = json.dumps(shape(wrapper), separators=(",", ":"))
+    return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [text], "slots": [slots(wrapper)]})
+
+
+def wrappers(pages: DataFrame, known: DataFrame) -> DataFrame:
+    """``host`` and ``marks``: the marked wrapper and its literals as JSON, from all pages (``host``, ``markup``)."""
+    found = staged(_shapes(pages.join(known, "host", "left")), "shapes")
+    schema = found.schema
+    most = found.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    while most > FAN:
+        groups = math.ceil(most / FAN)
+        spread = found.withColumn("group", F.pmod(F.xxhash64("wrapper", "slots"), F.lit(groups)))
+        merged = spread.groupBy("host", "group").applyInPandas(lambda rows: _merged(rows[["host", "wrapper", "slots"]]), schema)
+        # A level is written before the next one merges it: its results are read, not made again.
+        found, most = staged(merged, "wrappers"), groups
+    one = found.groupBy("host").applyInPandas(_merged, schema).join(known, "host", "left")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, stats, known in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                wrapper = filled(json.loads(text), iter(stats))
+                named: list = []
+                _named(wrapper, named)
+                out.append(json.dumps([marks(wrapper), [] if named else known or []], separators=(",", ":")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["host", "marks"])
 
-    return partly.groupBy("host").applyInPandas(finish, "host string, marks string")
+    return one.select("host", "wrapper", "slots", "literals").mapInArrow(finish, "host string, marks string")
 
 
 def _extract(markup: pa.Array, marked: pa.Array) -> pa.Array:
-    tables: dict[str, tuple[dict, bool]] = {}
+    tables: dict[str, tuple[dict, bool, frozenset]] = {}
     out = []
     for page, text in zip(markup, marked):
         text = text.as_py()
         if text is not None and text not in tables:
-            form = json.loads(text)
-            tables[text] = (compiled(form), form[1] == 1)
-        table, whole = tables[text] if text is not None else (None, False)
-        out.append(main_text(page.as_py() or "", table, whole))
+            form, known = json.loads(text)
+            tables[text] = (compiled(form), form[1] == 1, frozenset(known))
+        out.append(main_text(page.as_py() or "", *(tables[text] if text is not None else (None, False))))
     return pa.array(out, pa.string())
 
 
-def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, key: str = "page_id", url: str = "url", markup: str = "html", aligned: bool = True) -> DataFrame:
     """``key``, ``url``, ``text`` and ``n_chars`` of every row.
 
     The wrappers, one row a host, are written first: their size is then known, and the join ships
     them to the pages only if they are small; else both sides are shuffled and hot hosts split.
+    ``aligned=False`` reads every page through a wrapper of its own, to see what the host's tell.
     """
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(markup).alias("markup"), host_of(F.col(url)).alias("host"))
-    known = staged(wrappers(rows), "wrappers")
+    if aligned:
+        known = staged(literals(rows), "literals")
+        marked = staged(wrappers(rows, known), "wrappers")
+        rows = rows.join(marked, "host", "left")
+    else:
+        rows = rows.withColumn("marks", F.lit(None).cast("string"))
     _extract.__annotations__ = {"markup": pa.Array, "marked": pa.Array, "return": pa.Array}
     text = F.arrow_udf(_extract, "string")("markup", "marks")
-    found = rows.join(known, "host", "left").select(F.col("k").alias(key), F.col("u").alias(url), text.alias("text"))
+    found = rows.select(F.col("k").alias(key), F.col("u").alias(url), text.alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

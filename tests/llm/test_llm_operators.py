@@ -497,6 +497,72 @@ def test_wrapper_folds_repeats_and_options():
     assert [(n[0], n[1]) for n in pairs[3][0][3]] == [("#group dt | dd", True)]
 
 
+def unnamed(i):
+    """A page whose elements have no telling names: the lines around the text are the same on every page."""
+    body = "".join(f"<div>Sentence {j} of page {i} tells of thing {i * 7 + j} at length.</div>" for j in range(2 + i % 4))
+    return f"<html><body><div>Welcome to our house</div><div><a href=/{i}>Back</a> to start</div><div>{body}</div><div>Since 1990 and so on, in our care</div></body></html>"
+
+
+def body_of(i):
+    return "\n".join(f"Sentence {j} of page {i} tells of thing {i * 7 + j} at length." for j in range(2 + i % 4))
+
+
+@pytest.mark.parametrize("fan", [64, 2])
+def test_wrappers_decide_where_nothing_is_named(spark, monkeypatch, fan):
+    """Lines that the host's pages share go, flat or nested, whatever their number of parts; alone no page could tell."""
+    monkeypatch.setattr(html_extract, "FAN", fan)
+    pages = [(i, f"http://a.example/{i}", unnamed(i)) for i in range(40)]
+    flat = "<div>Welcome to our house</div><div>Only text {0} of this page.</div><div>All rights are kept</div>"
+    pages += [(100 + i, f"http://b.example/{i}", flat.format(i)) for i in range(40)]
+    pages += [(200 + i, f"http://c.example/{i}", "<div>The same text</div><div>on every page</div>") for i in range(9)]
+    pages += [(300 + i, f"http://d.example/{i}", flat.format(i)) for i in range(4)]
+    article = "<div>Welcome</div><article><h1>Notes</h1><p>Shared words.</p><p>Own words {0}.</p></article>"
+    pages += [(400 + i, f"http://e.example/{i}", article.format(i)) for i in range(12)]
+    data = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(7)
+    found = {r.page_id: r.text for r in html_extract.extract_main_text(data).collect()}
+    assert len(found) == len(pages)
+    assert all(found[i] == body_of(i) for i in range(40))
+    assert all(found[100 + i] == f"Only text {i} of this page." for i in range(40))
+    assert all(found[200 + i] == "The same text\non every page" for i in range(9))
+    assert all(found[300 + i] == f"Welcome to our house\nOnly text {i} of this page.\nAll rights are kept" for i in range(4))
+    assert all(found[400 + i] == f"Notes\nShared words.\nOwn words {i}." for i in range(12))
+    alone = {r.page_id: r.text for r in html_extract.extract_main_text(data, aligned=False).collect()}
+    assert all("Welcome" in alone[100 + i] for i in range(40)) and any(alone[i] != found[i] for i in range(40))
+
+
+def test_literals_are_anchors():
+    """A literal is never folded into what varies, and aligns with itself."""
+    known = {html_extract.block_digest(t) for t in ("Top", "End")}
+    one, two = (html_extract.page_tree("<div>Top</div>" + "".join(f"<div>{n} {i}</div>" for i in range(n)) + "<div>End</div>", known) for n in (3, 1))
+    wrapper = html_extract.merge(one, two)
+    assert [(html_extract.plain(n[0]), n[1], html_extract.LITERAL in n[0]) for n in wrapper[3]] == [("div", False, True), ("div", True, False), ("div", False, True)]
+
+
+symbols = st.lists(st.sampled_from("abcdefgh"), max_size=14)
+
+
+@settings(max_examples=200, deadline=None)
+@given(symbols, symbols, st.sampled_from([0, 10, 250_000]))
+def test_matched_places_form_a_common_subsequence(x, y, cells):
+    before, html_extract.CELLS = html_extract.CELLS, cells
+    try:
+        found = html_extract.matched(x, y)
+    finally:
+        html_extract.CELLS = before
+    assert all(x[i] == y[j] for i, j in found)
+    assert all(a < c and b < d for (a, b), (c, d) in zip(found, found[1:]))
+    assert bool(found) == bool(set(x) & set(y))
+
+
+def test_long_unclosed_pages_take_time_by_their_length():
+    from time import perf_counter
+
+    for markup in ("<div>" * 200_000 + "y", "<p><td>" + "<b>" * 100_000 + "<div>x</div>" * 50_000, "".join(f"<c{i}>t</c{i}>" for i in range(60_000))):
+        begun = perf_counter()
+        assert html_extract.main_text(markup, None, False)
+        assert perf_counter() - begun < 5
+
+
 spelled = st.lists(st.text(alphabet="abé", min_size=6, max_size=9), min_size=1, max_size=40, unique=True)
 
 
