@@ -18,7 +18,7 @@ from cohortlens.bindings.registry import query, rounded, table
 from cohortlens.bindings.views import MARKER, N_SUMS
 from cohortlens.bindings.views import assay_cohort as assay_view
 from cohortlens.functions import vectors
-from cohortlens.operators import boosting, clean, curves, explain, folds, joint, latent, models, scoring
+from cohortlens.operators import boosting, clean, curves, explain, folds, joint, latent, models, neighbours, scoring
 from cohortlens.operators.preprocess import fit_preprocessing
 from cohortlens.plans.binary import run_binary
 from cohortlens.plans.common import FIT_TASK_ROWS, prepare_cohort, validate
@@ -340,6 +340,15 @@ def project_2d_axes(spark, sf):
     return rounded(found, ["correlation", "first", "second"])
 
 
+@query("neighbour_map", "select vec_id as row_id, label, true as placed, true as spread from embeddings")
+def neighbour_map(spark, sf):
+    """Every vector has a place and the map is not one point; how well it keeps neighbours is tested on planted groups."""
+    mapped = stage(neighbours.neighbour_map(table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), "label", F.col("embedding").alias("z"))), "map")
+    wide = mapped.agg((F.least(F.stddev_samp("x"), F.stddev_samp("y")) > 0.1).alias("spread"))
+    placed = (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    return mapped.select("row_id", "label", placed.alias("placed")).withColumn("spread", wide.scalar())
+
+
 @query(
     "reconstruct",
     """select vec_id as row_id, round(list_sum(list_transform(embedding, lambda v: v::double * v::double)), 6) as energy

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions import vectors
-from cohortlens.operators import clean, coalitions, evaluate, explain, folds, joint, latent, models, profile, ranking
+from cohortlens.operators import clean, coalitions, evaluate, explain, folds, joint, latent, models, neighbours, profile, ranking
 from cohortlens.plans.binary import binary_summary, binary_tables, sensitivity_tables
 from cohortlens.plans.common import Cohort, Study, prepare_cohort, validate
 from cohortlens.plans.types import type_summary, type_tables
@@ -99,15 +99,16 @@ def run_latent(
     bundle: bool = True,
     model: str = "linear",
     attribution: str = "orders",
+    layout: str = "linear",
 ) -> Study:
     """Cross-validate embedding and class head, report, explain the best fold, refit.
 
     ``model`` is ``linear`` (linear embedding beside a neural class head) or ``joint`` (encoder,
     decoder and class head under one loss; ``iterations`` are its epochs and ``loss_curves`` its four
-    losses); ``attribution`` is ``orders`` or ``kernel``.
+    losses); ``attribution`` is ``orders`` or ``kernel``; ``layout`` of the map is ``linear`` or ``neighbours``.
     """
-    if model not in ("linear", "joint") or attribution not in ("orders", "kernel"):
-        raise ValueError("model is 'linear' or 'joint', attribution 'orders' or 'kernel'")
+    if model not in ("linear", "joint") or attribution not in ("orders", "kernel") or layout not in ("linear", "neighbours"):
+        raise ValueError("model is 'linear' or 'joint', attribution 'orders' or 'kernel', layout 'linear' or 'neighbours'")
     source = samples if task == "binary" else clean.exclude_class(samples)
     with staged_paths() as staged:
         cohort = prepare_cohort(source, task, k, fit_scope=fit_scope, with_medians=bundle)
@@ -135,7 +136,7 @@ def run_latent(
             tables["preprocessed"] = cohort.scaled
             tables |= type_tables(cv.oof, cohort.classes)
             tables["fold_class_distribution"] = folds.fold_class_distribution(cohort.table, k=k)
-        tables["latent_map"] = models.project_2d(cv.oof.select("row_id", "label", "z"))
+        tables["latent_map"] = {"linear": models.project_2d, "neighbours": neighbours.neighbour_map}[layout](cv.oof.select("row_id", "label", "z"))
         if model == "joint":
             tables["loss_curves"] = joint.loss_curves(samples.sparkSession, fold_models)
             tables["loss_curve"] = tables["loss_curves"].select("fold", F.col("epoch").alias("iteration"), "loss")

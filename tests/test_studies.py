@@ -142,6 +142,7 @@ def test_joint_study(spark, samples, task, scope, tmp_path):
     assert {(r["fold"], r["epoch"]) for r in curves} == {(f, e) for f in (0, 1) for e in range(3)}
     assert all(r["loss"] == pytest.approx(r["recon"] + 5 * r["kl"] + weight * r["cls"]) for r in curves)
     assert study.bundle.model.settings.lambda_class == 20.0
+    assert tables["latent_map"].count() == tables["oof"].count()
     assert tables["attributions"].count() == 2 * d * (1 if task == "binary" else 3)
     if scope == "all":
         score = scoring.score_risk if task == "binary" else scoring.score_types
@@ -152,7 +153,7 @@ def test_joint_study(spark, samples, task, scope, tmp_path):
 
 
 def test_unknown_latent_models(samples):
-    for wrong in ({"model": "deep"}, {"attribution": "tree"}):
+    for wrong in ({"model": "deep"}, {"attribution": "tree"}, {"layout": "circle"}):
         with pytest.raises(ValueError):
             run_latent(samples, **wrong)
 
