@@ -7,7 +7,9 @@ all 48 tables with one of 1e-9. Every pair that meets is verified by its cosine
 and counted in the first table where it meets only.
 
 Exact copies are one vector with a weight before they are hashed. Buckets of one vector are dropped
-by a count. A larger bucket is cut into blocks of about ``block_rows`` vectors, and each pair of
+by a count, and of buckets with the same members, as near copies have them in many tables, the first
+table's stays: its pairs meet there or earlier. Members are node numbers; a vector and its buckets are
+joined to them as bytes once they are spread over units. A larger bucket is cut into blocks of about ``block_rows`` vectors, and each pair of
 blocks is one unit of work, so a bucket with a third of all vectors is spread over many tasks; of a
 unit only the number of links of each vector and a spanning forest leave the task, never its pairs.
 
@@ -27,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from cohortlens.llm.common import staged
 from cohortlens.llm.components import components
@@ -35,9 +38,9 @@ from cohortlens.llm.components import components
 UNIT_ROWS = 8_000
 
 
-def unit_vectors(values) -> np.ndarray:
+def unit_vectors(x: np.ndarray) -> np.ndarray:
     """Rows of length one in double precision; scaled first, so that squares cannot overflow."""
-    x = np.stack([np.asarray(v, np.float64) for v in values])
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -46,33 +49,49 @@ def planes(size: int, tables: int, bits: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, size]).normal(size=(size, tables * bits))
 
 
-def _codes(vectors: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
-    """``node`` and ``codes``, its bucket in each table."""
+def _kinds(bits: int, narrow: bool) -> tuple[np.dtype, np.dtype]:
+    """Numbers in which the bytes of vectors and of codes are kept; single precision only where the input has it."""
+    return np.dtype("<f4" if narrow else "<f8"), np.dtype("<u2" if bits <= 16 else "<i4")
+
+
+def _codes(vectors: DataFrame, tables: int, bits: int, seed: int, narrow: bool) -> DataFrame:
+    """``node``, ``codes`` (its bucket in each table), and the bytes of its vector and codes."""
+    of_vector, of_codes = _kinds(bits, narrow)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts: dict[int, np.ndarray] = {}
         powers = 1 << np.arange(bits)
         for batch in batches:
-            sizes = np.array([len(v) for v in batch.column(1)])
-            codes = np.zeros((batch.num_rows, tables), np.int64)
+            sizes = np.array([len(v) for v in batch.column(1)], int)
+            codes, blobs = np.zeros((batch.num_rows, tables), np.int64), [b""] * batch.num_rows
             for size in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == size)
                 if size not in cuts:
                     cuts[size] = planes(size, tables, bits, seed)
-                x = unit_vectors([batch.column(1)[i].as_py() for i in at.tolist()])
-                codes[at] = ((x @ cuts[size] > 0).reshape(len(at), tables, bits) * powers).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(codes.astype(np.int32)), pa.list_(pa.int32()))], ["node", "codes"])
+                raw = batch.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+                codes[at] = ((unit_vectors(raw) @ cuts[size] > 0).reshape(len(at), tables, bits) * powers).sum(axis=2)
+                for i, row in zip(at.tolist(), raw.astype(of_vector)):
+                    blobs[i] = row.tobytes()
+            packed = [row.tobytes() for row in codes.astype(of_codes)]
+            columns = [batch.column(0), pa.array(list(codes.astype(np.int32)), pa.list_(pa.int32())), pa.array(blobs, pa.binary()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "codes", "blob", "packed"])
+
+    return vectors.select("node", "vec").mapInArrow(sign, "node long, codes array<int>, blob binary, packed binary")
+
 
-    return vectors.select("node", "vec").mapInArrow(sign, "node long, codes array<int>")
+def _read(rows: pd.DataFrame, kinds: tuple[np.dtype, np.dtype]) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and codes of rows of one length."""
+    vectors, codes = (np.frombuffer(b"".join(rows[c]), kind).reshape(len(rows), -1) for c, kind in zip(("blob", "packed"), kinds))
+    return unit_vectors(vectors), codes
 
 
-def _linked(left: pd.DataFrame, right: pd.DataFrame | None, table: int, threshold: float):
+def _linked(left: pd.DataFrame, right: pd.DataFrame | None, table: int, threshold: float, kinds: tuple[np.dtype, np.dtype]):
     """Places of linked pairs (in the unit's rows) that do not share an earlier table."""
-    x, codes = unit_vectors(left["vec"]), np.stack(left["codes"])
+    x, codes = _read(left, kinds)
     if right is None:
         y, other, shift = x, codes, 0
     else:
-        y, other, shift = unit_vectors(right["vec"]), np.stack(right["codes"]), len(left)
+        (y, other), shift = _read(right, kinds), len(left)
     i, j = np.nonzero(x @ y.T >= threshold)
     if right is None:
         i, j = i[i < j], j[i < j]
@@ -97,7 +116,7 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
-def _link_units(members: DataFrame, threshold: float, groups: int) -> DataFrame:
+def _link_units(members: DataFrame, threshold: float, groups: int, kinds: tuple[np.dtype, np.dtype]) -> DataFrame:
     """Links of all units: rows (node, -1, number of linked rows) and rows (node, root, 0) of spanning forests."""
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
@@ -106,12 +125,12 @@ def _link_units(members: DataFrame, threshold: float, groups: int) -> DataFrame:
             if len(unit) < 2:
                 continue
             if a == b:
-                i, j = _linked(unit, None, table, threshold)
+                i, j = _linked(unit, None, table, threshold, kinds)
             else:
                 left, right = unit[unit["salt"] == a], unit[unit["salt"] == b]
                 if not len(left) or not len(right):
                     continue
-                i, j = _linked(left, right, table, threshold)
+                i, j = _linked(left, right, table, threshold, kinds)
                 unit = pd.concat([left, right])
             if not len(i):
                 continue
@@ -133,6 +152,7 @@ def embedding_groups(
     tables: int = 48, bits: int = 16, block_rows: int = 256, seed: int = 7,
 ) -> DataFrame:
     """``key``, ``n_links`` (other rows linked directly) and ``component_id`` (smallest key reachable) of every row."""
+    narrow = rows.schema[vector].dataType == ArrayType(FloatType(), rows.schema[vector].dataType.containsNull)
     vec = F.col(vector).cast("array<double>")
     finite = F.forall(vec, lambda v: F.coalesce((v > float("-inf")) & (v < float("inf")), F.lit(False))) & F.exists(vec, lambda v: v != 0)
     valid = F.coalesce(F.col(label).isNotNull() & finite, F.lit(False))
@@ -140,21 +160,26 @@ def embedding_groups(
     distinct = rows.where("valid").groupBy("label", "vec").agg(F.min("k").alias("least"), F.count("*").alias("weight"))
     # Written once, so that the numbers stay.
     distinct = staged(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
-    codes = staged(_codes(distinct, tables, bits, seed), "signs")
+    codes = staged(_codes(distinct, tables, bits, seed, narrow), "signs")
 
-    spread = codes.join(distinct.select("node", "label", F.size("vec").alias("size")), "node")
+    spread = codes.select("node", "codes").join(distinct.select("node", "label", F.size("vec").alias("size")), "node")
     bucket = ["label", "size", "tbl", "code"]
     spread = staged(spread.select("node", "label", "size", F.posexplode("codes").alias("tbl", "code")), "buckets")
-    counts = staged(spread.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
+    # Two digests tell sets of members apart; equal sets keep the first table.
+    digests = [F.bit_xor(F.xxhash64(F.col("node"), F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    counts = spread.groupBy(*bucket).agg(F.count("*").alias("n"), *digests).where("n > 1")
+    first = counts.groupBy("label", "size", "n", "x1", "x2").agg(F.min(F.struct("tbl", "code")).alias("at"))
+    counts = staged(first.select("label", "size", "at.tbl", "at.code", "n"), "bucket-sizes")
     members = spread.join(counts, bucket).withColumn("blocks", F.ceil(F.col("n") / block_rows).cast("int"))
     members = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("node", *bucket, "salt", F.least("salt", "other").alias("a"), F.greatest("salt", "other").alias("b"))
     work = counts.agg(F.sum(F.col("n") * F.ceil(F.col("n") / block_rows))).first()[0] or 0
-    members = members.join(codes, "node").join(distinct.select("node", "vec", "weight"), "node")
+    payload = codes.select("node", "blob", "packed").join(distinct.select("node", "weight"), "node")
+    members = members.join(payload, "node")
     spark = rows.sparkSession
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-work // UNIT_ROWS))
-    found = staged(_link_units(members, threshold, groups), "vector-links")
+    found = staged(_link_units(members, threshold, groups, _kinds(bits, narrow)), "vector-links")
 
     links = found.where("b = -1").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     joined = components(found.where("b >= 0").select("a", "b"))
