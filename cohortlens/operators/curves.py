@@ -32,14 +32,23 @@ RANGE_ROWS = 1_000_000
 def score_edges(df: DataFrame, score: str = "score", ranges: int | None = None) -> list[float]:
     """Cut points of the score axis; their number follows the number of rows.
 
-    Narrow scans of the score column: one, and one to count where ``ranges`` is not given.
+    One narrow scan of the score column gives the count and as many quantiles as small tables need; a
+    table whose rows ask for more ranges takes a second one.
     """
     scores = df.select(present(score).alias("score"))
+
+    def quantiles(n: int) -> Column:
+        return F.percentile_approx("score", [i / n for i in range(1, n)], 4 * n)
+
     if ranges is None:
-        least = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = max(least, math.ceil(scores.count() / RANGE_ROWS))
-    cuts = scores.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.25 / ranges)
-    return sorted({c for c in cuts if math.isfinite(c)})
+        ranges = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows, cuts = scores.agg(F.count("score"), quantiles(ranges)).first()
+        if rows > ranges * RANGE_ROWS:
+            ranges = math.ceil(rows / RANGE_ROWS)
+            cuts = scores.agg(quantiles(ranges)).first()[0]
+    else:
+        cuts = scores.agg(quantiles(ranges)).first()[0] if ranges > 1 else []
+    return sorted({c for c in cuts or [] if math.isfinite(c)})
 
 
 def _with_range(df: DataFrame, edges: Sequence[float]) -> DataFrame:
@@ -76,7 +85,7 @@ def score_ladder(
     )
     cut = _with_range(merged, score_edges(df, score, ranges))
 
-    # One row per range and group: at most a few thousand per group.
+    # One row per range and group; a range is about a million rows, so 10^12 rows have a million ranges.
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     downwards = group.orderBy(F.desc("_range"))
     higher = downwards.rowsBetween(Window.unboundedPreceding, -1)
