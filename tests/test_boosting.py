@@ -150,3 +150,49 @@ def test_one_pass_for_all_folds(spark, rows):
         counts.append(len(tracker.getJobIdsForGroup(f"folds-{k}")))
     spark.sparkContext.setJobGroup("other", "")
     assert counts[0] == counts[1]
+
+
+def _bytes_to_driver(monkeypatch, fit):
+    """Bytes the driver collects in the passes of a fit."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    held, collect = [], Classic.collect
+
+    def noted(df):
+        rows = collect(df)
+        held.append(sum(len(v) if isinstance(v, (bytes, bytearray)) else 8 for r in rows for v in r))
+        return rows
+
+    monkeypatch.setattr(Classic, "collect", noted)
+    fit()
+    monkeypatch.setattr(Classic, "collect", collect)
+    return max(held)
+
+
+def test_the_driver_gets_splits_not_histograms(spark, monkeypatch):
+    """Histograms of several tasks (here 11 models, 40 features) meet on executors, in every level."""
+    x = F.array(*[F.sin(F.col("id") * (i + 1.5)) for i in range(40)])
+    rows = spark.range(2000).select(F.col("id").alias("row_id"), (F.col("id") % 10).cast("int").alias("fold"), (F.sin(F.col("id") * 1.5) > 0).cast("int").alias("label"), array_to_vector(x).alias("features"))
+    monkeypatch.setattr(boosting, "TASK_ROWS", 200, raising=False)
+    fit = lambda: boosting.fit(rows.repartition(4), 2, dataclasses.replace(SETTINGS, rounds=1), [*range(10), None], key="row_id")
+    assert _bytes_to_driver(monkeypatch, fit) < 1 << 19
+
+
+def test_rows_of_few_files_are_dealt_over_the_cores(spark, monkeypatch):
+    """A fit's passes run in as many tasks as the rows fill, also where they lie in one file."""
+    tasks, level = set(), boosting._level
+    monkeypatch.setattr(boosting, "TASK_ROWS", 100, raising=False)
+    monkeypatch.setattr(boosting, "_level", lambda *a: (tasks.add(a[-1]), level(*a))[1])
+    rows = spark.range(1000).select(F.col("id").alias("row_id"), (F.col("id") % 2).cast("int").alias("label"), array_to_vector(F.array(F.sin("id"))).alias("features"))
+    boosting.fit(rows.coalesce(1), 2, dataclasses.replace(SETTINGS, rounds=1), key="row_id")
+    assert min(tasks) > 1
+
+
+def test_features_and_margins_are_worked_out_once_a_row(spark):
+    """A score evaluates its features once, not once a tree and class, and the softmax its logits once."""
+    tree = boosting.Tree([0, 1, -1, -1, -1, -1, -1], [2.5, 0.5] + [0.0] * 5, [0] * 7, [0.0, 0.0, 3.0, 1.0, 2.0, 0.0, 0.0], [0.0] * 7)
+    model = boosting.TreeModel([[tree, tree], [boosting.Tree.leaf(2)], [tree]], 2)
+    plan = spark.range(5).select(model.probabilities(F.array(F.col("id").cast("double"), F.lit(1.0))).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("from_json") == 1
+    found = [r[0] for r in spark.createDataFrame([([1.0, 1.0],), ([3.0, 0.0],), ([1.0, 0.0],), ([float("nan"), 0.0],), (None,)], "x array<double>").select(model.margins(F.col("x"))).collect()]
+    assert found == [[4.0, 0.0, 2.0], [6.0, 0.0, 3.0], [2.0, 0.0, 1.0], [6.0, 0.0, 3.0], [None, 0.0, None]]
