@@ -134,3 +134,23 @@ def test_rows_that_teach_nothing(spark, rows):
     assert np.array_equal(empty.flat, SMALL_NET.start()) and [h[5] for h in empty.history] == [0.0] * 3
     scored = joint.score(plain, more.select("row_id", "features").where("row_id = 1002")).first()
     assert scored["z"] == [0.0, 0.0] and np.isnan(scored["probs"]).all()
+
+
+def test_sums_of_several_tasks_meet_on_executors(spark, monkeypatch):
+    """A step sends one sum a model to the driver where the sums of its tasks would exceed a small bound."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    held, collect = [], Classic.collect
+
+    def noted(df):
+        out = collect(df)
+        held.append(sum(len(r["sums"]) for r in out if "sums" in r))
+        return out
+
+    table = spark.range(2000).select(F.col("id").alias("row_id"), (F.col("id") % 10).cast("int").alias("fold"), (F.col("id") % 3).cast("int").alias("label"), array_to_vector(F.array(*[F.sin(F.col("id") * (i + 1.5)) for i in range(8)])).alias("features"))
+    monkeypatch.setattr(joint, "TASK_ROWS", 100, raising=False)
+    monkeypatch.setattr(Classic, "collect", noted)
+    settings = joint.Joint(8, 3, epochs=1, steps=1)
+    joint.fit(table.repartition(5), settings, [*range(10), None], key="row_id")
+    assert 0 < max(held) < 2 * 11 * 8 * settings.start().size
