@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import dataclasses
+import time
+from concurrent.futures import ThreadPoolExecutor
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -10,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from cohortlens.operators import boosting, models
+from cohortlens.session import ship_package
 
 SETTINGS = boosting.Boosting(rounds=4, depth=3, step=0.3, row_share=0.8, column_share=0.7, min_weight=0.5, gamma=0.0, l1=0.1, l2=1.0, bins=32)
 
@@ -196,3 +200,19 @@ def test_features_and_margins_are_worked_out_once_a_row(spark):
     assert plan.count("from_json") == 1
     found = [r[0] for r in spark.createDataFrame([([1.0, 1.0],), ([3.0, 0.0],), ([1.0, 0.0],), ([float("nan"), 0.0],), (None,)], "x array<double>").select(model.margins(F.col("x"))).collect()]
     assert found == [[4.0, 0.0, 2.0], [6.0, 0.0, 3.0], [2.0, 0.0, 1.0], [6.0, 0.0, 3.0], [None, 0.0, None]]
+
+
+def test_fits_side_by_side_ship_the_package_once():
+    """A cluster refuses a second file of the same name."""
+    sent = []
+
+    def add(path):
+        time.sleep(0.05)
+        if sent:
+            raise ValueError("was already registered with a different path")
+        sent.append(path)
+
+    session = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="shipped-by-four", addPyFile=add))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(ship_package, [session] * 4))
+    assert len(sent) == 1
