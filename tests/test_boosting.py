@@ -216,3 +216,14 @@ def test_fits_side_by_side_ship_the_package_once():
     with ThreadPoolExecutor(4) as pool:
         list(pool.map(ship_package, [session] * 4))
     assert len(sent) == 1
+
+
+def test_blocks_do_not_follow_the_batches_of_the_session(spark, rows):
+    """Fits side by side may get the batch size of each other's passes: a block of eight rows costs as much as one of thousands."""
+    values = rows.select(F.xxhash64("row_id").alias("uid"), "label", "fold", "x").coalesce(1)
+    cuts = boosting.quantile_cuts(values, 5, 32)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        assert boosting._binned(values, cuts).count() == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
